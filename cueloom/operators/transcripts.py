@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as tx
 from cueloom.functions.cols import count_if, safe_div
 from cueloom.operators import sequence as seq
+from cueloom.session import spread
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Per cue: normalised lengths, character and word error rate, edit similarity."""
     ref, hyp = tx.normalise_transcript(F.col("ref_text")), tx.normalise_transcript(F.col("hyp_text"))
-    return pairs.select(
+    return spread(pairs, "media_id", "ord").select(
         "media_id", "ord", F.length(ref).alias("ref_chars"), F.length(hyp).alias("hyp_chars"),
         tx.cer(F.col("ref_text"), F.col("hyp_text")).alias("cer"), tx.edit_similarity(ref, hyp).alias("similarity"),
     )
@@ -27,7 +28,7 @@ def transcript_scores(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     def joined(column: str) -> Column:
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", column))), lambda s: s[column]), "")
 
-    docs = pairs.groupBy("media_id").agg(joined("ref_text").alias("r"), joined("hyp_text").alias("h"))
+    docs = spread(pairs, "media_id").groupBy("media_id").agg(joined("ref_text").alias("r"), joined("hyp_text").alias("h"))
     ref, hyp = tx.normalise_transcript(F.col("r")), tx.normalise_transcript(F.col("h"))
     distances = docs.select("media_id", ref.alias("r"), hyp.alias("h")).select(
         "media_id", F.length("r").alias("ref_chars"), F.length("h").alias("hyp_chars"), F.levenshtein("r", "h").alias("edits"))

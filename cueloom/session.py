@@ -49,3 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the session's shuffle width before CPU-heavy work.
+
+    Edit distances cost far more than moving their rows, and a fixed width keeps AQE from folding small-but-slow
+    partitions into one task.  Skewed text lengths end up evenly mixed as a side effect.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
