@@ -17,8 +17,7 @@ def exact_quantiles(df: DataFrame, key: Sequence[str], value: Column, probs: dic
         df.select(*key, value.cast("double").alias("_v")).filter("_v IS NOT NULL")
         .groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = seq.positions(counted, key, ["_v"], F.floor(F.col("_v") / width))
-    running = seq.prefix(ranked, key, {"_cum": ("sum", F.col("_c"))})
+    running = seq.scan(counted, key, ["_v"], F.floor(F.col("_v") / width), {"_cum": ("sum", F.col("_c"))})
     totals = counted.groupBy(*key).agg(F.sum("_c").alias("_n"))
     rows = running.join(totals, key)
     picks = []

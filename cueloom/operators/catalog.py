@@ -108,16 +108,15 @@ def evict_oldest(outputs: DataFrame, root: str, max_bytes: int | None, max_count
     The running totals over one store are a block prefix (see `sequence`), not a single-task global window.
     """
     totals = outputs.groupBy(root).agg(F.sum("size_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_count"))
-    ranked = seq.positions(outputs.filter(~F.col("referenced")), [root], ["mtime_ms", "output_id"],
-                           F.floor(F.col("mtime_ms") / slot_ms))
-    running = seq.prefix(ranked, [root], {"_before": ("sum", F.col("size_bytes"))}, inclusive=False)
+    running = seq.scan(outputs.filter(~F.col("referenced")), [root], ["mtime_ms", "output_id"], F.floor(F.col("mtime_ms") / slot_ms),
+                       {"pos": ("row", None), "_before": ("sum_before", F.col("size_bytes"))})
     over = F.lit(False)
     rows = running.join(totals, root)
     if max_bytes is not None:
         over = over | (F.col("_bytes") - F.col("_before") > max_bytes)
     if max_count is not None:
         over = over | (F.col("_count") - F.col("pos") > max_count)
-    return rows.filter(over).drop("_before", "_bytes", "_count")
+    return rows.filter(over).drop("_before", "_bytes", "_count", "_slot")
 
 
 def storage_breakdown(files: DataFrame, groups: list[tuple[str, str]], catch_all: str) -> DataFrame:

@@ -192,7 +192,7 @@ def smooth_labels(rows: DataFrame, label: str = "cluster", max_ms: int = 1_500)
     A row longer than `max_ms` keeps its label whatever happened before, so short rows are folded inside the stretch that
     starts at the previous long row; stretches are packed into buckets by position and folded there.
     """
-    ahead = seq.neighbours(rows, ["media_id"], {"_next": lambda w: F.lead(label).over(w)}, before=0)
+    ahead = seq.prefix(rows, ["media_id"], {"_next": ("lead", F.col(label))})
     stretch = seq.islands(ahead, ["media_id"], (F.col("pos") == 0) | (F.col("dur_ms") > max_ms), "_stretch")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([T.StructField("media_id", kinds["media_id"]), T.StructField("pos", T.LongType()), T.StructField("smoothed", kinds[label])])

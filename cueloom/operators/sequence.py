@@ -1,21 +1,19 @@
 """Ordered-row primitives that survive one key owning a third of all rows.
 
-A plain `Window.partitionBy(media_id)` puts a whole media into one task.  Everything here instead cuts a key's rows into
-blocks and never needs more than one block per task:
-
-* `positions`   dense 0-based rank per key: row_number inside (key, time slot) plus a prefix over slot counts.
-* `neighbours`  lag / lead / short frames: the few rows at a block edge are copied to the adjacent block (a halo), so one
-                shuffle on (key, block) is enough and no join is needed.
-* `prefix`      running sum / max / min / last-known value: inside the block by window, across blocks by a window over one
-                summary row per block, joined back on (key, block).
-* `islands`     gaps-and-islands id = position of the latest break row, a `prefix` of kind "last".
+A plain `Window.partitionBy(media_id)` puts a whole media into one task.  Everything here cuts a key's rows into slots of
+their leading sort column and never needs more than one slot per task:
+
+* `scan`        ranks, lag / lead and running sum / max / min / last-known values: a window inside (key, slot), one
+                summary row per slot whose own window carries the value across slots, and a join on (key, slot).  All
+                outputs of one call share one shuffle, and a second scan over the kept `_slot` needs no further one.
+* `islands`     gaps-and-islands id = rank of the latest break row.
 * `capped_sessions`  greedy sessions whose caps restart with each session: each slot maps its possible entry rows to its
                 exit row, a compact chain over slots picks the true entries, a second pass marks the session starts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,92 +25,75 @@ BLOCK_ROWS = 65_536
 SLOT_MS = 3_600_000
 
 Keys = Sequence[str]
+_PLAIN = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def time_slot(start: str = "start_ms", width_ms: int = SLOT_MS) -> Column:
     return F.floor(F.col(start) / F.lit(width_ms)).cast("long")
 
 
-def positions(df: DataFrame, key: Keys, order: Keys, slot: Column, out: str = "pos") -> DataFrame:
-    """Dense rank of each row in its key; `slot` must not decrease along `order` (a bucket of the leading sort column)."""
-    key = list(key)
-    rows = df.withColumn("_slot", slot)
+def block_slot(pos: str = "pos") -> Column:
+    return F.floor(F.col(pos) / BLOCK_ROWS).cast("long")
+
+
+def scan(df: DataFrame, key: Keys, order: Keys, slot: Column | None, outputs: dict[str, tuple[str, Column | None]]) -> DataFrame:
+    """Add ordered outputs per key; rows keep the helper column `_slot` (pass `slot=None` to scan again by it).
+
+    Kinds: `row` (0-based rank), `lag`, `lead`, `sum`, `max`, `min`, `last` (latest non-NULL value) and, with `_before`
+    appended, the running kinds without the current row.  `slot` must not decrease along `order`.
+    """
+    key, order = list(key), list(order)
+    rows = df if slot is None else df.withColumn("_slot", slot)
     inside = Window.partitionBy(*key, "_slot").orderBy(*order)
-    before = Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        rows.groupBy(*key, "_slot")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*key, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    )
-    return (
-        rows.withColumn("_rn", F.row_number().over(inside) - 1)
-        .join(base, [*key, "_slot"])
-        .withColumn(out, F.col("_base") + F.col("_rn"))
-        .drop("_slot", "_rn", "_base")
-    )
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ahead_of = inside.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*key).orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)
+    at = F.struct(*order)
+    local, totals, carries, merged = {}, [], [], {}
+    for name, (kind, value) in outputs.items():
+        here, total, carry = f"_l_{name}", f"_t_{name}", f"_c_{name}"
+        base = kind.removesuffix("_before")
+        frame = ahead_of if kind.endswith("_before") else upto
+        if base == "row":
+            local[here] = F.row_number().over(inside) - 1
+            totals.append(F.count(F.lit(1)).alias(total))
+            carries.append(F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(carry))
+            merged[name] = F.col(carry) + F.col(here)
+        elif base in ("lag", "lead"):
+            box = F.struct(value.alias("v"))
+            local[here] = (F.lag if base == "lag" else F.lead)(box).over(inside)
+            totals.append((F.max_by if base == "lag" else F.min_by)(box, at).alias(total))
+            pick = F.last(total).over(earlier) if base == "lag" else F.first(total).over(later)
+            carries.append(pick.alias(carry))
+            merged[name] = F.coalesce(here, carry)["v"]
+        elif base == "last":
+            local[here] = F.last(value, ignorenulls=True).over(frame)
+            totals.append(F.max_by(value, F.when(value.isNotNull(), at)).alias(total))
+            carries.append(F.last(total, ignorenulls=True).over(earlier).alias(carry))
+            merged[name] = F.coalesce(here, carry)
+        else:
+            local[here] = _PLAIN[base](value).over(frame)
+            totals.append(_PLAIN[base](value).alias(total))
+            carries.append(_PLAIN[base](total).over(earlier).alias(carry))
+            if base == "sum":
+                merged[name] = F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
+            else:
+                merged[name] = (F.greatest if base == "max" else F.least)(here, carry)
+    summary = rows.groupBy(*key, "_slot").agg(*totals).select(*key, "_slot", *carries)
+    joined = rows.withColumns(local).join(summary, [*key, "_slot"])
+    kept = [c for c in rows.columns if c not in outputs]
+    return joined.select(*kept, *[v.alias(n) for n, v in merged.items()])
 
 
-def neighbours(
-    df: DataFrame,
-    key: Keys,
-    columns: dict[str, Callable[[Window], Column]],
-    pos: str = "pos",
-    before: int = 1,
-    after: int = 1,
-    block: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Evaluate window columns that look at most `before` rows back and `after` rows ahead."""
-    own, offset = F.floor(F.col(pos) / block).cast("long"), F.col(pos) % block
-    targets = F.array_compact(
-        F.array(own, F.when(offset < after, own - 1), F.when(offset >= block - before, own + 1))
-    )
-    window = Window.partitionBy(*key, "_blk").orderBy(pos)
-    spread = df.withColumn("_blk", F.explode(targets)).withColumn("_own", F.col("_blk") == own)
-    for name, build in columns.items():
-        spread = spread.withColumn(name, build(window))
-    return spread.filter("_own").drop("_own", "_blk")
+def positions(df: DataFrame, key: Keys, order: Keys, slot: Column, out: str = "pos") -> DataFrame:
+    """Dense 0-based rank of each row in its key."""
+    return scan(df, key, order, slot, {out: ("row", None)}).drop("_slot")
 
 
-def prefix(
-    df: DataFrame,
-    key: Keys,
-    scans: dict[str, tuple[str, Column]],
-    pos: str = "pos",
-    inclusive: bool = True,
-    block: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Running aggregates along `pos`; kinds are sum, max, min and last (latest non-NULL value)."""
-    key = list(key)
-    rows = df.withColumn("_blk", F.floor(F.col(pos) / block).cast("long"))
-    inside = Window.partitionBy(*key, "_blk").orderBy(pos).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
-    earlier = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    plain = {"sum": F.sum, "max": F.max, "min": F.min}
-    totals, carries, local = [], [], {}
-    for name, (kind, value) in scans.items():
-        if kind == "last":
-            totals.append(F.max(F.when(value.isNotNull(), F.struct(F.col(pos), value.alias("v")))).alias(f"_t_{name}"))
-            carries.append(F.last(f"_t_{name}.v", ignorenulls=True).over(earlier).alias(f"_c_{name}"))
-            local[name] = F.last(value, ignorenulls=True).over(inside)
-        else:
-            totals.append(plain[kind](value).alias(f"_t_{name}"))
-            carries.append(plain[kind](f"_t_{name}").over(earlier).alias(f"_c_{name}"))
-            local[name] = plain[kind](value).over(inside)
-    carry = rows.groupBy(*key, "_blk").agg(*totals).select(*key, "_blk", *carries)
-    for name, value in local.items():
-        rows = rows.withColumn(f"_l_{name}", value)
-    merged = rows.join(carry, [*key, "_blk"])
-    for name, (kind, _) in scans.items():
-        here, past = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        if kind == "sum":
-            result = F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0))
-        elif kind == "last":
-            result = F.coalesce(here, past)
-        else:
-            result = (F.greatest if kind == "max" else F.least)(here, past)
-        merged = merged.withColumn(name, result)
-    return merged.drop("_blk", *[f"_{p}_{n}" for n in scans for p in ("l", "c")])
+def prefix(df: DataFrame, key: Keys, outputs: dict[str, tuple[str, Column]], pos: str = "pos") -> DataFrame:
+    """`scan` along an existing dense position, in blocks of bounded row count."""
+    return scan(df, key, [pos], block_slot(pos), outputs).drop("_slot")
 
 
 def islands(df: DataFrame, key: Keys, breaks: Column, out: str = "island", pos: str = "pos") -> DataFrame:
@@ -120,14 +101,18 @@ def islands(df: DataFrame, key: Keys, breaks: Column, out: str = "island", pos:
     return prefix(df, key, {out: ("last", F.when(breaks, F.col(pos)))}, pos=pos)
 
 
-def gap_islands(df: DataFrame, key: Keys, gap_ms: int, running_end: bool = True, out: str = "island") -> DataFrame:
+def label_islands(df: DataFrame, key: Keys, order: Keys, slot: Column, breaks: Column, outputs: dict[str, tuple[str, Column | None]],
+                  out: str = "island") -> DataFrame:
+    """One scan for `outputs` and the rank `pos`, then islands by `breaks` (which may use those outputs) on the same shuffle."""
+    first = scan(df, key, order, slot, {**outputs, "pos": ("row", None)})
+    return scan(first, key, order, None, {out: ("last", F.when(breaks, F.col("pos")))}).drop("_slot")
+
+
+def gap_islands(df: DataFrame, key: Keys, order: Keys, slot: Column, gap_ms: int, running_end: bool = True, out: str = "island") -> DataFrame:
     """Islands of intervals closer than `gap_ms`, measured to the running maximum end or to the previous row's end."""
-    if running_end:
-        seen = prefix(df, key, {"_end": ("max", F.col("end_ms"))}, inclusive=False)
-    else:
-        seen = neighbours(df, key, {"_end": lambda w: F.lag("end_ms").over(w)}, after=0)
+    seen = ("max_before" if running_end else "lag", F.col("end_ms"))
     breaks = F.col("_end").isNull() | (F.col("start_ms") - F.col("_end") > gap_ms)
-    return islands(seen, key, breaks, out).drop("_end")
+    return label_islands(df, key, order, slot, breaks, {"_end": seen}, out).drop("_end")
 
 
 def _next_starts(rows: pd.DataFrame, cap_ms: int, max_rows: int | None) -> np.ndarray:

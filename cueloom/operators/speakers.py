@@ -76,26 +76,26 @@ def speaker_rollup(segments: DataFrame) -> DataFrame:
     )
 
 
+ORDER = ["start_ms", "end_ms", "segment_id"]
+
+
+def _around() -> dict[str, tuple[str, Column | None]]:
+    return {
+        "pos": ("row", None), "prev_label": ("lag", F.col("speaker_label")), "prev_end": ("lag", F.col("end_ms")),
+        "next_label": ("lead", F.col("speaker_label")), "next_start": ("lead", F.col("start_ms")),
+    }
+
+
 def boundary_context(segments: DataFrame) -> DataFrame:
     """Positions plus the previous / next row of the media."""
-    return seq.neighbours(
-        ordered(segments),
-        MEDIA,
-        {
-            "prev_label": lambda w: F.lag("speaker_label").over(w),
-            "prev_end": lambda w: F.lag("end_ms").over(w),
-            "next_label": lambda w: F.lead("speaker_label").over(w),
-            "next_start": lambda w: F.lead("start_ms").over(w),
-        },
-    )
+    return seq.scan(segments, MEDIA, ORDER, seq.time_slot(), _around()).drop("_slot")
 
 
 def speaker_runs(segments: DataFrame) -> DataFrame:
     """Consecutive rows of one speaker, with their outer neighbours and run risk flags."""
-    ctx = boundary_context(segments)
     opens = ~F.col("speaker_label").eqNullSafe(F.col("prev_label"))
     closes = ~F.col("speaker_label").eqNullSafe(F.col("next_label"))
-    rows = seq.islands(ctx, MEDIA, opens, "run_pos")
+    rows = seq.label_islands(segments, MEDIA, ORDER, seq.time_slot(), opens, _around(), "run_pos")
     runs = rows.groupBy("media_id", "run_pos").agg(
         F.max("speaker_label").alias("speaker_label"),
         F.min("start_ms").alias("start_ms"),

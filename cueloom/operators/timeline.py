@@ -48,10 +48,8 @@ def resolve_anchor(rows: DataFrame) -> DataFrame:
 
 def available_time(items: DataFrame, total_ms: Column) -> DataFrame:
     """Own slot plus the pause before the next line, less a safety margin; the last line may run past its end."""
-    start = F.col("anchor_start").alias("start_ms")
-    placed = seq.positions(items.withColumn("_s", start), MEDIA, ["anchor_start", "anchor_end", "segment_id"],
-                           seq.time_slot("anchor_start")).drop("_s")
-    ahead = seq.neighbours(placed, MEDIA, {"_next": lambda w: F.lead("anchor_start").over(w)}, before=0)
+    ahead = seq.scan(items, MEDIA, ["anchor_start", "anchor_end", "segment_id"], seq.time_slot("anchor_start"),
+                     {"_next": ("lead", F.col("anchor_start"))}).drop("_slot")
     nxt = F.coalesce("_next", F.col("anchor_end") + TRAILING_ROOM)
     nxt = F.when(total_ms > 0, F.least(nxt, total_ms)).otherwise(nxt)
     return ahead.withColumn(
@@ -104,8 +102,8 @@ def quality_score() -> Column:
 def overlap_clusters(items: DataFrame) -> DataFrame:
     """Items whose placements touch (beyond the tolerance) share a cluster; different clusters never conflict."""
     timed = items.withColumn("start_ms", F.col("placement_start")).withColumn("end_ms", F.col("placement_end"))
-    placed = seq.positions(timed, MEDIA, ["placement_start", "placement_end", "segment_id"], seq.time_slot())
-    return seq.gap_islands(placed, MEDIA, gap_ms=-OVERLAP_TOLERANCE - 1, out="cluster").drop("start_ms", "end_ms")
+    return seq.gap_islands(timed, MEDIA, ["placement_start", "placement_end", "segment_id"], seq.time_slot(),
+                           gap_ms=-OVERLAP_TOLERANCE - 1, out="cluster").drop("start_ms", "end_ms")
 
 
 RESOLVED = T.StructType([

@@ -40,7 +40,7 @@ def transcript_scores(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def pace(segments: DataFrame) -> DataFrame:
     """Segment count, median duration (integer ms), share of segments up to 1 s, speakers and switch rate per media."""
     labelled = segments.filter(F.coalesce("speaker_label", F.lit("")) != "")
-    rows = seq.neighbours(labelled, ["media_id"], {"_prev": lambda w: F.lag("speaker_label").over(w)}, pos="ord", after=0)
+    rows = seq.prefix(labelled, ["media_id"], {"_prev": ("lag", F.col("speaker_label"))}, pos="ord")
     switches = rows.groupBy("media_id").agg(
         count_if(F.col("_prev") != F.col("speaker_label")).alias("switches"), F.count(F.lit(1)).alias("labelled"),
         F.count_distinct("speaker_label").alias("speakers"))

@@ -26,8 +26,9 @@ ROLES: dict[str, str] = {
                      200 + CAST(floor(value * 40) AS BIGINT) AS dur_ms FROM {events}) e""",
     # screen-text events near the segments, with a confidence and a kind
     "ocr_events": """
-        SELECT media_id, segment_id AS event_id, start_ms + (segment_id * 101) % 900 - 300 AS start_ms,
-               end_ms + (segment_id * 37) % 700 - 200 AS end_ms,
+        SELECT media_id, segment_id AS event_id,
+               least(start_ms + (segment_id * 101) % 900 - 300, end_ms + (segment_id * 37) % 700 - 200) AS start_ms,
+               greatest(start_ms + (segment_id * 101) % 900 - 300, end_ms + (segment_id * 37) % 700 - 200) AS end_ms,
                (60 + (segment_id * 13) % 41) / 100.0E0 AS confidence,
                CASE WHEN segment_id % 3 = 0 THEN substring(text, 1, 6) ELSE text END AS text,
                CASE segment_id % 5 WHEN 0 THEN 'scene_text' WHEN 1 THEN 'watermark' WHEN 2 THEN 'subtitle' END AS kind

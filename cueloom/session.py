@@ -51,6 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package() -> None:
+    """Send this package's functions to Python workers by value, so a cluster needs no extra files for them."""
+    import cueloom
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(cueloom)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over the session's shuffle width before CPU-heavy work.
 
