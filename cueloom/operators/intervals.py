@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from cueloom.functions import text as tx
 from cueloom.functions.cols import count_if, flags
 from cueloom.operators import sequence as seq
+from cueloom.session import cut_lineage
 
 MEDIA = ["media_id"]
 BUCKET_MS = 30_000
@@ -315,7 +316,8 @@ def diarization_error(ref: DataFrame, hyp: DataFrame, step: int = 10, collar_ms:
     No frame is materialised: speakers become disjoint frame intervals, the active-speaker counts are running sums over
     their boundaries, and unscored zones (collar, reference overlap) are a third kind of interval.
     """
-    r, h = _frames(ref, step), _frames(hyp, step).join(ref.select("media_id").distinct(), "media_id", "left_semi")
+    r = cut_lineage(_frames(ref, step))
+    h = cut_lineage(_frames(hyp, step).join(r.select("media_id").distinct(), "media_id", "left_semi"))
     zones = None
     if collar_ms > 0:
         width = int(round(collar_ms / step))
@@ -326,7 +328,7 @@ def diarization_error(ref: DataFrame, hyp: DataFrame, step: int = 10, collar_ms:
         busy = _elementary(r.select("media_id", "start_ms", "end_ms", F.lit(1).alias("r"), F.lit(0).alias("h"), F.lit(0).alias("z"))).filter("nr > 1").select("media_id", "start_ms", "end_ms")
         zones = busy if zones is None else zones.unionByName(busy)
     if zones is not None:
-        zones = merge_touching(zones, MEDIA)
+        zones = cut_lineage(merge_touching(zones, MEDIA))
     sides = r.select("media_id", "start_ms", "end_ms", F.lit(1).alias("r"), F.lit(0).alias("h"), F.lit(0).alias("z")).unionByName(
         h.select("media_id", "start_ms", "end_ms", F.lit(0).alias("r"), F.lit(1).alias("h"), F.lit(0).alias("z")))
     if zones is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from cueloom.functions import vectors as vx
 from cueloom.functions.cols import count_if
 from cueloom.operators import sequence as seq
+from cueloom.session import cut_lineage
 
 # fixed values
 MATCH_THRESHOLD = 0.55
@@ -193,7 +194,7 @@ def smooth_labels(rows: DataFrame, label: str = "cluster", max_ms: int = 1_500)
     starts at the previous long row; stretches are packed into buckets by position and folded there.
     """
     ahead = seq.prefix(rows, ["media_id"], {"_next": ("lead", F.col(label))})
-    stretch = seq.islands(ahead, ["media_id"], (F.col("pos") == 0) | (F.col("dur_ms") > max_ms), "_stretch")
+    stretch = seq.islands(cut_lineage(ahead), ["media_id"], (F.col("pos") == 0) | (F.col("dur_ms") > max_ms), "_stretch")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([T.StructField("media_id", kinds["media_id"]), T.StructField("pos", T.LongType()), T.StructField("smoothed", kinds[label])])
 

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueloom.session import cut_lineage
+
 BLOCK_ROWS = 65_536
 SLOT_MS = 3_600_000
 
@@ -104,7 +106,7 @@ def islands(df: DataFrame, key: Keys, breaks: Column, out: str = "island", pos:
 def label_islands(df: DataFrame, key: Keys, order: Keys, slot: Column, breaks: Column, outputs: dict[str, tuple[str, Column | None]],
                   out: str = "island") -> DataFrame:
     """One scan for `outputs` and the rank `pos`, then islands by `breaks` (which may use those outputs) on the same shuffle."""
-    first = scan(df, key, order, slot, {**outputs, "pos": ("row", None)})
+    first = cut_lineage(scan(df, key, order, slot, {**outputs, "pos": ("row", None)}))
     return scan(first, key, order, None, {out: ("last", F.when(breaks, F.col("pos")))}).drop("_slot")
 
 
@@ -115,15 +117,16 @@ def gap_islands(df: DataFrame, key: Keys, order: Keys, slot: Column, gap_ms: int
     return label_islands(df, key, order, slot, breaks, {"_end": seen}, out).drop("_end")
 
 
-def _next_starts(rows: pd.DataFrame, cap_ms: int, max_rows: int | None) -> np.ndarray:
+def _next_starts(rows: pd.DataFrame, cap_ms: int, max_rows: int | None, gap_ms: int | None) -> np.ndarray:
     """For every row: index of the row that opens the next session if a session opens here (len(rows) = past the slice)."""
     start, end, brk = rows["start_ms"].to_numpy(), rows["end_ms"].to_numpy(), rows["brk"].to_numpy()
     n = len(rows)
     nxt = np.full(n, n, dtype=np.int64)
     for i in range(n):
         limit = n if max_rows is None else min(n, i + max_rows)
-        j = i + 1
-        while j < limit and not brk[j] and end[j] - start[i] <= cap_ms:
+        j, reach = i + 1, end[i]
+        while j < limit and not brk[j] and end[j] - start[i] <= cap_ms and (gap_ms is None or start[j] - reach <= gap_ms):
+            reach = max(reach, end[j])
             j += 1
         nxt[i] = j
     return nxt
@@ -135,21 +138,19 @@ def capped_sessions(
     breaks: Column,
     cap_ms: int,
     max_rows: int | None = None,
+    gap_ms: int | None = None,
     slot_ms: int = SLOT_MS,
     out: str = "session",
 ) -> DataFrame:
     """Greedy sessions over rows with `pos, start_ms, end_ms` ascending in pos and start.
 
-    A new session opens on a break row, when the row would end more than `cap_ms` after the session start, or when the
-    session already holds `max_rows` rows.  The session id is the position of its first row.
+    A new session opens on a break row, when the row would end more than `cap_ms` after the session start, when it starts
+    more than `gap_ms` after the session's latest end, or when the session already holds `max_rows` rows.  The session id
+    is the position of its first row.
     """
     key = list(key)
-    if max_rows is None:
-        max_rows_arg = None
-    else:
-        max_rows_arg = int(max_rows)
     slot = F.floor(F.col("start_ms") / slot_ms).cast("long")
-    rows = df.withColumn("brk", F.coalesce(breaks, F.lit(True)))
+    rows = cut_lineage(df.withColumn("brk", F.coalesce(breaks, F.lit(False))))
     lean = rows.select(*key, "pos", "start_ms", "end_ms", "brk", slot.alias("_own_slot"))
     reach = F.ceil(F.lit(cap_ms) / slot_ms).cast("long")
     # A session opened in a slot can only reach rows that start within cap_ms of its opening row.
@@ -165,73 +166,57 @@ def capped_sessions(
     kinds = {f.name: f.dataType for f in df.schema.fields}
     key_fields = [T.StructField(k, kinds[k]) for k in key]
 
+    def schema(*names: str) -> T.StructType:
+        return T.StructType([*key_fields, *[T.StructField(n, T.LongType()) for n in names]])
+
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Per possible entry row of a slot: the row its chain of sessions leaves to, and the last session it opens."""
         pdf = pdf.sort_values("pos", ignore_index=True)
         mine = int((pdf["_own_slot"] == pdf["_slot"]).sum())
         if mine == 0:
-            return pd.DataFrame(columns=[*key, "_slot", "entry", "leave"])
-        nxt = _next_starts(pdf, cap_ms, max_rows_arg)
-        leave = nxt.copy()
+            return pd.DataFrame(columns=[*key, "_slot", "entry", "leave", "opened"])
+        leave = _next_starts(pdf, cap_ms, max_rows, gap_ms)
+        opened = np.arange(len(pdf))
         for i in range(mine - 1, -1, -1):
-            if nxt[i] < mine:
-                leave[i] = leave[nxt[i]]
-        first = pdf["pos"].iloc[0]
-        slot_start = int(pdf["_slot"].iloc[0]) * slot_ms
-        candidates = (pdf["start_ms"].to_numpy()[:mine] - slot_start <= cap_ms)
-        candidates[0] = True
+            if leave[i] < mine:
+                opened[i], leave[i] = opened[leave[i]], leave[leave[i]]
+        first, slot_id = pdf["pos"].iloc[0], pdf["_slot"].iloc[0]
+        reached = pdf["start_ms"].to_numpy()[:mine] - int(slot_id) * slot_ms <= cap_ms
         # the row after the last reachable one can also be entered
-        last = int(np.nonzero(candidates)[0].max())
-        candidates[: min(mine, last + 2)] = True
-        chosen = np.nonzero(candidates)[0]
-        head = {k: pdf[k].iloc[0] for k in key}
-        return pd.DataFrame(
-            {**head, "_slot": pdf["_slot"].iloc[0], "entry": first + chosen, "leave": first + leave[chosen]}
-        )
-
-    exit_schema = T.StructType(
-        [*key_fields, T.StructField("_slot", T.LongType()), T.StructField("entry", T.LongType()),
-         T.StructField("leave", T.LongType())]
-    )
-    moves = spread.groupBy(*key, "_slot").applyInPandas(exits, exit_schema)
+        chosen = np.arange(min(mine, int(np.count_nonzero(reached)) + 1))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "_slot": slot_id, "entry": first + chosen,
+                             "leave": first + leave[chosen], "opened": first + opened[chosen]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Walk the slots of a key: the true entry of each slot and the session still open before it."""
         pdf = pdf.sort_values(["_slot", "entry"], ignore_index=True)
-        head = {k: pdf[k].iloc[0] for k in key}
-        slots, entries, at = [], [], None
+        slots, entries, before, at, open_ = [], [], [], None, -1
         for slot_id, part in pdf.groupby("_slot", sort=True):
             entry = part["entry"].to_numpy()
-            if at is None or at < entry[0]:
-                at = int(entry[0])
-            hit = np.nonzero(entry == at)[0]
-            if len(hit) == 0:
-                continue
+            at = int(entry[0]) if at is None else at
             slots.append(int(slot_id))
             entries.append(at)
-            at = int(part["leave"].to_numpy()[hit[0]])
-        return pd.DataFrame({**head, "_slot": slots, "entry": entries})
-
-    entry_schema = T.StructType(
-        [*key_fields, T.StructField("_slot", T.LongType()), T.StructField("entry", T.LongType())]
-    )
-    entered = moves.groupBy(*key).applyInPandas(chain, entry_schema)
+            before.append(open_)
+            hit = np.nonzero(entry == at)[0]
+            if len(hit):
+                at, open_ = int(part["leave"].to_numpy()[hit[0]]), int(part["opened"].to_numpy()[hit[0]])
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "_slot": slots, "entry": entries, "before": before})
 
-    def starts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame(columns=[*key, "pos"])
+            return pd.DataFrame(columns=[*key, "pos", out])
         pdf = left.sort_values("pos", ignore_index=True)
-        nxt = _next_starts(pdf, cap_ms, max_rows_arg)
+        nxt = _next_starts(pdf, cap_ms, max_rows, gap_ms)
         mine = int((pdf["_own_slot"] == pdf["_slot"]).sum())
         first = int(pdf["pos"].iloc[0])
+        session = np.full(mine, int(right["before"].iloc[0]), dtype=np.int64)
         at = int(right["entry"].iloc[0]) - first
-        found = []
         while at < mine:
-            found.append(first + at)
+            session[at:nxt[at]] = first + at
             at = int(nxt[at])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "pos": found})
-
-    start_schema = T.StructType([*key_fields, T.StructField("pos", T.LongType())])
-    opened = (
-        spread.groupBy(*key, "_slot").cogroup(entered.groupBy(*key, "_slot")).applyInPandas(starts, start_schema)
-    ).withColumn("_opens", F.lit(True))
-    marked = rows.join(opened, [*key, "pos"], "left")
-    return islands(marked, key, F.col("_opens"), out).drop("_opens", "brk")
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "pos": pdf["pos"].to_numpy()[:mine], out: session})
+
+    moves = spread.groupBy(*key, "_slot").applyInPandas(exits, schema("_slot", "entry", "leave", "opened"))
+    entered = moves.groupBy(*key).applyInPandas(chain, schema("_slot", "entry", "before"))
+    assigned = spread.groupBy(*key, "_slot").cogroup(entered.groupBy(*key, "_slot")).applyInPandas(assign, schema("pos", out))
+    return rows.drop("brk").join(assigned, [*key, "pos"])

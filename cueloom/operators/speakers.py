@@ -161,3 +161,78 @@ def segment_risks(segments: DataFrame) -> DataFrame:
         .withColumn("risk_level", risk_level(F.col("risk_flags")))
         .drop("_sparse")
     )
+
+
+def reference_clips(segments: DataFrame, limit: int = 3) -> DataFrame:
+    """Top clips per speaker by score among 1.5-12 s segments; a speaker without one gets its longest segment."""
+    key = ["media_id", "speaker_label"]
+    compact = F.length(F.regexp_replace("text", r"\s+", ""))
+    score = F.least(F.col("dur_ms") / 1000, F.lit(8.0)) + F.least(compact / 10.0, F.lit(1.5))
+    rows = segments.withColumn("_ok", F.col("dur_ms").between(1_500, 12_000)).withColumn("score", score)
+    any_ok = rows.groupBy(*key).agg(F.bool_or("_ok").alias("_any"))
+    kept = rows.join(any_ok, key).filter(F.col("_ok") | ~F.col("_any"))
+    by = F.when(F.col("_any"), F.col("score")).otherwise(F.col("dur_ms"))
+    order = Window.partitionBy(*key).orderBy(by.desc(), "start_ms", "segment_id")
+    top = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.when(F.col("_any"), limit).otherwise(1))
+    return top.select(*key, "segment_id", F.when(F.col("_any"), F.col("score")).otherwise(0.0).alias("score"), "rank", (F.col("rank") == 1).alias("is_best"))
+
+
+def profile_similarity(rollup: DataFrame) -> DataFrame:
+    """Similarity of two speakers of one media from average duration, short share and segment count.
+
+    One row per unordered pair of a media's speakers: a media has few speakers, whatever its number of segments.
+    """
+    short = F.col("short_segment_count") / F.col("segment_count")
+    a = rollup.select("media_id", F.col("speaker_label").alias("a"), (F.col("avg_ms") / 1000).alias("aa"), short.alias("as"), F.col("segment_count").alias("an"))
+    b = rollup.select("media_id", F.col("speaker_label").alias("b"), (F.col("avg_ms") / 1000).alias("ba"), short.alias("bs"), F.col("segment_count").alias("bn"))
+    pace = F.greatest(F.lit(0.0), 1.0 - F.least(F.abs(F.col("aa") - F.col("ba")) / 5.0, F.lit(1.0)))
+    shorts = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("as") - F.col("bs")))
+    sizes = F.least("an", "bn") / F.greatest("an", "bn")
+    return a.join(b, "media_id").filter("a < b").select("media_id", "a", "b", F.round(pace * 0.5 + shorts * 0.3 + sizes * 0.2, 3).alias("similarity"))
+
+
+def similar_peers(pairs: DataFrame, limit: int = 3, threshold: float = 0.55) -> DataFrame:
+    both = pairs.unionByName(pairs.select("media_id", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    order = Window.partitionBy("media_id", "a").orderBy(F.desc("similarity"), "b")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).withColumn("suggest_merge", F.col("similarity") >= threshold)
+
+
+def suggested_merges(peers: DataFrame) -> DataFrame:
+    return peers.filter("suggest_merge").select("media_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def recommended_actions(rollup: DataFrame, peers: DataFrame, runs: DataFrame, segment_rows: DataFrame) -> DataFrame:
+    """(item type, item id, action) for speakers, runs and segments."""
+    best = peers.filter("rank = 1").select("media_id", F.col("a").alias("speaker_label"), "suggest_merge")
+    weak = has(F.col("risk_flags"), "single_segment_speaker", "low_sample_speaker", "no_reference_safe_segment")
+    speakers = rollup.join(best, ["media_id", "speaker_label"], "left").select(
+        "media_id", F.lit("speaker_profile").alias("item_type"), F.col("speaker_label").alias("item_id"),
+        F.when(weak, "mark_non_cloneable").when(F.col("suggest_merge"), "merge_speaker").otherwise("keep_independent").alias("action"))
+    before, after = F.col("previous_speaker"), F.col("next_speaker")
+    run_rows = runs.select(
+        "media_id", F.lit("speaker_run").alias("item_type"), F.col("run_pos").cast("string").alias("item_id"),
+        F.when(has(F.col("risk_flags"), "sandwiched_run") & (before == after), "merge_to_surrounding_speaker")
+        .when(has(F.col("risk_flags"), "short_run") & before.isNotNull(), "relabel_to_previous_speaker")
+        .when(has(F.col("risk_flags"), "single_segment_run") & after.isNotNull(), "relabel_to_next_speaker").otherwise("keep_independent").alias("action"))
+    flags_ = F.col("risk_flags")
+    segs = segment_rows.select(
+        "media_id", F.lit("segment").alias("item_type"), F.col("segment_id").cast("string").alias("item_id"),
+        F.when(has(flags_, "speaker_boundary_risk") & F.col("prev_label").isNotNull(), "relabel_to_previous_speaker").when(has(flags_, "very_long_segment"), "keep_independent")
+        .when(has(flags_, "speaker_sample_risk") & F.col("next_label").isNotNull(), "relabel_to_next_speaker").otherwise("keep_independent").alias("action"))
+    return speakers.unionByName(run_rows).unionByName(segs)
+
+
+def review_plan(rollup: DataFrame, runs: DataFrame, segment_rows: DataFrame) -> DataFrame:
+    """Review items per media and type: everything that carries a risk flag."""
+    def items(df: DataFrame, kind: str) -> DataFrame:
+        return df.filter(F.size("risk_flags") > 0).select("media_id", F.lit(kind).alias("item_type"), "risk_level")
+
+    both = items(rollup, "speaker_profile").unionByName(items(runs, "speaker_run")).unionByName(items(segment_rows, "segment"))
+    return both.groupBy("media_id", "item_type").agg(F.count(F.lit(1)).alias("items"), count_if(F.col("risk_level") == "high").alias("high_risk"))
+
+
+def diagnostics_summary(rollup: DataFrame, runs: DataFrame, segment_rows: DataFrame) -> DataFrame:
+    sp = rollup.groupBy("media_id").agg(F.count(F.lit(1)).alias("speaker_count"), F.sum("segment_count").alias("segment_count"), count_if(F.col("risk_level") == "high").alias("high_risk_speakers"))
+    rn = runs.groupBy("media_id").agg(F.count(F.lit(1)).alias("run_count"), count_if(F.size("risk_flags") > 0).alias("review_runs"), count_if(F.col("risk_level") == "high").alias("high_risk_runs"))
+    sg = segment_rows.groupBy("media_id").agg(count_if(F.size("risk_flags") > 0).alias("review_segments"))
+    return sp.join(rn, "media_id").join(sg, "media_id")

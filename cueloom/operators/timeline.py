@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from cueloom.functions.cols import flags, lookup
 from cueloom.operators import sequence as seq
+from cueloom.session import cut_lineage
 
 MEDIA = ["media_id"]
 
@@ -127,6 +128,8 @@ def _settle(bucket: pd.DataFrame) -> pd.DataFrame:
     for row in rows:
         if row["cluster"] != cluster:
             cluster, placed = row["cluster"], []
+        # placements ending before any later item can start are settled (a start moves at most MAX_SHIFT ahead of its anchor)
+        placed = [p for p in placed if p["placement_end"] > row["anchor_start"] - MAX_SHIFT]
         clash = [p for p in placed if shared(row, p) > OVERLAP_TOLERANCE]
         if not clash:
             placed.append(row)
@@ -161,7 +164,7 @@ def _settle(bucket: pd.DataFrame) -> pd.DataFrame:
 
 def resolve_overlaps(items: DataFrame) -> DataFrame:
     """Keep, trim, layer, replace or skip conflicting placements.  A row alone in its cluster needs no Python at all."""
-    clustered = overlap_clusters(items)
+    clustered = cut_lineage(overlap_clusters(items))
     sized = clustered.groupBy(*MEDIA, "cluster").agg(F.count(F.lit(1)).alias("_n"))
     rows = clustered.join(sized, [*MEDIA, "cluster"])
     alone = rows.filter("_n = 1").select(

@@ -44,7 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one), so a lost executor only costs a re-read."""
+    """Reliable checkpoint (never a local one), so a lost executor only costs a re-read.
+
+    Used where a computed table is read more than once further on: Spark would otherwise run everything before it once
+    per reader, and chained ordered scans would double that work at every step.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
