@@ -220,7 +220,7 @@ MERGE_SQL = """WITH d AS (SELECT user_id AS media_id, event_id AS det_id, CAST(f
 b AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER w <= 1000 AND (1.0::DOUBLE - levenshtein(norm, lag(norm) OVER w) / greatest(length(norm), length(lag(norm) OVER w))) >= 0.8 THEN 0 ELSE 1 END AS brk, row_number() OVER w - 1 AS pos FROM d WINDOW w AS (PARTITION BY media_id ORDER BY t_ms, det_id)),
 g AS (SELECT *, max(CASE WHEN brk = 1 THEN pos END) OVER (PARTITION BY media_id ORDER BY pos) AS grp FROM b),
 s AS (SELECT media_id, grp AS segment_id, min(t_ms) AS start_ms, CASE WHEN count(*) = 1 THEN min(t_ms) + 500 ELSE max(t_ms) END AS end_ms, any_value(text) AS text, round(avg(confidence), 10) AS confidence, count(*) AS detections FROM g GROUP BY ALL)
-SELECT * FROM s""".replace("TS_MS(ts)", "(epoch_ms(ts) - 1704067200000)")
+SELECT * FROM s""".replace("TS_MS(ts)", "(epoch_us(ts) // 1000 - 1704067200000)")
 
 
 def _merged(src):

@@ -79,8 +79,8 @@ def _(src):
     return en.search_works(_works(src), "RED").select("work_id")
 
 
-INFER_SQL = """WITH d AS (SELECT doc_id, lower(regexp_replace(substring(text, 1, 400), '[^A-Za-z ]', '', 'g')) AS t FROM documents), n AS (SELECT doc_id, split_part(t, ' ', 1) || split_part(t, ' ', 2) AS word FROM d),
-w AS (SELECT doc_id AS work_id, word AS title FROM n WHERE doc_id % 2 = 0 AND length(word) > 4), tk AS (SELECT doc_id AS task_id, CASE doc_id % 3 WHEN 0 THEN word || '.S01E0' || CAST(doc_id % 9 AS STRING) || '.mkv' WHEN 1 THEN replace(word, 'e', 'a') || '.E7.mkv' ELSE word || '_1999.mkv' END AS name FROM n WHERE length(word) > 4),
+INFER_SQL = """WITH d AS (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS t FROM documents), n AS (SELECT doc_id, split_part(t, ' ', 1) || split_part(t, ' ', 2) AS word FROM d),
+w AS (SELECT doc_id AS work_id, word AS title FROM n WHERE length(word) > 4), tk AS (SELECT doc_id AS task_id, CASE doc_id % 3 WHEN 0 THEN word || '.S01E0' || CAST(doc_id % 9 AS STRING) || '.mkv' WHEN 1 THEN replace(word, 'e', 'a') || '.E7.mkv' ELSE word || '_1999.mkv' END AS name FROM n WHERE length(word) > 4),
 h AS (SELECT task_id, name, trim(lower(regexp_replace(name, '[._\\-]+', ' ', 'g'))) AS hay FROM tk),
 p1 AS (SELECT task_id, work_id, title, 0.9::DOUBLE AS score, 0 AS pass FROM h, w WHERE contains(hay, title) OR contains(title, hay)),
 tok AS (SELECT DISTINCT task_id, unnest(string_split(hay, ' ')) AS tok FROM h),
@@ -92,10 +92,10 @@ SELECT r.task_id, work_id, score, title, rank, CASE r.task_id % 3 WHEN 0 THEN 'S
 
 @query("infer_works", INFER_SQL)
 def _(src):
-    # a task name is the document's first two words; the title is not a prefix of a text to be processed but the name itself
-    head = F.lower(F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z ]", ""))
+    # a work is titled by the first two words of its document, a task file is named after one, with typos
+    head = F.lower(F.regexp_replace("text", "[^A-Za-z ]", ""))
     words = src("documents").select("doc_id", head.alias("t")).select("doc_id", F.concat(F.split_part("t", F.lit(" "), F.lit(1)), F.split_part("t", F.lit(" "), F.lit(2))).alias("word")).filter(F.length("word") > 4)
-    works = words.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("work_id"), F.col("word").alias("title"), F.array().cast("array<string>").alias("aliases"))
+    works = words.select(F.col("doc_id").alias("work_id"), F.col("word").alias("title"), F.array().cast("array<string>").alias("aliases"))
     k = F.col("doc_id") % 3
     name = F.when(k == 0, F.concat("word", F.lit(".S01E0"), (F.col("doc_id") % 9).cast("string"), F.lit(".mkv"))).when(k == 1, F.concat(F.replace("word", F.lit("e"), F.lit("a")), F.lit(".E7.mkv"))).otherwise(F.concat("word", F.lit("_1999.mkv")))
     return en.infer_works(words.select(F.col("doc_id").alias("task_id"), name.alias("name")), works)

@@ -82,7 +82,7 @@ def _(src):
     return iv.assign_labels(src("segments"), src("turns"), "speaker")
 
 
-COVER_SQL = """WITH c AS (SELECT media_id, segment_id AS cand_id, start_ms + (segment_id * 7) % 900 AS start_ms, end_ms + 900 + (segment_id * 13) % 400 AS end_ms FROM segments WHERE segment_id % 3 = 0), x AS (SELECT media_id, start_ms, end_ms FROM segments WHERE segment_id % 4 = 1),
+COVER_SQL = """WITH c AS (SELECT media_id, segment_id AS cand_id, start_ms + (segment_id * 7) % 900 AS start_ms, end_ms + 900 + (segment_id * 13) % 400 AS end_ms FROM segments), x AS (SELECT media_id, start_ms, end_ms FROM turns),
 cov AS (SELECT c.media_id, c.cand_id, c.start_ms, c.end_ms, CAST(coalesce(sum(CASE WHEN least(c.end_ms, x.end_ms) >= greatest(c.start_ms, x.start_ms) THEN least(c.end_ms, x.end_ms) - greatest(c.start_ms, x.start_ms) + 1 END), 0) AS BIGINT) AS covered,
   coalesce(bool_or(x.start_ms - 1500 <= c.end_ms AND x.end_ms + 1500 >= c.start_ms), false) AS near FROM c LEFT JOIN x USING (media_id) GROUP BY ALL),
 share AS (SELECT *, covered / greatest(1, end_ms - start_ms + 1) AS share FROM cov)
@@ -91,8 +91,8 @@ share AS (SELECT *, covered / greatest(1, end_ms - start_ms + 1) AS share FROM c
 
 def _cover(src):
     s = src("segments")
-    cands = s.filter("segment_id % 3 = 0").select("media_id", F.col("segment_id").alias("cand_id"), (F.col("start_ms") + (F.col("segment_id") * 7) % 900).alias("start_ms"), (F.col("end_ms") + 900 + (F.col("segment_id") * 13) % 400).alias("end_ms"))
-    return cands, s.filter("segment_id % 4 = 1").select("media_id", "start_ms", "end_ms")
+    cands = s.select("media_id", F.col("segment_id").alias("cand_id"), (F.col("start_ms") + (F.col("segment_id") * 7) % 900).alias("start_ms"), (F.col("end_ms") + 900 + (F.col("segment_id") * 13) % 400).alias("end_ms"))
+    return cands, src("turns").select("media_id", "start_ms", "end_ms")
 
 
 @query("covered_share", COVER_SQL + "SELECT media_id, cand_id, covered, share FROM share")

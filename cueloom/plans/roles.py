@@ -172,7 +172,7 @@ def spark_sql(sql: str) -> str:
 
 
 def duck_sql(sql: str) -> str:
-    sql = re.sub(r"TS_MS\((\w+)\)", r"(epoch_ms(\1) - 1704067200000)", sql)
+    sql = re.sub(r"TS_MS\((\w+)\)", r"(epoch_us(\1) // 1000 - 1704067200000)", sql)
     return _NAME.sub(r"\1", sql).replace("{{", "{").replace("}}", "}")
 
 
