@@ -14,7 +14,7 @@ from cueloom.functions import text as tx
 from cueloom.functions.cols import count_if
 from cueloom.functions.quantiles import exact_quantiles
 from cueloom.operators import sequence as seq
-from cueloom.session import cut_lineage
+from cueloom.session import cut_lineage, spread
 
 MEDIA = ["media_id"]
 ORDER = ["start_ms", "end_ms", "segment_id"]
@@ -23,7 +23,8 @@ BUCKET = 4_096
 
 def fold_islands(df: DataFrame, island: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
     """Run `fold` over whole islands, thousands of rows to a call; islands never straddle two calls."""
-    return df.groupBy("media_id", F.floor(F.col(island) / BUCKET).alias("_b")).applyInPandas(fold, schema)
+    rows = spread(df.withColumn("_b", F.floor(F.col(island) / BUCKET)), "media_id", "_b")
+    return rows.groupBy("media_id", "_b").applyInPandas(fold, schema)
 
 
 # ---- units ------------------------------------------------------------------------------------------------------
@@ -247,7 +248,8 @@ def greedy_box_match(pred: DataFrame, truth: DataFrame, threshold: float = 0.5)
             hits[tick] = hits.get(tick, 0) + 1
         return pd.DataFrame({"media_id": [pdf["media_id"].iloc[0]] * len(hits), "tick": list(hits), "tp": list(hits.values())})
 
-    tp = pairs.groupBy("media_id", F.floor(F.col("tick") / 1024).alias("_b")).applyInPandas(match, MATCHED).groupBy("media_id").agg(F.sum("tp").alias("tp"))
+    bucketed = spread(pairs.withColumn("_b", F.floor(F.col("tick") / 4096)), "media_id", "_b")
+    tp = bucketed.groupBy("media_id", "_b").applyInPandas(match, MATCHED).groupBy("media_id").agg(F.sum("tp").alias("tp"))
     counts = pred.groupBy("media_id").agg(F.count(F.lit(1)).alias("_p")).join(truth.groupBy("media_id").agg(F.count(F.lit(1)).alias("_g")), "media_id", "full_outer").join(tp, "media_id", "left").fillna(0)
     return counts.select("media_id", "tp", (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_g") - F.col("tp")).alias("fn"))
 

@@ -90,38 +90,51 @@ def _substrings(text: Column, low: Column, high: Column) -> Column:
         .otherwise(F.array().cast("array<string>")))))
 
 
+LEAD = 6
+
+
 def containment(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l_id, r_id) where one text contains the other.
 
-    A contained text's leading three characters (or all of it when shorter) must occur in the container, so both
-    directions are equi joins on that key followed by the exact test: no pair is formed without a shared key.
+    A contained text's leading six characters (or all of it when shorter) must occur in the container, so both directions
+    are equi joins on that key followed by the exact test: no pair is formed without a shared key.
     """
-    one, three = F.lit(1), F.lit(3)
-
     def inside(needles: DataFrame, hays: DataFrame, n: str, h: str) -> DataFrame:
-        keyed = needles.withColumn("_k", F.substring("text", 1, 3)).withColumnRenamed("text", "_needle").withColumnRenamed("id", n)
-        grams = hays.withColumn("_k", F.explode(_substrings(F.col("text"), one, three))).withColumnRenamed("text", "_hay").withColumnRenamed("id", h)
-        return keyed.join(grams, "_k").filter(F.contains("_hay", "_needle")).select("l_id", "r_id")
+        keyed = needles.groupBy("text").agg(F.collect_set("id").alias("_ids")).withColumn("_k", F.substring("text", 1, LEAD)).withColumnRenamed("text", "_needle")
+        grams = hays.withColumn("_k", F.explode(_substrings(F.col("text"), F.lit(1), F.lit(LEAD)))).withColumnRenamed("text", "_hay").withColumnRenamed("id", h)
+        return keyed.join(grams, "_k").filter(F.contains("_hay", "_needle")).select(F.explode("_ids").alias(n), h).select("l_id", "r_id")
 
     return inside(right, left, "r_id", "l_id").unionByName(inside(left, right, "l_id", "r_id")).distinct()
 
 
 def near_tokens(tokens: DataFrame, titles: DataFrame) -> DataFrame:
-    """(l_id, r_id, distance) of tokens within max(1, length / 4) edits of a title.
+    """(l_id, r_id, distance) of tokens within max(1, length / 4) edits of a title and four characters of its length.
 
-    With t edits allowed, one of t + 1 pieces of the title survives unchanged in the token: pieces are the join key, the
-    bounded edit distance is the exact test.
+    With t edits allowed, one of t + 1 pieces of the title survives unchanged in the token, shifted by at most t places,
+    and the lengths differ by at most t.  (piece, place, token length) is the join key; the bounded edit distance is the
+    exact test, computed once per distinct pair of texts.
     """
     n = F.length("text")
     tol = F.greatest(F.lit(1), F.floor(n / 4)).cast("int")
     size = F.floor(n / (F.col("_t") + 1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("_t")), lambda i: F.substr("text", i * size + 1, size))
-    keyed = titles.withColumn("_t", tol).withColumn("_k", F.explode(F.array_distinct(pieces))).withColumnRenamed("text", "_title").withColumnRenamed("id", "r_id")
-    spread = tokens.withColumn("_k", F.explode(F.concat(F.array(F.lit("")), _substrings(F.col("text"), F.lit(1), F.lit(4))))).withColumnRenamed("text", "_token").withColumnRenamed("id", "l_id")
-    pairs = spread.join(keyed, "_k").filter(F.abs(F.length("_token") - F.length("_title")) <= 4)
-    distance = F.levenshtein("_token", "_title")
-    scored = pairs.select("l_id", "r_id", "_t", F.length("_title").alias("_len"), distance.alias("distance")).filter(F.col("distance") <= F.col("_t"))
-    return scored.groupBy("l_id", "r_id").agg(F.min("distance").alias("distance"), F.first("_len").alias("title_length"))
+    shifts = F.sequence(-F.col("_t"), F.col("_t"))
+    keyed = (
+        titles.select("text").distinct().withColumn("_t", tol).withColumn("_size", size)
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t")))).withColumn("_shift", F.explode(shifts)).withColumn("_grow", F.explode(shifts))
+        .select(F.col("text").alias("_title"), "_t", F.substr("text", F.col("_i") * F.col("_size") + 1, F.col("_size")).alias("_k"),
+                F.when(F.col("_size") > 0, F.col("_i") * F.col("_size") + 1 + F.col("_shift")).otherwise(0).alias("_at"), (n + F.col("_grow")).alias("_len"))
+        .filter("_at >= 0 AND _len > 0").distinct()
+    )
+    sizes = keyed.select(F.length("_k").alias("_w")).agg(F.max("_w").alias("_w"))
+    words = tokens.select("text").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
+    places = words.withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_w")))).withColumn("_at", F.explode(F.sequence(F.lit(0), n)))
+    spread = places.filter("(_w = 0 AND _at = 0) OR (_w > 0 AND _at > 0 AND _at + _w - 1 <= length(text))").select(
+        F.col("text").alias("_token"), F.substr("text", F.col("_at"), F.col("_w")).alias("_k"), "_at", n.alias("_len"))
+    pairs = spread.join(keyed, ["_k", "_at", "_len"]).select("_token", "_title", "_t").distinct().filter(F.abs(F.length("_token") - F.length("_title")) <= 4)
+    close = pairs.withColumn("distance", F.levenshtein("_token", "_title")).filter(F.col("distance") <= F.col("_t")).drop("_t")
+    hits = close.join(tokens.select(F.col("text").alias("_token"), F.col("id").alias("l_id")), "_token").join(
+        titles.select(F.col("text").alias("_title"), F.col("id").alias("r_id")), "_title")
+    return hits.groupBy("l_id", "r_id").agg(F.min("distance").alias("distance"), F.first(F.length("_title")).alias("title_length"))
 
 
 def infer_works(tasks: DataFrame, works: DataFrame, limit: int = 3) -> DataFrame:

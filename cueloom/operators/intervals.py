@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from cueloom.functions import text as tx
 from cueloom.functions.cols import count_if, flags
 from cueloom.operators import sequence as seq
-from cueloom.session import cut_lineage
+from cueloom.session import cut_lineage, spread
 
 MEDIA = ["media_id"]
 BUCKET_MS = 30_000
@@ -120,7 +120,8 @@ def correct(segments: DataFrame, events: DataFrame, min_confidence: float = 0.85
             out.append((row.media_id, row.segment_id, decision, reason, [e["id"] for e in strong], score, ratio))
         return pd.DataFrame(out, columns=CORRECTION.names)
 
-    return work.groupBy("media_id", F.floor(F.col("island") / 4096).alias("_b")).applyInPandas(fold, CORRECTION)
+    bucketed = spread(work.withColumn("_b", F.floor(F.col("island") / 4096)), "media_id", "_b")
+    return bucketed.groupBy("media_id", "_b").applyInPandas(fold, CORRECTION)
 
 
 def corrected_text(decisions: DataFrame, segments: DataFrame, events: DataFrame) -> DataFrame:
@@ -346,7 +347,7 @@ def diarization_error(ref: DataFrame, hyp: DataFrame, step: int = 10, collar_ms:
         cut = overlap_join(spans, zones, bucket=max(1, BUCKET_MS // step)).groupBy(
             "media_id", F.col("l_l_speaker").alias("l_speaker"), F.col("l_r_speaker").alias("r_speaker")).agg(F.sum("overlap").alias("_cut"))
         shared = shared.join(cut, ["media_id", "l_speaker", "r_speaker"], "left").withColumn("shared", F.col("shared") - F.coalesce("_cut", F.lit(0))).drop("_cut")
-    mapped = shared.groupBy("media_id").applyInPandas(_assign, ASSIGNED)
+    mapped = spread(shared, "media_id").groupBy("media_id").applyInPandas(_assign, ASSIGNED)
     out = totals.join(mapped, "media_id", "left").withColumn("confusion", F.col("_both") - F.coalesce("correct", F.lit(0))).drop("_both", "correct")
     errors = F.col("miss") + F.col("false_alarm") + F.col("confusion")
     return out.withColumn("der", F.when(F.col("ref_speech") > 0, errors / F.col("ref_speech")))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cueloom.functions import vectors as vx
 from cueloom.functions.cols import count_if
 from cueloom.operators import sequence as seq
-from cueloom.session import cut_lineage
+from cueloom.session import cut_lineage, spread
 
 # fixed values
 MATCH_THRESHOLD = 0.55
@@ -176,7 +176,7 @@ def cluster_media(groups: DataFrame, expected: int = 0) -> DataFrame:
         labels = speaker_clusters(np.stack(pdf["vec"].to_numpy()).astype(np.float64), expected)
         return pd.DataFrame({"media_id": pdf["media_id"], "id": pdf["id"], "cluster": labels})
 
-    return groups.groupBy("media_id").applyInPandas(run, schema)
+    return spread(groups, "media_id").groupBy("media_id").applyInPandas(run, schema)
 
 
 def stable_relabel(rows: DataFrame, label: str, pos: str = "pos") -> DataFrame:
@@ -208,5 +208,6 @@ def smooth_labels(rows: DataFrame, label: str = "cluster", max_ms: int = 1_500)
         return pd.DataFrame({"media_id": pdf["media_id"], "pos": pdf["pos"], "smoothed": out})
 
     slim = stretch.select("media_id", "pos", label, "_next", "_stretch")
-    folded = slim.groupBy("media_id", F.floor(F.col("_stretch") / 4096).alias("_b")).applyInPandas(fold, schema)
+    bucketed = spread(slim.withColumn("_b", F.floor(F.col("_stretch") / 4096)), "media_id", "_b")
+    folded = bucketed.groupBy("media_id", "_b").applyInPandas(fold, schema)
     return rows.join(folded, ["media_id", "pos"])

@@ -5,73 +5,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueloom.functions.cols import count_if, flags, has
+from cueloom.functions.cols import count_if, flags
 from cueloom.operators import sequence as seq
 
 SEGMENT = ["media_id", "segment_id"]
 
 
-def failure_reasons(ratio: Column) -> Column:
-    """Reasons in rule order; a NULL ratio counts as zero (neither too long nor too short)."""
-    r = F.coalesce(ratio, F.lit(0.0))
+def reason_rules() -> dict[str, Column]:
+    """Failure reasons in rule order as plain conditions; a NULL ratio counts as zero (neither too long nor too short)."""
+    r = F.coalesce("ratio", F.lit(0.0))
     source = F.coalesce(F.nullif("source_ms", F.lit(0)), F.col("line_ms"), F.lit(0))
-    return flags(
-        (F.col("overall_status") == "failed", "task_d_overall_failed"),
-        (F.col("duration_status") == "failed", "duration_failed"),
-        (F.col("speaker_status") == "failed", "speaker_failed"),
-        (F.col("intelligibility_status") == "failed", "intelligibility_failed"),
-        ((source < 1_200) | F.coalesce("too_short_flag", F.lit(False)), "too_short_source"),
-        (r > 1.65, "generated_too_long"),
-        ((r > 0) & (r < 0.55), "generated_too_short"),
-        (F.coalesce("audio_path", F.lit("")) == "", "missing_audio_path"),
-    )
-
-
-def suggested_actions(reasons: Column) -> Column:
-    everything = has(reasons, "duration_failed") & has(reasons, "speaker_failed") & has(reasons, "intelligibility_failed")
-    rewrite = has(reasons, "duration_failed", "intelligibility_failed")
-    flagged = has(reasons, "qa_flagged")
-    listed = F.array_distinct(flags(
-        (has(reasons, "too_short_source") & has(reasons, "duration_failed"), "merge_short_segments"),
+    return {
+        "task_d_overall_failed": F.col("overall_status") == "failed",
+        "duration_failed": F.col("duration_status") == "failed",
+        "speaker_failed": F.col("speaker_status") == "failed",
+        "intelligibility_failed": F.col("intelligibility_status") == "failed",
+        "too_short_source": (source < 1_200) | F.coalesce("too_short_flag", F.lit(False)),
+        "generated_too_long": r > 1.65,
+        "generated_too_short": (r > 0) & (r < 0.55),
+        "missing_audio_path": F.coalesce("audio_path", F.lit("")) == "",
+    }
+
+
+def suggested_actions(on: dict[str, Column]) -> Column:
+    """Actions from the reason conditions; a row the quality check forced in tries the whole tournament."""
+    rewrite, flagged = on["duration_failed"] | on["intelligibility_failed"], on["qa_flagged"]
+    listed = flags(
+        (on["too_short_source"] & on["duration_failed"], "merge_short_segments"),
         (rewrite, "rewrite_for_dubbing"),
-        (rewrite, "regenerate_candidates"),
-        (has(reasons, "speaker_failed"), "switch_reference_audio"),
-        (everything, "switch_tts_backend"),
-        (flagged, "regenerate_candidates"),
+        (rewrite | flagged, "regenerate_candidates"),
         (flagged, "rewrite_for_dubbing"),
-        (flagged, "switch_reference_audio"),
-        (has(reasons, "missing_audio_path"), "manual_review"),
-    ))
-    return F.when(F.size(listed) == 0, F.array(F.lit("manual_review"))).otherwise(listed)
+        (on["speaker_failed"] | flagged, "switch_reference_audio"),
+        (on["duration_failed"] & on["speaker_failed"] & on["intelligibility_failed"], "switch_tts_backend"),
+        (on["missing_audio_path"], "manual_review"),
+    )
+    quiet = ~(rewrite | flagged | on["speaker_failed"] | on["missing_audio_path"])
+    return F.when(quiet, F.array(F.lit("manual_review"))).otherwise(listed)
 
 
-def priority_tenths(reasons: Column, ratio: Column) -> Column:
+def priority_tenths(on: dict[str, Column]) -> Column:
     """Priority score in tenths (exact integers)."""
-    r = F.coalesce(ratio, F.lit(0.0))
+    r = F.coalesce("ratio", F.lit(0.0))
     weights = {"duration_failed": 15, "speaker_failed": 14, "intelligibility_failed": 14, "too_short_source": 7, "qa_flagged": 8}
     total = F.when((r >= 2.5) | ((r > 0) & (r <= 0.35)), 14).otherwise(0)
     for name, weight in weights.items():
-        total = total + F.when(has(reasons, name), weight).otherwise(0)
+        total = total + F.when(on[name], weight).otherwise(0)
     return total
 
 
 def repair_items(report: DataFrame, translations: DataFrame, forced: DataFrame) -> DataFrame:
     """Report rows that need repair, plus rows the quality check forces in as `qa_flagged`."""
     lines = translations.select(*SEGMENT, (F.col("end_ms") - F.col("start_ms")).alias("line_ms"), "source_text", "too_short_flag")
-    ratio = F.round(F.col("generated_ms") / F.col("source_ms"), 6)
+    rules = reason_rules()
+    known = {name: F.coalesce(cond, F.lit(False)) for name, cond in rules.items()}
+    anything = None
+    for cond in known.values():
+        anything = cond if anything is None else anything | cond
+    on = {**known, "qa_flagged": ~anything}
     rows = (
         report.join(lines, SEGMENT, "left")
         .join(forced.select(*SEGMENT).distinct().withColumn("_forced", F.lit(True)), SEGMENT, "left")
-        .withColumn("ratio", ratio)
-        .withColumn("reasons", failure_reasons(F.col("ratio")))
-        .filter((F.size("reasons") > 0) | F.col("_forced"))
-        .withColumn("reasons", F.when(F.size("reasons") == 0, F.array(F.lit("qa_flagged"))).otherwise(F.col("reasons")))
-        .withColumn("strict_blocker", has(F.col("reasons"), "task_d_overall_failed", "missing_audio_path"))
-        .withColumn("actions", suggested_actions(F.col("reasons")))
-        .withColumn("priority_tenths", priority_tenths(F.col("reasons"), F.col("ratio")))
+        .withColumn("ratio", F.round(F.col("generated_ms") / F.col("source_ms"), 6))
+        .filter(anything | F.coalesce("_forced", F.lit(False)))
     )
-    p = F.col("priority_tenths")
-    return rows.withColumn("priority", F.when(p >= 50, "high").when(p >= 30, "medium").otherwise("low")).drop("_forced")
+    priority = priority_tenths(on)
+    return rows.withColumns({
+        "reasons": flags(*[(cond, name) for name, cond in on.items()]),
+        "strict_blocker": on["task_d_overall_failed"] | on["missing_audio_path"],
+        "actions": suggested_actions(on),
+        "may_rewrite": on["duration_failed"] | on["intelligibility_failed"] | on["qa_flagged"],
+        "switches_reference": on["speaker_failed"] | on["qa_flagged"],
+        "speaker_failed": on["speaker_failed"],
+        "priority_tenths": priority,
+        "priority": F.when(priority >= 50, "high").when(priority >= 30, "medium").otherwise("low"),
+    }).drop("_forced")
 
 
 def queue(items: DataFrame, id_prefix: int = 4) -> DataFrame:
@@ -124,9 +131,8 @@ def attempt_grid(items: DataFrame, rewrites: DataFrame, references: DataFrame, b
     Only the first `per_item` texts and references of an item can appear in its grid, so both sides are ranked and cut
     before they meet; the product per item is at most per_item^2 times the number of backends.
     """
-    may_rewrite = has(F.col("actions"), "rewrite_for_dubbing", "merge_short_segments")
     texts = (
-        rewrites.join(items.filter(may_rewrite).select(*SEGMENT), SEGMENT, "left_semi")
+        rewrites.join(items.filter("may_rewrite").select(*SEGMENT), SEGMENT, "left_semi")
         .select(*SEGMENT, "ord", F.trim("rewrite_text").alias("text"), "variant")
         .unionByName(items.select(*SEGMENT, F.lit(1_000_000).alias("ord"), F.trim("target_text").alias("text"),
                                   F.lit("current").alias("variant")))
@@ -161,10 +167,10 @@ def attempt_grid(items: DataFrame, rewrites: DataFrame, references: DataFrame, b
 def reference_plans(items: DataFrame, references: DataFrame, current: DataFrame) -> DataFrame:
     """Per speaker with a queued reference switch: best clip, or the best alternative when the best is in use."""
     queued = (
-        items.filter(F.array_contains("actions", "switch_reference_audio") & (F.col("speaker_id") != ""))
+        items.filter(F.col("switches_reference") & (F.col("speaker_id") != ""))
         .groupBy("media_id", "speaker_id")
         .agg(F.count(F.lit(1)).alias("item_count"),
-             count_if(F.array_contains("reasons", "speaker_failed")).alias("speaker_failed_count"))
+             count_if(F.col("speaker_failed")).alias("speaker_failed_count"))
     )
     ranked = references.join(current, ["media_id", "speaker_id"], "left").withColumn(
         "is_current", F.coalesce(F.col("path") == F.col("current_path"), F.lit(False)))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueloom.session import cut_lineage
+from cueloom.session import spread as over_width
 
 BLOCK_ROWS = 65_536
 SLOT_MS = 3_600_000
@@ -216,6 +217,7 @@ def capped_sessions(
             at = int(nxt[at])
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "pos": pdf["pos"].to_numpy()[:mine], out: session})
 
+    spread = over_width(spread, *key, "_slot")
     moves = spread.groupBy(*key, "_slot").applyInPandas(exits, schema("_slot", "entry", "leave", "opened"))
     entered = moves.groupBy(*key).applyInPandas(chain, schema("_slot", "entry", "before"))
     assigned = spread.groupBy(*key, "_slot").cogroup(entered.groupBy(*key, "_slot")).applyInPandas(assign, schema("pos", out))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from cueloom.functions.cols import flags, lookup
 from cueloom.operators import sequence as seq
-from cueloom.session import cut_lineage
+from cueloom.session import cut_lineage, spread
 
 MEDIA = ["media_id"]
 
@@ -174,5 +174,5 @@ def resolve_overlaps(items: DataFrame) -> DataFrame:
         "media_id", "segment_id", "cluster", "anchor_start", "anchor_end", "placement_start", "placement_end", "fitted_ms", "source_ms", "has_window",
         "overall_status", "quality_score")
     # whole clusters share a bucket, so a Python call settles thousands of rows instead of two or three
-    bucket = F.floor(F.col("cluster") / CLUSTER_BUCKET).alias("bucket")
-    return alone.unionByName(crowded.groupBy(*MEDIA, bucket).applyInPandas(_settle, RESOLVED))
+    bucketed = spread(crowded.withColumn("bucket", F.floor(F.col("cluster") / CLUSTER_BUCKET)), *MEDIA, "bucket")
+    return alone.unionByName(bucketed.groupBy(*MEDIA, "bucket").applyInPandas(_settle, RESOLVED))

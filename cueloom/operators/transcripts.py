@@ -20,6 +20,31 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def word_errors(pairs: DataFrame) -> DataFrame:
+    return spread(pairs, "media_id", "ord").select("media_id", "ord", tx.wer(F.col("ref_text"), F.col("hyp_text")).alias("wer"))
+
+
+def character_overlap(pairs: DataFrame) -> DataFrame:
+    """Order-free character similarity and length ratio of candidate texts."""
+    a, b = F.col("ref_text"), F.col("hyp_text")
+    return spread(pairs, "media_id", "ord").select("media_id", "ord", tx.multiset_similarity(a, b).alias("similarity"), tx.length_ratio(a, b).alias("length_ratio"))
+
+
+def token_dropout(pairs: DataFrame) -> DataFrame:
+    """Target tokens missing from the read-back.
+
+    Counts per (line, token) are aggregated before the two sides meet, so the work is linear in the tokens of a line.
+    """
+    key = ["media_id", "ord"]
+
+    def counts(column: str, name: str) -> DataFrame:
+        return pairs.select(*key, F.explode(tx.speech_tokens(F.col(column))).alias("t")).groupBy(*key, "t").agg(F.count(F.lit(1)).alias(name))
+
+    both = counts("ref_text", "w").join(counts("hyp_text", "h"), [*key, "t"], "left")
+    sums = both.groupBy(*key).agg(F.sum("w").alias("total"), F.sum(F.greatest(F.lit(0), F.col("w") - F.coalesce("h", F.lit(0)))).alias("missing"))
+    return pairs.select(*key).join(sums, key, "left").fillna(0, ["total", "missing"])
+
+
 def transcript_scores(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """One row per media: error rate of the joined transcript, median duration, short share, speakers, switch rate.
 

@@ -8,6 +8,7 @@ from cueloom.functions import text as tx
 from cueloom.functions.cols import joined
 from cueloom.operators import transcripts as tr
 from cueloom.plans.registry import query
+from cueloom.session import spread
 
 NORM = "regexp_replace(regexp_replace(lower(trim({0})), '\\s+', '', 'g'), '[^a-z0-9_]+', '', 'g')"
 LOW = "lower(regexp_replace({0}, '\\s+', '', 'g'))"
@@ -27,7 +28,7 @@ def _(src):
 
 @query("word_error_rate")
 def _(src):
-    return src("text_pairs").select("media_id", "ord", tx.wer(F.col("ref_text"), F.col("hyp_text")).alias("wer"))
+    return tr.word_errors(src("text_pairs"))
 
 
 @query("transcript_scores", f"""WITH d AS (SELECT media_id, string_agg(ref_text, '' ORDER BY ord) AS r0, string_agg(hyp_text, '' ORDER BY ord) AS h0 FROM text_pairs GROUP BY media_id),
@@ -47,8 +48,7 @@ x AS (SELECT media_id, ord, c, count(*) AS n FROM (SELECT media_id, ord, unnest(
 s AS (SELECT media_id, ord, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared FROM x JOIN y USING (media_id, ord, c) GROUP BY ALL)
 SELECT media_id, ord, coalesce(shared, 0) / greatest(length(a), length(b)) AS similarity, length(b) / length(a) AS length_ratio FROM c LEFT JOIN s USING (media_id, ord)""")
 def _(src):
-    a, b = F.col("ref_text"), F.col("hyp_text")
-    return src("text_pairs").select("media_id", "ord", tx.multiset_similarity(a, b).alias("similarity"), tx.length_ratio(a, b).alias("length_ratio"))
+    return tr.character_overlap(src("text_pairs"))
 
 
 @query("arbitration", """WITH v AS (SELECT media_id, ord, ref_text AS asr, hyp_text AS ocr, CASE (media_id + ord) % 5 WHEN 0 THEN 'use_asr' WHEN 1 THEN 'use_ocr' WHEN 2 THEN 'merge' WHEN 3 THEN 'merge' END AS verdict,
@@ -66,15 +66,15 @@ def _(src):
 
 @query("dropped_tokens", """WITH a AS (SELECT media_id, ord, regexp_extract_all(lower(ref_text), '[a-z0-9]+') AS w, regexp_extract_all(lower(hyp_text), '[a-z0-9]+') AS h FROM text_pairs),
 x AS (SELECT media_id, ord, t, count(*) AS n FROM (SELECT media_id, ord, unnest(w) AS t FROM a) GROUP BY ALL), y AS (SELECT media_id, ord, t, count(*) AS n FROM (SELECT media_id, ord, unnest(h) AS t FROM a) GROUP BY ALL),
-d AS (SELECT media_id, ord, CAST(sum(greatest(0, x.n - coalesce(y.n, 0))) AS INTEGER) AS missing FROM x LEFT JOIN y USING (media_id, ord, t) GROUP BY ALL)
-SELECT media_id, ord, coalesce(missing, 0) AS missing, CAST(len(w) AS INTEGER) AS total FROM a LEFT JOIN d USING (media_id, ord)""")
+d AS (SELECT media_id, ord, CAST(sum(greatest(0, x.n - coalesce(y.n, 0))) AS BIGINT) AS missing FROM x LEFT JOIN y USING (media_id, ord, t) GROUP BY ALL)
+SELECT media_id, ord, coalesce(missing, 0) AS missing, len(w) AS total FROM a LEFT JOIN d USING (media_id, ord)""")
 def _(src):
-    return src("text_pairs").select("media_id", "ord", tx.dropped_tokens(F.col("ref_text"), F.col("hyp_text")).alias("missing"), F.size(tx.speech_tokens(F.col("ref_text"))).alias("total"))
+    return tr.token_dropout(src("text_pairs"))
 
 
 @query("matching_block_similarity")
 def _(src):
-    return src("text_pairs").select(
+    return spread(src("text_pairs"), "media_id", "ord").select(
         "media_id", "ord", tx.block_ratio("ref_text", "hyp_text").alias("ratio"), tx.block_coverage("ref_text", "hyp_text").alias("coverage"),
         tx.dropped_tokens_exact("ref_text", "hyp_text").alias("missing"))
 
@@ -172,7 +172,7 @@ SELECT doc_id, CASE WHEN length(t) = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBL
   + CASE WHEN regexp_matches(t, '[{tx.DIALOGUE_PUNCTUATION}]') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(t, '[{tx.DIALOGUE_MARKERS}]') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END)) END AS score FROM b""")
 def _(src):
     tail = F.when(F.col("doc_id") % 3 == 0, "的，").when(F.col("doc_id") % 3 == 1, "我是").otherwise("")
-    return src("documents").select("doc_id", tx.sentence_likeness(F.concat("text", tail)).alias("score"))
+    return spread(src("documents"), "doc_id").select("doc_id", tx.sentence_likeness(F.concat("text", tail)).alias("score"))
 
 
 CREDIT_LINE = "p_name || CASE p_partkey % 6 WHEN 0 THEN ' 主演 张三 李四 张三' WHEN 1 THEN ' Media ' || p_type || ' ' || p_type WHEN 2 THEN chr(10) || '文化传媒有限公司' WHEN 3 THEN ' ' || p_type || ' ' || p_type || 'S' ELSE ' ' || p_brand END"
