@@ -56,7 +56,7 @@ def best_matches(left: DataFrame, right: DataFrame, k: int, left_blocks: int = 8
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"id": [], "group_id": [], "score": []})
+            return pd.DataFrame({"id": a["id"].iloc[:0].to_numpy(), "group_id": b["group_id"].iloc[:0].to_numpy(), "score": np.empty(0)})
         b = b.sort_values("group_id", ignore_index=True)
         groups, first = np.unique(b["group_id"].to_numpy(), return_index=True)
         vecs = np.stack(b["vec"].to_numpy()).astype(np.float64)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as tx
 from cueloom.operators import sequence as seq
+from cueloom.session import cut_lineage
 
 MEDIA = ["media_id"]
 
@@ -141,13 +142,14 @@ def infer_works(tasks: DataFrame, works: DataFrame, limit: int = 3) -> DataFrame
     """Top works per task name: containment 0.9, close token 0.6-0.7, else a title suggestion from the file pattern 0.5."""
     hay = tasks.select(F.col("task_id").alias("id"), _spread_words(F.col("name")).alias("text")).filter("text <> ''")
     names = works.select(F.col("work_id").alias("id"), F.explode(F.concat(F.array("title"), "aliases")).alias("text")).select("id", norm_name(F.col("text")).alias("text")).filter("text <> ''")
-    hits = containment(hay, names).select(F.col("l_id").alias("task_id"), F.col("r_id").alias("work_id"), F.lit(0.9).alias("score"), F.lit(0).alias("pass"))
+    hits = cut_lineage(containment(cut_lineage(hay), cut_lineage(names)).select(
+        F.col("l_id").alias("task_id"), F.col("r_id").alias("work_id"), F.lit(0.9).alias("score"), F.lit(0).alias("pass")))
     tokens = hay.select("id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("text")).filter("text <> ''")
     titles = works.select(F.col("work_id").alias("id"), _spread_words(F.col("title")).alias("text")).filter("text <> ''")
-    near = near_tokens(tokens, titles).withColumn("score", F.lit(0.6) + (1 - F.col("distance") / F.col("title_length")) * 0.1)
+    near = near_tokens(cut_lineage(tokens), cut_lineage(titles)).withColumn("score", F.lit(0.6) + (1 - F.col("distance") / F.col("title_length")) * 0.1)
     fuzzy = near.select(F.col("l_id").alias("task_id"), F.col("r_id").alias("work_id"), F.round("score", 3).alias("score"), F.lit(1).alias("pass")).join(
         hits.select("task_id", "work_id"), ["task_id", "work_id"], "left_anti")
-    matched = hits.unionByName(fuzzy).join(works.select("work_id", "title"), "work_id")
+    matched = cut_lineage(hits.unionByName(fuzzy).join(works.select("work_id", "title"), "work_id"))
     suggestion = tasks.select("task_id", tx.file_title(F.col("name")).alias("title")).filter("title IS NOT NULL")
     known = matched.select("task_id", norm_name(F.col("title")).alias("_t")).distinct()
     fresh = suggestion.withColumn("_t", F.lower("title")).join(known, ["task_id", "_t"], "left_anti").select(

@@ -108,7 +108,8 @@ def label_islands(df: DataFrame, key: Keys, order: Keys, slot: Column, breaks: C
                   out: str = "island") -> DataFrame:
     """One scan for `outputs` and the rank `pos`, then islands by `breaks` (which may use those outputs) on the same shuffle."""
     first = cut_lineage(scan(df, key, order, slot, {**outputs, "pos": ("row", None)}))
-    return scan(first, key, order, None, {out: ("last", F.when(breaks, F.col("pos")))}).drop("_slot")
+    # by rank, so that rows tied in `order` keep the sequence the breaks were computed in
+    return scan(first, key, ["pos"], None, {out: ("last", F.when(breaks, F.col("pos")))}).drop("_slot")
 
 
 def gap_islands(df: DataFrame, key: Keys, order: Keys, slot: Column, gap_ms: int, running_end: bool = True, out: str = "island") -> DataFrame:

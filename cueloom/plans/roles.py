@@ -75,6 +75,7 @@ ROLES: dict[str, str] = {
                (h * 11 % 101) / 100.0E0 AS quality_score
         FROM (SELECT l_suppkey AS media_id,
                      CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
+                       || '-' || CAST(CAST(l_quantity AS INTEGER) AS STRING)
                        AS segment_id,
                      'spk_' || CAST(l_linenumber AS STRING) AS speaker_id,
                      (l_orderkey * 7 + l_linenumber * 31 + l_partkey * 13) AS h,
@@ -89,6 +90,7 @@ ROLES: dict[str, str] = {
     "translations": """
         SELECT l_suppkey AS media_id,
                CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
+                       || '-' || CAST(CAST(l_quantity AS INTEGER) AS STRING)
                  || CASE WHEN l_orderkey % 23 = 0 THEN '-lost' ELSE '' END AS segment_id,
                'src ' || l_linestatus || ' ' || CAST(l_partkey AS STRING) AS source_text,
                l_returnflag || ' text ' || CAST(l_partkey AS STRING) AS target_text,
