@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cueloom.operators import entities as en
 from cueloom.operators import speakers as sp
 from cueloom.plans.registry import query
+from cueloom.session import cut_lineage
 
 
 @query("name_similarity", """WITH n AS (SELECT s_suppkey AS id, lower(trim(s_name)) AS x, CASE s_suppkey % 5 WHEN 0 THEN lower(s_name) WHEN 1 THEN substring(lower(s_name), 1, 8) WHEN 2 THEN substring(lower(s_name), 3, 6) WHEN 3 THEN 'zz' ELSE '' END AS y FROM supplier)
@@ -95,6 +96,7 @@ def _(src):
     # a work is titled by the first two words of its document, a task file is named after one, with typos
     head = F.lower(F.regexp_replace("text", "[^A-Za-z ]", ""))
     words = src("documents").select("doc_id", head.alias("t")).select("doc_id", F.concat(F.split_part("t", F.lit(" "), F.lit(1)), F.split_part("t", F.lit(" "), F.lit(2))).alias("word")).filter(F.length("word") > 4)
+    words = cut_lineage(words)
     works = words.select(F.col("doc_id").alias("work_id"), F.col("word").alias("title"), F.array().cast("array<string>").alias("aliases"))
     k = F.col("doc_id") % 3
     name = F.when(k == 0, F.concat("word", F.lit(".S01E0"), (F.col("doc_id") % 9).cast("string"), F.lit(".mkv"))).when(k == 1, F.concat(F.replace("word", F.lit("e"), F.lit("a")), F.lit(".E7.mkv"))).otherwise(F.concat("word", F.lit("_1999.mkv")))
