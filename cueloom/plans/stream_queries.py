@@ -8,9 +8,6 @@ from cueloom.plans.registry import query
 from cueloom.plans.roles import Source
 from cueloom.streaming import jobs
 
-BASE = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def _stream(src: Source):
     path = f"{src.folder.rstrip(chr(47))}/event[s].parquet"  # a glob, since a file stream takes no single-file path
     rows = jobs.file_stream(src.spark, path, src("events").schema)
@@ -18,7 +15,7 @@ def _stream(src: Source):
 
 
 def _ms(ts):
-    return F.unix_millis(ts) - F.unix_millis(BASE.cast("timestamp"))
+    return F.unix_millis(ts) - F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))
 
 
 @query("stream_stage_status", """WITH u AS (SELECT user_id % 20 AS task_id, 'stage_' || event_type AS stage, CASE WHEN value > 90 THEN 'failed' WHEN value > 60 THEN 'succeeded' ELSE 'running' END AS status, CAST(floor(value) AS BIGINT) AS progress, ts, event_id FROM events)
