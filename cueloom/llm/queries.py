@@ -1,11 +1,13 @@
 """Name -> query of each operator, and the SQL of those that SQL can express."""
 
+from cueloom.llm.embedding_dedup import op10_embedding_dedup
 from cueloom.llm.language_id import op4_language_id
 from cueloom.llm.license_scan import op1_license_scan
 from cueloom.llm.packing import op7_packing
 from cueloom.llm.quality import op3_quality
+from cueloom.llm.simhash import op2_simhash
 from cueloom.llm.substring import op9_substring_dedup
 from cueloom.llm.suffix_dedup import op8_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_quality, op4_language_id, op7_packing, op8_suffix_dedup, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_quality, op4_language_id, op7_packing, op8_suffix_dedup, op9_substring_dedup, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
