@@ -105,9 +105,11 @@ def texts_of(group: pa.Table):
         yield doc, text.as_py()
 
 
-def dealt(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
-    """(doc_id, text, block), number of blocks, number of hash ranges; both numbers follow the bytes of the whole table."""
+def dealt(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, block, rest: the carried columns), number of blocks, number of hash ranges; both numbers follow the bytes of the whole table."""
     rows = id_text(docs, id_col, text_col)
+    if carry:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.struct(*carry).alias("rest"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")), blocks, max(1, math.ceil(blocks / 2))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cueloom.session import cut_lineage
 
-__all__ = ["cut_lineage", "id_text", "is_held_out", "map_texts", "read_table", "rows_of", "text_bytes"]
+__all__ = ["cut_lineage", "id_text", "is_held_out", "keep_texts", "map_texts", "read_table", "rows_of", "text_bytes"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,3 +66,15 @@ def map_texts(docs: DataFrame, each: Callable, schema: str, id_col: str = "doc_i
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+
+def keep_texts(docs: DataFrame, each: Callable, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text's bytes (or None) the function made by `each()` in every task accepts."""
+
+    def run(batches):
+        accept = each()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+            yield batch.filter(pa.array([accept(t.as_py()) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

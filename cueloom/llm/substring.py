@@ -9,6 +9,7 @@ level n alone, since every longer repeat consists of repeated n-word windows; fu
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,13 @@ def word_values(words: list[bytes], known: WordHash) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def stretches_left(text: bytes, kept: np.ndarray) -> bytes:
+    """The stretches of kept words, each with its own inner white space, one per line."""
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    on = np.flatnonzero(np.diff(np.concatenate([[False], kept, [False]]).astype(np.int8)))
+    return b"\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in on.reshape(-1, 2).tolist())
+
+
 class Block:
     """The windows of a block's documents, level by level, from its texts and the answers so far."""
 
@@ -103,18 +111,19 @@ class Block:
         return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, start: int | None = None, longest: int | None = None, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, start: int | None = None, longest: int | None = None, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a `window`-word string that also starts in a document with a smaller id.
 
     One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by blanks), longest (the longest
-    level at which the row has a repeated window, 0 if none), kept (the joined words, only if `texts`).  Null texts have no
-    words; rows with a null id are neither sources nor cut; rows that repeat an id do not cut each other; ties, empty tables
+    level at which the row has a repeated window, 0 if none); with `texts` also kept (the text without the removed words: null
+    stays null, an untouched text stays as it was, the stretches left of a cut one are joined by line feeds); `carry` adds a
+    struct `rest` of the row's named columns.  Null texts have no words; rows with a null id are neither sources nor cut; rows that repeat an id do not cut each other; ties, empty tables
     and other columns need no care.
     """
     lengths = [start or (window + 1) // 2, window]
     while longest and lengths[-1] * 2 <= longest:
         lengths.append(lengths[-1] * 2)
-    rows, _, buckets = B.dealt(docs, block_bytes, id_col, text_col)
+    rows, _, buckets = B.dealt(docs, block_bytes, id_col, text_col, carry)
     grouped = rows.groupBy("block")
 
     def block():
@@ -153,7 +162,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int | None = None,
         for doc, text in B.texts_of(group):
             words = text_bytes(text).split()
             n = len(words)
-            gone, far = 0, 0
+            gone, far, left = 0, 0, text
             if doc is not None and n >= window:
                 s, e = starts[at], entry[at]
                 hit = s[outside[e] | (least[e] < doc)] if len(s) else s
@@ -165,11 +174,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int | None = None,
                     kept = np.cumsum(edge[:n]) == 0
                     gone = n - int(kept.sum())
                     words = [w for w, k in zip(words, kept.tolist(), strict=True) if k]
-            kept_text = b" ".join(words)
-            out.append((doc, n, gone, hashlib.sha256(kept_text).hexdigest(), far, kept_text.decode("utf-8", "replace") if texts else None))
-        return B.table(out, OUT)
+                    left = stretches_left(text, kept) if texts else None
+            out.append((doc, n, gone, hashlib.sha256(b" ".join(words)).hexdigest(), far, left.decode("utf-8", "replace") if texts and left is not None else None))
+        done = B.table(out, OUT)
+        return done.append_column("rest", group.column("rest")) if carry else done
 
-    result = grouped.cogroup(answers.groupBy("block")).applyInArrow(remove, OUT)
+    schema = f"{OUT}, rest {rows.schema['rest'].dataType.simpleString()}" if carry else OUT
+    result = grouped.cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
     return result if texts else result.drop("kept")
 
 
