@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from cueloom.llm import blocks as B
-from cueloom.llm.common import cut_lineage, read_table, text_bytes
+from cueloom.llm.common import read_table, text_bytes
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, kept string"
 SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -142,10 +142,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int | None = None,
 
         return run
 
-    answers = cut_lineage(B.answer_shared(grouped.applyInArrow(emit_halves, B.ENTRIES), 0))
+    answers = B.answer_shared(grouped.applyInArrow(emit_halves, B.ENTRIES), 0)
     for level in range(1, len(lengths)):
         found = grouped.cogroup(answers.groupBy("block")).applyInArrow(emit_windows(level), B.ENTRIES)
-        answers = answers.unionByName(cut_lineage(B.answer_smaller(found, level)))
+        answers = answers.unionByName(B.answer_smaller(found, level))
 
     def remove(key, group, answers):
         own = block().read(group)
