@@ -134,6 +134,8 @@ def index_shards(items: DataFrame, least: float, shard_bytes: int, id_col: str =
     for s in range(shards):
         part = parsed.where(F.pmod(F.xxhash64("doc_id"), F.lit(shards)) == s)
         rows = sorted((r["doc_id"], [bytes(w) for w in r["words"]]) for r in part.collect())
+        if not rows:
+            continue
         mine = part.select(F.explode("words").alias("w")).distinct()
         frequency = {bytes(r["w"]): r["count"] for r in mine.join(seen, "w").collect()}
         yield lambda rows=rows, frequency=frequency: Index(rows, facts["n"], facts["mean"], frequency, least)
