@@ -150,8 +150,8 @@ def mask_ranges(frames: DataFrame) -> DataFrame:
     return runs.groupBy("media_id", "island").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame")).drop("island")
 
 
-def plan_ranges(ranges: DataFrame, target: int, total_frames: int) -> DataFrame:
-    """Grow single-frame ranges between their neighbours and merge short adjacent ones, clamped to the video.
+def plan_ranges(ranges: DataFrame, target: int) -> DataFrame:
+    """Grow single-frame ranges between their neighbours and merge short adjacent ones, clamped to the media's `total_frames`.
 
     With disjoint sorted ranges the growth only needs the next start and the previous (grown) end, and the greedy merge
     has a closed form: inside a contiguous stretch a range opens a new group iff it is at least `target` long and starts
@@ -166,13 +166,13 @@ def plan_ranges(ranges: DataFrame, target: int, total_frames: int) -> DataFrame:
     single = s == e
     grown = near.withColumn("_s", F.when(single, F.greatest(s - half, F.coalesce(prev_end + 1, s - half))).otherwise(s)).withColumn(
         "_e", F.when(single, F.least(s + half, F.coalesce(F.col("_ns") - 1, s + half))).otherwise(e))
-    rows = cut_lineage(grown.select("media_id", F.col("_s").alias("start_frame"), F.col("_e").alias("end_frame")))
+    rows = cut_lineage(grown.select("media_id", F.col("_s").alias("start_frame"), F.col("_e").alias("end_frame"), "total_frames"))
     apart = F.col("_pe").isNull() | (s > F.col("_pe") + 1)
     first = cut_lineage(seq.scan(rows, MEDIA, ["start_frame"], slot, {"_pe": ("lag", e), "pos": ("row", None)}))
     begins = cut_lineage(seq.scan(first, MEDIA, ["start_frame"], None, {"_begin": ("last", F.when(apart, s))}))
     opens = (s == F.col("_begin")) | ((e - s + 1 >= target) & (s - F.col("_begin") >= target))
-    merged = seq.scan(begins, MEDIA, ["start_frame"], None, {"grp": ("last", F.when(opens, F.col("pos")))}).groupBy("media_id", "grp").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
-    return merged.withColumn("end_frame", F.least(F.col("end_frame"), F.lit(total_frames - 1))).filter("end_frame >= start_frame").drop("grp")
+    merged = seq.scan(begins, MEDIA, ["start_frame"], None, {"grp": ("last", F.when(opens, F.col("pos")))}).groupBy("media_id", "grp").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.max("total_frames").alias("total_frames"))
+    return merged.withColumn("end_frame", F.least(F.col("end_frame"), F.col("total_frames") - 1)).filter("end_frame >= start_frame").drop("grp", "total_frames")
 
 
 def boxes_in_ranges(frames: DataFrame, ranges: DataFrame, bucket: int = 256) -> DataFrame:
@@ -183,16 +183,16 @@ def boxes_in_ranges(frames: DataFrame, ranges: DataFrame, bucket: int = 256) ->
         "media_id", "start_frame", "end_frame", "x1", "y1", "x2", "y2").distinct()
 
 
-def frame_hits(hits: DataFrame, total_frames: int, fps: float, stride: int, lead: int = 0, trail: int = 0) -> DataFrame:
-    """Frame hits merged into events: a gap larger than max(2 strides, 0.35 s) after the padded run end opens a new one."""
-    reach = F.least(F.lit(total_frames - 1), F.col("frame") + stride * 3 + trail)
+def frame_hits(hits: DataFrame, fps: float, stride: int, lead: int = 0, trail: int = 0) -> DataFrame:
+    """Frame hits (with their media's `total_frames`) merged into events: a gap larger than max(2 strides, 0.35 s) after the padded run end opens a new one."""
+    reach = F.least(F.col("total_frames") - 1, F.col("frame") + stride * 3 + trail)
     gap = max(stride * 2, int(round(fps * 0.35)))
     slot = F.floor(F.col("frame") / 65_536).cast("long")
     breaks = F.col("_p").isNull() | (F.col("frame") > F.col("_p") + gap)
     runs = seq.label_islands(hits, MEDIA, ["frame", "hit_id"], slot, breaks, {"_p": ("lag", reach)})
     return runs.groupBy("media_id", "island").agg(
         F.greatest(F.lit(0), F.min("frame") - stride * 2 - lead).alias("start_frame"),
-        F.least(F.lit(total_frames - 1), F.max("frame") + stride * 3 + trail).alias("end_frame"),
+        F.least(F.max("total_frames") - 1, F.max("frame") + stride * 3 + trail).alias("end_frame"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.avg("confidence").alias("confidence")).drop("island")
 
 

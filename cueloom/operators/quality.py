@@ -49,8 +49,8 @@ def duration_ratio() -> Column:
 
 
 def universe(report: DataFrame, translations: DataFrame) -> DataFrame:
-    """Every translated line plus everything rendered; a placed row beats a skipped one beats a synthetic undubbed row."""
-    best = Window.partitionBy(*SEGMENT).orderBy(F.col("placed").desc())
+    """Every translated line plus everything rendered; a placed row beats a skipped one beats a synthetic undubbed row, then the earliest and shortest wins."""
+    best = Window.partitionBy(*SEGMENT).orderBy(F.col("placed").desc(), *[F.col(c) for c in ("start_ms", "generated_ms", "speaker_id", "audio_path") if c in report.columns])
     rendered = report.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
     tr = translations.select(
         *SEGMENT, F.col("source_text"), F.col("target_text").alias("_t_target"), F.col("speaker_label").alias("_t_label"),

@@ -25,17 +25,17 @@ SINGLE_SPEAKER_FLOOR = 0.52
 
 
 def prototypes(vectors: DataFrame, key: list[str], dim: int) -> DataFrame:
-    """Medoid by mean similarity, mean of the vectors within 0.6 of it, unit length.
+    """Medoid by mean similarity, mean of the vectors within 0.6 of it, unit length; a lone vector stays as it is.
 
     The mean similarity of a vector to its group is its dot product with the group's mean vector, so the medoid needs no
     pairs: one mean vector per group joined back.
     """
     centre = vectors.groupBy(*key).agg(vx.mean_vector("vec", dim).alias("_mean"), F.count(F.lit(1)).alias("_n"))
     scored = vectors.join(centre, key).withColumn("_s", F.round(vx.dot(F.col("vec"), F.col("_mean")), 9))
-    medoid = scored.groupBy(*key).agg(F.max_by("vec", F.struct("_s", -F.col("id"))).alias("_medoid"))
+    medoid = scored.groupBy(*key).agg(F.max_by("vec", F.struct("_s", -F.col("id"))).alias("_medoid"), F.max("_n").alias("_n"))
     kept = vectors.join(medoid, key).filter(vx.dot(F.col("vec"), F.col("_medoid")) >= KEEP_COSINE)
-    out = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("kept"), vx.mean_vector("vec", dim).alias("_m"))
-    return out.select(*key, "kept", vx.unit(F.col("_m")).alias("prototype"))
+    out = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("kept"), vx.mean_vector("vec", dim).alias("_m"), F.max("_n").alias("_n"))
+    return out.select(*key, "kept", F.when(F.col("_n") == 1, F.col("_m")).otherwise(vx.unit(F.col("_m"))).alias("prototype"))
 
 
 def registry_floor(registry: DataFrame, blocks: int = 4) -> DataFrame:

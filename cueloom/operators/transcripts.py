@@ -149,16 +149,22 @@ def judge_summary(scores: DataFrame) -> DataFrame:
         F.count("judge_score").alias("scored"))
 
 
+# fixed values
+INTRODUCTIONS = ("我是", "我叫")
+ADDRESS_MARKS = ("，你", "，您", "！", "？", "：")
+NAME_CHARS = "一-鿿A-Za-z"
+
+
 def suggest_names(segments: DataFrame, limit: int = 3) -> DataFrame:
     """Persona names per speaker: self-introductions (1.2 each) and names others address them by (0.6 each).
 
     "Others" are counted as all addressed names of the media minus the speaker's own, so no speaker x segment product.
     """
-    intro = F.regexp_extract("text", "我(?:是|叫)([一-鿿A-Za-z]{1,6})", 1)
+    intro = F.regexp_extract("text", f"(?:{'|'.join(INTRODUCTIONS)})([{NAME_CHARS}]{{1,6}})", 1)
     hint = F.lit(None).cast("string")
-    for mark in reversed(("，你", "，您", "！", "？", "：")):
+    for mark in reversed(ADDRESS_MARKS):
         hint = F.when(F.contains("text", F.lit(mark)), F.substring_index("text", mark, 1)).otherwise(hint)
-    head = F.regexp_replace(F.trim(hint), "[^一-鿿A-Za-z]", "")
+    head = F.regexp_replace(F.trim(hint), f"[^{NAME_CHARS}]", "")
     called = F.right(head, F.lit(4))
     rows = segments.select("media_id", "speaker_label", intro.alias("intro"), called.alias("called"))
     own = rows.filter("intro <> ''").groupBy("media_id", "speaker_label", F.col("intro").alias("name")).agg(

@@ -167,8 +167,17 @@ def _band(value: Column, *bands: tuple[float, float, float], low: float) -> Colu
     return out.otherwise(low)
 
 
+# fixed values
+LAUGHTER_WORDS = ("哈哈", "呵呵", "hahaha", "lol")
+EMPHASIS_MARKS = "!！?？~"
+
+
 def laughter(text: Column) -> Column:
-    return F.lower(text).rlike("(哈哈|呵呵|hahaha|lol)")
+    """Any of the laughter words, in any case."""
+    low, found = F.lower(text), F.lit(False)
+    for word in LAUGHTER_WORDS:
+        found = found | F.contains(low, F.lit(word))
+    return found
 
 
 def synthesis_reference_score(seconds: Column, text: Column, rms: Column) -> Column:
@@ -195,7 +204,7 @@ def reference_risks(seconds: Column, text: Column, rms: Column) -> Column:
         (seconds > 15.0, "too_long_for_auto_clone"),
         (rms <= 0.005, "low_rms"),
         (rms >= 0.45, "high_rms"),
-        (F.lower(text).rlike("[!！?？~]{2,}") | laughter(text), "expressive_or_laughter"),
+        (text.rlike(f"[{EMPHASIS_MARKS}]{{2,}}") | laughter(text), "expressive_or_laughter"),
     )
 
 

@@ -94,6 +94,11 @@ def _frames(src):
     return dt.event_frames(_subtitles(src).select("media_id", "x1", "y1", "x2", "y2", frame.alias("start_frame"), (frame + F.col("segment_id") % 12).alias("end_frame")))
 
 
+def frame_totals(src):
+    """Frames of each media at 25 per second, to the end of its last segment."""
+    return src("segments").groupBy("media_id").agg((F.max(F.floor(F.col("end_ms") / 40)) + 1).alias("total_frames"))
+
+
 @query("event_frames", FRAMES_SQL + "SELECT * FROM fr")
 def _(src):
     return _frames(src)
@@ -106,7 +111,8 @@ def _(src):
 
 @query("plan_ranges")
 def _(src):
-    return dt.plan_ranges(dt.mask_ranges(_frames(src)), 9, 8_000)
+    ranges = dt.mask_ranges(_frames(src))
+    return dt.plan_ranges(ranges.join(ranges.groupBy("media_id").agg((F.max("end_frame") + 1).alias("total_frames")), "media_id"), 9)
 
 
 @query("boxes_in_ranges", FRAMES_SQL + "SELECT DISTINCT r.media_id, start_frame, end_frame, x1, y1, x2, y2 FROM ranges r JOIN fr USING (media_id) WHERE frame BETWEEN start_frame AND end_frame")
@@ -122,13 +128,14 @@ def _(src):
     return dt.region_frames(media, [(0.9, 0.8, 0.1, 0.95), (0.25, 0.0, 0.5, 0.125)])
 
 
-@query("frame_hits", f"""WITH h AS (SELECT media_id, segment_id, start_ms // 40 AS frame, (segment_id * 13 % 41 + 60) / 100.0::DOUBLE AS confidence, {BOX} FROM segments),
-b AS (SELECT *, CASE WHEN frame <= least(7999, lag(frame) OVER w + 12 + 2) + 9 THEN 0 ELSE 1 END AS brk FROM h WINDOW w AS (PARTITION BY media_id ORDER BY frame, segment_id)),
+@query("frame_hits", f"""WITH tf AS (SELECT media_id, max(end_ms // 40) + 1 AS total FROM segments GROUP BY media_id), h AS (SELECT media_id, total, segment_id, start_ms // 40 AS frame, (segment_id * 13 % 41 + 60) / 100.0::DOUBLE AS confidence, {BOX} FROM segments JOIN tf USING (media_id)),
+b AS (SELECT *, CASE WHEN frame <= least(total - 1, lag(frame) OVER w + 12 + 2) + 9 THEN 0 ELSE 1 END AS brk FROM h WINDOW w AS (PARTITION BY media_id ORDER BY frame, segment_id)),
 g AS (SELECT *, sum(brk) OVER (PARTITION BY media_id ORDER BY frame, segment_id) AS grp FROM b)
-SELECT media_id, greatest(0, min(frame) - 8 - 3) AS start_frame, least(7999, max(frame) + 12 + 2) AS end_frame, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(confidence), 10) AS confidence FROM g GROUP BY media_id, grp""")
+SELECT media_id, greatest(0, min(frame) - 8 - 3) AS start_frame, least(max(total) - 1, max(frame) + 12 + 2) AS end_frame, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(confidence), 10) AS confidence FROM g GROUP BY media_id, grp""")
 def _(src):
     hits = _subtitles(src).withColumn("frame", F.floor(F.col("start_ms") / 40)).withColumnRenamed("segment_id", "hit_id")
-    return dt.frame_hits(hits, 8_000, 25.0, 4, lead=3, trail=2).withColumn("confidence", F.round("confidence", 10))
+    hits = hits.join(frame_totals(src), "media_id")
+    return dt.frame_hits(hits, 25.0, 4, lead=3, trail=2).withColumn("confidence", F.round("confidence", 10))
 
 
 HINT_SQL = f"""WITH e AS (SELECT media_id, segment_id, {BOX} FROM segments),

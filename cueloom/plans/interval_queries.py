@@ -140,10 +140,11 @@ def _(src):
     return ev.micro_prf(iv.tick_text_counts(src("segments"), src("ocr_events")), ["media_id"])
 
 
-@query("expand_events", """WITH e AS (SELECT media_id, segment_id, start_ms // 40 AS sf, end_ms // 40 AS ef FROM segments), x AS (SELECT *, greatest(0, sf - 5) AS start_frame, greatest(greatest(0, sf - 5), least(7999, ef + 8)) AS end_frame FROM e)
+@query("expand_events", """WITH tf AS (SELECT media_id, max(end_ms // 40) + 1 AS total FROM segments GROUP BY media_id), e AS (SELECT media_id, segment_id, total, start_ms // 40 AS sf, end_ms // 40 AS ef FROM segments JOIN tf USING (media_id)), x AS (SELECT *, greatest(0, sf - 5) AS start_frame, greatest(greatest(0, sf - 5), least(total - 1, ef + 8)) AS end_frame FROM e)
 SELECT media_id, segment_id, start_frame, end_frame, start_frame / 25.0::DOUBLE AS start_sec, end_frame / 25.0::DOUBLE AS end_sec FROM x""")
 def _(src):
-    events = src("segments").select("media_id", "segment_id", F.floor(F.col("start_ms") / 40).alias("start_frame"), F.floor(F.col("end_ms") / 40).alias("end_frame"), F.lit(8000).cast("long").alias("total_frames"))
+    events = src("segments").select("media_id", "segment_id", F.floor(F.col("start_ms") / 40).alias("start_frame"), F.floor(F.col("end_ms") / 40).alias("end_frame"))
+    events = events.join(events.groupBy("media_id").agg((F.max("end_frame") + 1).alias("total_frames")), "media_id")
     return iv.expand_events(events, 5, 8, 25.0).drop("total_frames")
 
 

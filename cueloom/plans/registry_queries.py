@@ -133,7 +133,7 @@ def _(src):
 
 @query("speaker_clusters")
 def _(src):
-    return rg.cluster_media(_vectors(src).select((F.col("id") % 20).alias("media_id"), "id", "vec"))
+    return rg.cluster_media(_vectors(src).select(F.floor(F.col("id") / 25).alias("media_id"), "id", "vec"))
 
 
 @query("stable_relabel", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, segment_id) - 1 AS pos FROM segments), f AS (SELECT media_id, event_type, min(pos) AS first FROM c GROUP BY ALL),

@@ -35,7 +35,7 @@ ROLES: dict[str, str] = {
         FROM {segments}""",
     # diarization turns: boundary jitter, every 7th speaker swapped, one in five missing
     "turns": """
-        SELECT media_id, segment_id AS turn_id, start_ms + (segment_id * 53) % 400 - 200 AS start_ms,
+        SELECT media_id, segment_id AS turn_id, greatest(0, start_ms + (segment_id * 53) % 400 - 200) AS start_ms,
                end_ms + (segment_id * 29) % 300 AS end_ms,
                CASE WHEN segment_id % 7 = 0 THEN 'X_09' ELSE replace(speaker_label, 'SPEAKER', 'X') END AS speaker
         FROM {segments} WHERE segment_id % 5 <> 0""",

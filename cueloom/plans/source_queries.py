@@ -39,9 +39,9 @@ def _(src):
     return ingest.parse_subtitles(noisy)
 
 
-@query("rttm_lines", "SELECT media_id, start_ms, printf('SPEAKER %d 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', media_id, start_ms / 1000.0::DOUBLE, (end_ms - start_ms) / 1000.0::DOUBLE, speaker) AS value FROM turns WHERE start_ms >= 0")
+@query("rttm_lines", "SELECT media_id, start_ms, printf('SPEAKER %d 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', media_id, start_ms / 1000.0::DOUBLE, (end_ms - start_ms) / 1000.0::DOUBLE, speaker) AS value FROM turns")
 def _(src):
-    return sinks.rttm_lines(src("turns").filter("start_ms >= 0"))
+    return sinks.rttm_lines(src("turns"))
 
 
 @query("parse_rttm", "SELECT media_id, start_ms, end_ms, speaker FROM turns WHERE end_ms > start_ms")
@@ -59,10 +59,12 @@ def _(src):
     return ingest.parse_textgrid(docs.withColumn("value", F.concat(F.lit('File type = "ooTextFile"\nitem []:\n'), "value")))
 
 
-@query("parse_conversations", """SELECT media_id, start_ms, end_ms, speaker_label AS speaker, regexp_replace(regexp_replace(text, '[\\[\\]]', '', 'g'), '\\s+', '', 'g') AS text FROM cues""")
+@query("parse_conversations", """SELECT media_id, start_ms, end_ms, speaker_label AS speaker, regexp_replace(CASE ord % 3 WHEN 0 THEN '[+]' || text WHEN 1 THEN text || '[LAUGHTER]' ELSE substring(text, 1, 5) || '[N,S]' || substring(text, 6) END, '\\s+', '', 'g') AS text FROM cues""")
 def _(src):
-    line = F.format_string("[%.3f,%.3f] %s %s%s", F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0, F.col("speaker_label"), F.when(F.col("segment_id") % 2 == 0, "男,北京 ").otherwise(""), F.regexp_replace("text", r"[\[\]]", ""))
-    return ingest.parse_conversations(_documents(_cues(src).select("media_id", "segment_id", line.alias("value")), "segment_id"))
+    k = F.col("ord") % 3
+    tagged = F.when(k == 0, F.concat(F.lit("[+]"), "text")).when(k == 1, F.concat("text", F.lit("[LAUGHTER]"))).otherwise(F.concat(F.substring("text", 1, 5), F.lit("[N,S]"), F.expr("substring(text, 6)")))
+    line = F.format_string("[%.3f,%.3f] %s %s%s", F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0, F.col("speaker_label"), F.when(F.col("ord") % 2 == 0, "男,北京 ").otherwise(""), tagged)
+    return ingest.parse_conversations(_documents(src("cues").select("media_id", F.col("ord").alias("segment_id"), line.alias("value")), "segment_id"))
 
 
 @query("parse_segments", """SELECT media_id, CASE WHEN ord % 2 = 0 THEN 'id-' || CAST(ord AS STRING) ELSE 'alt-' || CAST(ord AS STRING) END AS segment_id, CAST(ord + 1 AS INTEGER) AS ord, start_ms, end_ms, CAST(NULL AS BIGINT) AS dur_ms, text, speaker_label FROM cues""")

@@ -103,16 +103,13 @@ def _(src):
     return tr.budget_summary(rows, ["source"])
 
 
-REPEATED = "|".join(f"{c}{{5,}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
-
-
 @query("script_flags", LINES_SQL + """SELECT doc_id, concat_ws('|', CASE WHEN regexp_matches(text, '[A-Za-z]') AND regexp_matches(text, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]') THEN 'mixed_language' END,
   CASE WHEN length(trim(text)) <= 2 THEN 'too_short_source' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'contains_number' END, CASE WHEN contains(text, 'the') THEN 'contains_protected_term' END,
-  CASE fit_level WHEN 'review' THEN 'duration_may_overrun' WHEN 'risky' THEN 'duration_risky' END) AS flags FROM f""")
+  CASE WHEN trim(text) = '' OR len(list_filter(range(5, len(l) + 1), lambda i: l[i] = l[i - 1] AND l[i] = l[i - 2] AND l[i] = l[i - 3] AND l[i] = l[i - 4] AND l[i] <> chr(10))) > 0 THEN 'source_maybe_asr_error' END,
+  CASE fit_level WHEN 'review' THEN 'duration_may_overrun' WHEN 'risky' THEN 'duration_risky' END, CASE WHEN trim(text) = '' THEN 'empty_target' END) AS flags FROM (SELECT *, string_split(trim(text), '') AS l FROM f)""")
 def _(src):
-    # the repeated-character rule needs a back-reference the check engine lacks; it is covered by a unit test
     flags = tx.script_flags(F.col("text"), F.col("text"), F.contains("text", F.lit("the")), F.col("fit_level"))
-    return _lines(src).select("doc_id", joined(F.array_remove(flags, "source_maybe_asr_error")).alias("flags"))
+    return _lines(src).select("doc_id", joined(flags).alias("flags"))
 
 
 @query("polish_flags", """SELECT media_id, ord, concat_ws('|', CASE WHEN NOT contains(lower(hyp_text), 'the') OR NOT contains(lower(hyp_text), 'an') THEN 'protected_term_missing' END,

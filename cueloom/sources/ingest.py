@@ -67,24 +67,38 @@ def _ms(number: Column) -> Column:
     return F.round(number.try_cast("decimal(18,6)") * 1000).cast("long")
 
 
+def _value(text: str, key: str) -> Column:
+    """What stands behind `key =`: a quoted string with its quotes, or a bare word; empty if the key is absent."""
+    return F.regexp_extract(text, rf'\b{key}\s*=\s*("[^"\\]*+(?:\\.[^"\\]*+)*+"|\S+)', 1)
+
+
+def _unquoted(value: Column) -> Column:
+    return F.replace(F.when(F.startswith(value, F.lit('"')), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value), F.lit('\\"'), F.lit('"'))
+
+
 def parse_textgrid(docs: DataFrame) -> DataFrame:
-    """Non-empty intervals of every tier of long-form TextGrid texts."""
+    """Non-empty intervals of every tier of long-form TextGrid texts (lines of `key = value` under `item [n]:` and `intervals [n]:`)."""
     tiers = docs.select("media_id", F.posexplode(F.split("value", r"item\s*\[\d+\]\s*:")).alias("tier_no", "body")).filter("tier_no > 0")
-    name = F.coalesce(F.nullif(F.trim(F.regexp_extract("body", r'name\s*=\s*"([^"]*)"', 1)), F.lit("")), F.lit("speaker"))
-    pattern = r'(?s)intervals\s*\[\d+\]\s*:\s*xmin\s*=\s*([0-9.]+)\s*xmax\s*=\s*([0-9.]+)\s*text\s*=\s*"((?:[^"\\]|\\.)*)"'
-    found = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "t"))])
-    rows = tiers.select("media_id", name.alias("speaker"), F.explode(found).alias("i"))
-    return rows.select("media_id", _ms(F.col("i.a")).alias("start_ms"), _ms(F.col("i.b")).alias("end_ms"), "speaker",
-                       F.regexp_replace(F.replace("i.t", F.lit('\\"'), F.lit('"')), STRIP, "").alias("text")).filter("text <> '' AND end_ms > start_ms")
+    name = F.when(_value("body", "name") == "", "speaker").otherwise(F.trim(_unquoted(_value("body", "name"))))
+    rows = tiers.select("media_id", name.alias("speaker"), F.posexplode(F.split("body", r"intervals\s*\[\d+\]\s*:")).alias("no", "part")).filter("no > 0")
+    return rows.select("media_id", _ms(_value("part", "xmin")).alias("start_ms"), _ms(_value("part", "xmax")).alias("end_ms"), "speaker",
+                       F.regexp_replace(_unquoted(_value("part", "text")), STRIP, "").alias("text")).filter("text <> '' AND end_ms > start_ms")
+
+
+TIME_MARK = r"\[\s*[0-9.]+\s*,\s*[0-9.]+\s*\]"
 
 
 def parse_conversations(docs: DataFrame) -> DataFrame:
-    """`[start,end] speaker [gender,dialect] text` transcripts: the attribute token drops, spaces in the text collapse."""
-    pattern = r"(?s)\[\s*([0-9.]+)\s*,\s*([0-9.]+)\s*\]([^\[]*)"
-    found = F.arrays_zip(*[F.regexp_extract_all("value", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "t"))])
-    rows = docs.select("media_id", F.explode(found).alias("i")).select(
-        "media_id", _ms(F.col("i.a")).alias("start_ms"), _ms(F.col("i.b")).alias("end_ms"), F.filter(F.split("i.t", r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") >= 2)
-    attributed = F.col("w")[1].rlike(r"^[男女][^\s,]*,[^\s]+$")
+    """`[start,end] speaker [gender,dialect] text` transcripts: the attribute token drops, spaces in the text collapse.
+
+    A turn reaches to the next complete time mark (two numbers and a comma in brackets); other brackets belong to the text.
+    """
+    turns = docs.select("media_id", F.explode(F.split("value", f"(?={TIME_MARK})")).alias("turn")).filter(F.col("turn").rlike(f"^{TIME_MARK}"))
+    mark, tail = F.substring_index("turn", "]", 1), F.regexp_replace("turn", f"^{TIME_MARK}", "")
+    times = F.split(F.regexp_replace(mark, r"[\[\s]", ""), ",")
+    rows = turns.select("media_id", _ms(times[0]).alias("start_ms"), _ms(times[1]).alias("end_ms"), F.filter(F.split(tail, r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") >= 2)
+    second = F.col("w")[1]
+    attributed = F.substring(second, 1, 1).isin("男", "女") & F.locate(",", second).between(2, F.length(second) - 1)
     body = F.slice("w", F.when(attributed, 3).otherwise(2), F.size("w"))
     return rows.select("media_id", "start_ms", "end_ms", F.col("w")[0].alias("speaker"), F.array_join(body, "").alias("text")).filter("text <> '' AND end_ms > start_ms")
 

@@ -102,7 +102,7 @@ def test_plan_ranges_matches_sequential(spark):
         else:
             merged.append((s, e))
     df = spark.createDataFrame([(1, s, e) for s, e in ranges], "media_id long, start_frame long, end_frame long")
-    got = sorted((r["start_frame"], r["end_frame"]) for r in dt.plan_ranges(df, target, 10**6).collect())
+    got = sorted((r["start_frame"], r["end_frame"]) for r in dt.plan_ranges(df.withColumn("total_frames", F.lit(10**6)), target).collect())
     assert got == merged
 
 
