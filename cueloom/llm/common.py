@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.session import cut_lineage
+from cueloom.session import shared_dir
 
 __all__ = ["cut_lineage", "id_text", "is_held_out", "keep_texts", "map_texts", "read_table", "rows_of", "text_bytes"]
 
@@ -17,6 +18,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder and read again: what is read twice is computed once, and a lost executor costs a read.
+
+    Tables stay until the folder that `spark.checkpoint.dir` names is cleared.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 on division by 3; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
