@@ -45,11 +45,10 @@ ROLES: dict[str, str] = {
                turn * 6000 + (conv_id * 37 + turn * 101) % 900 AS start_ms,
                turn * 6000 + (conv_id * 37 + turn * 101) % 900 + 300 + length(text) * 10 AS end_ms
         FROM {conversations}""",
-    # reference and hypothesis transcripts of the same cue; ASCII so both engines count characters
+    # reference and hypothesis transcripts of the same cue, in full
     "text_pairs": """
-        SELECT conv_id AS media_id, turn AS ord, role AS speaker_label, regexp_replace(text, '[^ -~]', '', 'g') AS ref_text,
-               CASE WHEN (conv_id + turn) % 4 = 0 THEN regexp_replace(text, '[^ -~]', '', 'g')
-                    ELSE replace(replace(regexp_replace(text, '[^ -~]', '', 'g'), 'an', 'a'), 'the ', '') END AS hyp_text
+        SELECT conv_id AS media_id, turn AS ord, role AS speaker_label, text AS ref_text,
+               CASE WHEN (conv_id + turn) % 4 = 0 THEN text ELSE replace(replace(text, 'an', 'a'), 'the ', '') END AS hyp_text
         FROM {conversations}""",
     # synthesis / render report, one row per dubbed line
     "report": """

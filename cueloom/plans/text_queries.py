@@ -10,18 +10,29 @@ from cueloom.operators import transcripts as tr
 from cueloom.plans.registry import query
 from cueloom.session import spread
 
-NORM = "regexp_replace(regexp_replace(lower(trim({0})), '\\s+', '', 'g'), '[^a-z0-9_]+', '', 'g')"
+NORM = "regexp_replace(regexp_replace(lower(trim({0})), '\\s+', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+', '', 'g')"
 LOW = "lower(regexp_replace({0}, '\\s+', '', 'g'))"
 R, H = LOW.format("ref_text"), LOW.format("hyp_text")
 
 
-def SIM(a, b):
-    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0::DOUBLE WHEN least(length({a}), length({b})) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+def EDITS(a, b, chars):
+    """Edit distance in characters; the check engine counts bytes, so the `chars` of both sides become characters of one byte."""
+    one = "(SELECT string_agg(chr(CAST(i AS INTEGER)), '' ORDER BY i) FROM range(1, 128) t(i))"
+    plain = [f"translate({x}, array_to_string({chars}, ''), substring({one}, 1, CAST(len({chars}) AS BIGINT)))" for x in (a, b)]
+    return f"levenshtein({plain[0]}, {plain[1]})"
 
 
-@query("pair_scores", f"""WITH n AS (SELECT *, {NORM.format('ref_text')} AS r, {NORM.format('hyp_text')} AS h, {R} AS rl, {H} AS hl FROM text_pairs)
+def CHARS(a, b):
+    return f"list_distinct(string_split({a} || {b}, ''))"
+
+
+def SIM(a, b, chars):
+    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0::DOUBLE WHEN least(length({a}), length({b})) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - {EDITS(a, b, chars)} / greatest(length({a}), length({b})) END)"
+
+
+@query("pair_scores", f"""WITH n AS (SELECT *, {NORM.format('ref_text')} AS r, {NORM.format('hyp_text')} AS h, {R} AS rl, {H} AS hl FROM text_pairs), m AS (SELECT *, {CHARS('r', 'h')} AS dn, {CHARS('rl', 'hl')} AS dl FROM n)
 SELECT media_id, ord, CAST(length(r) AS INTEGER) AS ref_chars, CAST(length(h) AS INTEGER) AS hyp_chars, CASE WHEN length(rl) = 0 THEN CASE WHEN length(hl) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
-  ELSE levenshtein(rl, hl) / length(rl) END AS cer, {SIM('r', 'h')} AS similarity FROM n""")
+  ELSE {EDITS('rl', 'hl', 'dl')} / length(rl) END AS cer, {SIM('r', 'h', 'dn')} AS similarity FROM m""")
 def _(src):
     return tr.score_pairs(src("text_pairs"))
 
@@ -32,11 +43,11 @@ def _(src):
 
 
 @query("transcript_scores", f"""WITH d AS (SELECT media_id, string_agg(ref_text, '' ORDER BY ord) AS r0, string_agg(hyp_text, '' ORDER BY ord) AS h0 FROM text_pairs GROUP BY media_id),
-n AS (SELECT media_id, {NORM.format('r0')} AS r, {NORM.format('h0')} AS h FROM d),
+n AS (SELECT media_id, r, h, {CHARS('r', 'h')} AS dn FROM (SELECT media_id, {NORM.format('r0')} AS r, {NORM.format('h0')} AS h FROM d)),
 l AS (SELECT *, lag(speaker_label) OVER (PARTITION BY media_id ORDER BY ord) AS p, end_ms - start_ms AS dur FROM cues),
 s AS (SELECT media_id, count(*) AS segment_count, quantile_cont(dur, 0.5) AS median_ms, count(*) FILTER (dur <= 1000) / count(*) AS short_ratio, count(DISTINCT speaker_label) AS speakers,
   CASE WHEN count(*) > 1 THEN count(*) FILTER (p <> speaker_label) / (count(*) - 1) ELSE 0.0 END AS switch_rate FROM l GROUP BY media_id)
-SELECT n.media_id, CAST(length(r) AS INTEGER) AS ref_chars, CAST(length(h) AS INTEGER) AS hyp_chars, CAST(levenshtein(r, h) AS INTEGER) AS edits, levenshtein(r, h) / length(r) AS cer, {SIM('r', 'h')} AS similarity,
+SELECT n.media_id, CAST(length(r) AS INTEGER) AS ref_chars, CAST(length(h) AS INTEGER) AS hyp_chars, CAST({EDITS('r', 'h', 'dn')} AS INTEGER) AS edits, {EDITS('r', 'h', 'dn')} / length(r) AS cer, {SIM('r', 'h', 'dn')} AS similarity,
   s.* EXCLUDE (media_id) FROM n JOIN s USING (media_id)""")
 def _(src):
     segments = src("cues").withColumn("dur_ms", F.col("end_ms") - F.col("start_ms"))
