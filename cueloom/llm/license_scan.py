@@ -153,4 +153,37 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_licenses(read_table(spark, folder, "documents")).drop("matches")
+    return scan_licenses(read_table(spark, folder, "documents")).drop("matches").withColumn("score", F.round("score", 6))
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+
+def op1_sql() -> str:
+    """The same scan by brute force: every template at every place."""
+    known = templates()
+    vocabulary = _sql_list(sorted({w for t in known for w in t[1]}))
+    wide, starts, scores = [], [], []
+    for t, (_, body, keys, _) in enumerate(known):
+        (key, place), rest = keys[0], keys[1:]
+        at = f"list_filter(range(1, len(l) + 1), lambda i: l[i : i + {len(key) - 1}] = {_sql_list(key)}"
+        for k, p in rest:  # notices have two key phrases
+            at += f" AND len(list_filter(range(greatest(i + {len(key)}, i + {p - place - SLACK}), i + {p - place + SLACK + 1}), lambda j: l[j : j + {len(k) - 1}] = {_sql_list(k)})) > 0"
+        starts.append(f"CASE WHEN contains(norm, ' {b' '.join(key).decode()} ') THEN list_transform({at}), lambda i: i - {place}) ELSE [] END AS s{t}")
+        wide.append(f"list_transform({_sql_list(body)}, lambda x: ln(1 + (n + 1) / (1 + coalesce(element_at(df, x)[1], 0)))) AS f{t}")
+        scores.append(f"list_max(list_transform(s{t}, lambda s: list_sum(list_transform(range(1, {len(body) + 1}), lambda i: CASE WHEN s + i - 1 >= 1 AND l[s + i - 1] = {_sql_list(body)}[i] THEN f{t}[i] ELSE 0 END)) / list_sum(f{t})))")
+    base = [t for t, k in enumerate(known) if k[3]]
+    every = " || ".join(f"s{t}" for t in base)
+    named = lambda which: ", ".join(f"CASE WHEN len(s{t}) > 0 THEN '{known[t][0]}' END" for t in which)
+    labels = lambda which: f"array_to_string(list_sort(list_distinct([{named(which)}])), ',')"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS l FROM documents),
+     c AS (SELECT x, count(*) AS k FROM (SELECT unnest(list_intersect(list_distinct(l), {vocabulary})) AS x FROM w) GROUP BY x),
+     i AS (SELECT map_from_entries(coalesce((SELECT list((x, k)) FROM c), [])) AS df, (SELECT count(*) FROM w) AS n),
+     f AS (SELECT {', '.join(wide)} FROM i),
+     s AS (SELECT doc_id, l, {', '.join(starts)} FROM (SELECT *, ' ' || array_to_string(l, ' ') || ' ' AS norm FROM w))
+SELECT doc_id, len(l) AS n_words, len({every}) AS n_base, list_min({every}) - 1 AS first_word, list_max({every}) - 1 AS last_word, {labels(base)} AS base_labels, {labels(range(len(known)))} AS labels,
+       round(least(1.0, greatest(0.0, {', '.join(scores)})), 6)::DOUBLE AS score
+FROM s, f"""
