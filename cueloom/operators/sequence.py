@@ -25,7 +25,8 @@ from cueloom.session import cut_lineage
 from cueloom.session import spread as over_width
 
 BLOCK_ROWS = 65_536
-SLOT_MS = 3_600_000
+SLOT_MS = 60_000  # a minute of one media: what a scan's task holds is bounded by how much can be said or shown in it
+SESSION_SLOT_MS = 3_600_000
 
 Keys = Sequence[str]
 _PLAIN = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -141,7 +142,7 @@ def capped_sessions(
     cap_ms: int,
     max_rows: int | None = None,
     gap_ms: int | None = None,
-    slot_ms: int = SLOT_MS,
+    slot_ms: int = SESSION_SLOT_MS,
     out: str = "session",
 ) -> DataFrame:
     """Greedy sessions over rows with `pos, start_ms, end_ms` ascending in pos and start.

@@ -109,7 +109,12 @@ def _(src):
     return dt.mask_ranges(_frames(src))
 
 
-@query("plan_ranges")
+@query("plan_ranges", FRAMES_SQL + """, n AS (SELECT *, lead(start_frame) OVER w AS ns, lag(start_frame) OVER w AS ps, lag(end_frame) OVER w AS pe, max(end_frame) OVER (PARTITION BY media_id) + 1 AS total FROM ranges WINDOW w AS (PARTITION BY media_id ORDER BY start_frame)),
+p AS (SELECT *, CASE WHEN ps = pe THEN least(pe + 4, start_frame - 1) ELSE pe END AS before FROM n),
+w AS (SELECT media_id, total, CASE WHEN start_frame = end_frame THEN greatest(start_frame - 4, coalesce(before + 1, start_frame - 4)) ELSE start_frame END AS s, CASE WHEN start_frame = end_frame THEN least(start_frame + 4, coalesce(ns - 1, start_frame + 4)) ELSE end_frame END AS e FROM p),
+a AS (SELECT *, lag(e) OVER (PARTITION BY media_id ORDER BY s) AS le FROM w), t AS (SELECT *, max(CASE WHEN le IS NULL OR s > le + 1 THEN s END) OVER (PARTITION BY media_id ORDER BY s) AS stretch FROM a),
+q AS (SELECT *, sum(CASE WHEN s = stretch OR e - s + 1 >= 9 AND s - stretch >= 9 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY s) AS grp FROM t),
+z AS (SELECT media_id, min(s) AS start_frame, least(max(e), max(total) - 1) AS end_frame FROM q GROUP BY media_id, grp) SELECT * FROM z WHERE end_frame >= start_frame""")
 def _(src):
     ranges = dt.mask_ranges(_frames(src))
     return dt.plan_ranges(ranges.join(ranges.groupBy("media_id").agg((F.max("end_frame") + 1).alias("total_frames")), "media_id"), 9)
@@ -179,7 +184,15 @@ def _tick_boxes(src):
     return pred, truth
 
 
-@query("greedy_box_match")
+@query("greedy_box_match", """WITH RECURSIVE t AS (SELECT media_id, CAST(floor(frame / 8) AS BIGINT) AS tick, frame * 100 + box_id AS box_id, x1, y1, x2, y2, l_linenumber FROM boxes),
+p AS (SELECT media_id, tick, box_id, x1 + 3 AS x1, y1 + 1 AS y1, x2 + 5 AS x2, y2 FROM t WHERE l_linenumber <> 4),
+i AS (SELECT p.media_id, p.tick, p.box_id AS a, t.box_id AS b, greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) AS s, (p.x2 - p.x1) * (p.y2 - p.y1) AS pa, (t.x2 - t.x1) * (t.y2 - t.y1) AS ta FROM p JOIN t ON p.media_id = t.media_id AND p.tick = t.tick),
+c AS (SELECT media_id, tick, a, b, row_number() OVER (PARTITION BY media_id, tick ORDER BY s / (pa + ta - s) DESC, a, b) AS k FROM i WHERE s / (pa + ta - s) >= 0.5::DOUBLE),
+r AS (SELECT media_id, tick, k, [a] AS u, [b] AS v FROM c WHERE k = 1 UNION ALL SELECT c.media_id, c.tick, c.k, CASE WHEN list_contains(u, a) OR list_contains(v, b) THEN u ELSE list_append(u, a) END, CASE WHEN list_contains(u, a) OR list_contains(v, b) THEN v ELSE list_append(v, b) END
+  FROM r JOIN c ON c.media_id = r.media_id AND c.tick = r.tick AND c.k = r.k + 1),
+m AS (SELECT media_id, CAST(sum(len(u)) AS BIGINT) AS tp FROM (SELECT media_id, tick, arg_max(u, k) AS u FROM r GROUP BY ALL) GROUP BY media_id),
+n AS (SELECT coalesce(x.media_id, y.media_id) AS media_id, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM (SELECT media_id, count(*) AS np FROM p GROUP BY media_id) x FULL JOIN (SELECT media_id, count(*) AS nt FROM t GROUP BY media_id) y ON x.media_id = y.media_id)
+SELECT media_id, coalesce(tp, 0) AS tp, np - coalesce(tp, 0) AS fp, nt - coalesce(tp, 0) AS fn FROM n LEFT JOIN m USING (media_id)""")
 def _(src):
     return dt.greedy_box_match(*_tick_boxes(src))
 
@@ -270,7 +283,15 @@ def _(src):
     return dt.drop_credit_rolls(_credit_subtitles(src)).select("media_id", "segment_id")
 
 
-@query("main_window")
+@query("main_window", """WITH b AS (SELECT media_id, segment_id, CASE WHEN start_ms < 40000 THEN start_ms // 4 WHEN start_ms > 310000 THEN start_ms * 2 ELSE start_ms + 30000 END AS s, dur_ms FROM segments),
+o AS (SELECT media_id, segment_id, s, s + dur_ms AS e, row_number() OVER w - 1 AS pos, lag(s + dur_ms) OVER w AS pe, lead(s, 5) OVER w AS s5 FROM b WINDOW w AS (PARTITION BY media_id ORDER BY s, s + dur_ms, segment_id)),
+w AS (SELECT media_id, count(*) AS n, min(s) AS first, arg_max(e, pos) AS last, max(e) + 5000 AS program, min(CASE WHEN s5 - s <= 30000 THEN pos END) AS dense FROM o GROUP BY media_id),
+h AS (SELECT w.*, CASE WHEN pos > 0 AND pos < least(n, greatest(40, floor(n * 0.12::DOUBLE))) AND s - pe >= 18000 AND pos <= greatest(20, floor(n * 0.08::DOUBLE)) AND greatest(0, pe - first) <= greatest(180000.0::DOUBLE, greatest(1000, last - first) * 0.12::DOUBLE) THEN pos ELSE 0 END AS head
+  FROM w LEFT JOIN o ON o.media_id = w.media_id AND o.pos = w.dense),
+g AS (SELECT h.*, o.s AS begin, n >= 40 AND NOT (greatest(0, last - first) < 300000 AND program < 600000) AS active FROM h JOIN o ON o.media_id = h.media_id AND o.pos = h.head),
+t AS (SELECT g.media_id, max(pos) AS tail FROM g JOIN o USING (media_id) WHERE pos > head AND n - head >= 40 AND s - pe >= 18000 AND s >= greatest(begin + greatest(0, last - begin) * 0.88::DOUBLE, greatest(program, last) * 0.88::DOUBLE)
+  AND pos - head >= greatest(30, floor(n * 0.55::DOUBLE)) AND (n - pos) / greatest(1, pos - head) <= 0.08::DOUBLE AND (greatest(0, last - s) <= 120000 OR greatest(0, last - s) / greatest(1000, pe - begin) <= 0.06::DOUBLE) GROUP BY g.media_id)
+SELECT o.media_id, o.segment_id FROM o JOIN g USING (media_id) LEFT JOIN t USING (media_id) WHERE NOT active OR head >= coalesce(tail, n) OR (pos >= head AND pos < coalesce(tail, n))""")
 def _(src):
     s = src("segments").select("media_id", "segment_id", F.when(F.col("start_ms") < 40_000, F.col("start_ms") / 4).when(F.col("start_ms") > 310_000, F.col("start_ms") * 2).otherwise(F.col("start_ms") + 30_000).cast("long").alias("start_ms"), F.col("dur_ms"))
     subs = s.select("media_id", "segment_id", "start_ms", (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"))

@@ -142,6 +142,8 @@ def _(src):
     return rg.stable_relabel(sp.ordered(src("segments")), "event_type").select("media_id", "segment_id", "stable_label")
 
 
-@query("smooth_labels")
+@query("smooth_labels", """WITH RECURSIVE p AS (SELECT media_id, segment_id, speaker_label AS l, dur_ms, row_number() OVER w - 1 AS pos, lead(speaker_label) OVER w AS nx FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, end_ms, segment_id)),
+r AS (SELECT media_id, segment_id, pos, l AS o FROM p WHERE pos = 0 UNION ALL SELECT p.media_id, p.segment_id, p.pos, CASE WHEN dur_ms <= 1500 AND nx IS NOT NULL AND r.o = nx THEN r.o ELSE l END FROM r JOIN p ON p.media_id = r.media_id AND p.pos = r.pos + 1)
+SELECT media_id, segment_id, pos, o AS smoothed FROM r""")
 def _(src):
     return rg.smooth_labels(sp.ordered(src("segments")), "speaker_label").select("media_id", "segment_id", "pos", "smoothed")
