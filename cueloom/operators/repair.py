@@ -236,3 +236,20 @@ def editor_units(translations: DataFrame, timeline: DataFrame, mix_report: DataF
         .join(characters.select("media_id", "speaker_id", "character_id"), ["media_id", "speaker_id"], "left")
         .select(*SEGMENT, "speaker_id", "character_id", *[F.coalesce(f"_m_{c}", f"_t_{c}").alias(c) for c in fields])
     )
+
+
+def synthesis_groups(rows: DataFrame) -> DataFrame:
+    """`unit_pos`: position of the first row that is synthesised together with this one (`pos`, context_id, start, end, needs_unit).
+
+    Consecutive rows of one non-empty context are one unit if they are two to four, span at most 8 s and one of them needs it;
+    all others stand alone.
+    """
+    key = ["media_id"]
+    context = F.coalesce("context_id", F.lit(""))
+    ahead = seq.prefix(rows, key, {"_before": ("lag", context)})
+    breaks = F.col("_before").isNull() | (context == "") | (context != F.col("_before"))
+    marked = seq.islands(ahead, key, breaks, "_run").drop("_before")
+    whole = marked.groupBy("media_id", "_run").agg(
+        F.count(F.lit(1)).between(2, 4).alias("_few"), (F.max_by("end_ms", "pos") - F.min_by("start_ms", "pos") <= 8_000).alias("_short"), F.bool_or("needs_unit").alias("_need"))
+    kept = whole.filter("_few AND _short AND _need").select("media_id", "_run", F.lit(True).alias("_unit"))
+    return marked.join(kept, ["media_id", "_run"], "left").withColumn("unit_pos", F.when(F.col("_unit"), F.col("_run")).otherwise(F.col("pos"))).drop("_run", "_unit")
