@@ -66,6 +66,11 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return (window_minimum(keys, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def keys_of(grams: np.ndarray) -> np.ndarray:
+    """Keys of chosen grams, spread evenly: the least of many by `mix` would crowd the low end of its own order."""
+    return mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def planes(values: np.ndarray) -> bytes:
     """Bytes of 64-bit values, all lowest bytes first: equal high bytes then compress."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -87,7 +92,9 @@ def cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of the stretches of sorted keys."""
     at = bucket_of(keys, buckets)
     edges = np.flatnonzero(np.diff(at)) + 1
-    starts = [0, *edges.tolist()] if len(at) else []
+    if not len(at):
+        return []
+    starts = [0, *edges.tolist()]
     return [(int(at[a]), a, b) for a, b in zip(starts, [*starts[1:], len(at)], strict=True)]
 
 

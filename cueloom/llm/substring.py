@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from cueloom.llm import blocks as B
 from cueloom.llm.common import read_table, text_bytes
@@ -63,7 +64,7 @@ class Block:
         for h in self.values:
             grams = B.rolling(h, self.start)
             place = B.anchors(grams, self.window - self.start + 1)
-            at.append(B.mix(grams)[place])
+            at.append(B.keys_of(grams[place]))
             own.append(np.unique(at[-1]))
         every = np.concatenate(own) if own else np.zeros(0, np.uint64)
         keys, counts = np.unique(every, return_counts=True)
@@ -179,7 +180,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int | None = None,
         done = B.table(out, OUT)
         return done.append_column("rest", group.column("rest")) if carry else done
 
-    schema = f"{OUT}, rest {rows.schema['rest'].dataType.simpleString()}" if carry else OUT
+    schema = StructType.fromDDL(OUT)
+    if carry:
+        schema = schema.add(rows.schema["rest"])
     result = grouped.cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
     return result if texts else result.drop("kept")
 
