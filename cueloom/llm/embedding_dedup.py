@@ -172,3 +172,13 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, recall: float =
 
 def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup(read_table(spark, folder, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+     reach AS (SELECT vec_id AS v, vec_id AS u FROM embeddings UNION SELECT r.v, l.b FROM reach r JOIN l ON l.a = r.u),
+     n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT v AS vec_id, min(u) AS component_id FROM reach GROUP BY v)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

@@ -188,4 +188,15 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int | None = None,
 
 
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup(read_table(spark, folder, "documents"))
+    return substring_dedup(read_table(spark, folder, "documents")).drop("longest")
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+     g AS (SELECT doc_id, s, array_to_string(l[s : s + 12], ' ') AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 11)) AS s FROM w WHERE len(l) >= 13)),
+     m AS (SELECT k, min(doc_id) AS low FROM g GROUP BY k),
+     gone AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 13)))) AS r FROM g JOIN m USING (k) WHERE low < doc_id GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_words, coalesce(len(r), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN r IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(r, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
