@@ -5,8 +5,9 @@ as the longest item has, one cell apart, so an item that stands in a text lies w
 the item's score against itself; `least` is the share that counts.  Every posting list has a maximum per block of items.  For all
 passages of a text at once, the block maxima of each cell's distinct terms are added up; only passages that some block could lift
 to the threshold walk the postings, by WAND: a pivot from list maxima, then block maxima, skipping what cannot reach the
-threshold.  What is retrieved must hold `overlap` of the word 3-grams of the item's question (all but its last quarter of words)
-and of its answer (the rest).
+threshold.  What is retrieved must hold the item's question (all but its last quarter of words) and its answer (the rest):
+`overlap` of the word 3-grams of each, or both one behind the other with no more words changed, inserted or missing than
+1 - `overlap` of each, where a few edits are always allowed (`slack`), since one edit breaks three grams and short parts have few.
 
 The index is built per task from a shard of items of at most `shard_bytes`, which bounds the table of block maxima (distinct
 words x blocks); larger benchmarks are taken shard by shard.
@@ -40,6 +41,35 @@ def question_and_answer(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+def slack(n: int, overlap: float) -> int:
+    """Edits that a part of n words may have: 1 - overlap of its words, or up to three where that is less (one of 2 words, two of 4, three of 8)."""
+    return max(int((1 - overlap) * n + 1e-9), min(3, n // 4 + 1) if n > 1 else 0)
+
+
+def edits(part: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """For every end in the passage the fewest edits that make `part` of a stretch that ends there."""
+    steps = np.arange(len(passage) + 1)
+    cost = np.zeros(len(passage) + 1, np.int64)
+    for word in part:
+        new = cost + 1
+        new[1:] = np.minimum(new[1:], cost[:-1] + (passage != word))
+        cost = np.minimum.accumulate(new - steps) + steps
+    return cost
+
+
+def aligned(question: np.ndarray, answer: np.ndarray, passage: np.ndarray, overlap: float) -> tuple[float, float] | None:
+    """Shares of question and answer left by the fewest edits, if both stand one behind the other within their slack."""
+    most = [slack(len(p), overlap) for p in (question, answer)]
+    if any(len(p) - np.isin(p, passage).sum() > m for p, m in zip((question, answer), most, strict=True)):
+        return None
+    q, a = edits(question, passage), edits(answer[::-1], passage[::-1])[::-1]
+    fits = np.flatnonzero((q <= most[0]) & (a <= most[1]))
+    if not len(fits):
+        return None
+    at = fits[np.argmin((q + a)[fits])]
+    return tuple(1 - float(c[at]) / len(p) if len(p) else 1.0 for c, p in ((q, question), (a, answer)))
+
+
 class Index:
     """Postings (item numbers ascending, normalised weights) with list and block maxima."""
 
@@ -54,6 +84,7 @@ class Index:
             for t, w in bm.items():
                 lists.setdefault(t, []).append((i, w / whole))
         self.number = {t: k for k, t in enumerate(lists)}
+        self.numbered = [[np.array([self.number[w] for w in part], np.int64) for part in question_and_answer(words)] for _, words in items]
         self.ids = [[i for i, _ in p] for p in lists.values()]
         self.weights = [[w for _, w in p] for p in lists.values()]
         self.top = [max(w) for w in self.weights]
@@ -109,11 +140,15 @@ class Index:
         for c in np.flatnonzero((bound[:-1] + bound[1:]).max(axis=1) >= self.least - 1e-5).tolist():
             lo, hi = c * self.longest, (c + 2) * self.longest
             own = None
+            wide = hi + 2 * slack(self.longest, overlap)  # inserted words may push the longest items over the passage's end
             for i, score in self.retrieve([t for t in np.unique(numbers[lo:hi]).tolist() if t >= 0]).items():
                 own = own if own is not None else grams_of(words[lo:hi])
                 item, text = self.items[i]
                 q, a = (sum(g in own for g in part) / len(part) if part else 1.0 for part in map(grams, question_and_answer(text)))
-                if q >= overlap and a >= overlap and (item not in best or (q + a, score) > (best[item][2] + best[item][3], best[item][1])):
+                close = None if q >= overlap and a >= overlap else aligned(*self.numbered[i], numbers[lo:wide], overlap)
+                if close:
+                    q, a = max(q, close[0]), max(a, close[1])
+                if (close or q >= overlap and a >= overlap) and (item not in best or (q + a, score) > (best[item][2] + best[item][3], best[item][1])):
                     best[item] = (item, score, q, a, lo)
         return sorted(best.values())
 
