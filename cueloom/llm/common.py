@@ -18,13 +18,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, max_rows_per_file: int = 0) -> DataFrame:
     """The rows as a table written to the shared folder and read again: what is read twice is computed once, and a lost executor costs a read.
 
-    Tables stay until the folder that `spark.checkpoint.dir` names is cleared.
+    Tables stay until the folder that `spark.checkpoint.dir` names is cleared.  Tables of long rows take few rows a file, since a reader
+    holds a batch of up to 4,096 rows of one file at once.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", max_rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
