@@ -45,6 +45,16 @@ ROLES: dict[str, str] = {
                turn * 6000 + (conv_id * 37 + turn * 101) % 900 AS start_ms,
                turn * 6000 + (conv_id * 37 + turn * 101) % 900 + 300 + length(text) * 10 AS end_ms
         FROM {conversations}""",
+    # subtitles with boxes whose last tenth is squeezed into short, late groups of other size; every eleventh media is all notices
+    "tail_subtitles": """
+        SELECT media_id, segment_id, s AS start_ms, s + CASE WHEN notices OR late AND media_id % 3 <> 0 THEN CAST(floor(dur_ms / 8) AS BIGINT) ELSE dur_ms END AS end_ms,
+               CASE WHEN segment_id % 19 = 0 THEN NULL WHEN notices OR late AND segment_id % 7 <> media_id % 7 THEN substring(event_type, 1, 5) ELSE event_type || '，我在这里的。' END AS text,
+               CASE WHEN segment_id % 13 <> 0 THEN segment_id * 7 % 200 + 100 END AS x1, 300 - segment_id % 5 AS y1, segment_id * 7 % 200 + 320 AS x2,
+               300 + CASE WHEN late AND media_id % 4 < 2 THEN 45 ELSE 24 + segment_id % 6 END AS y2, notices AND segment_id % 3 <> 0 OR late AND media_id % 5 = 0 AS structural
+        FROM (SELECT *, start_ms >= 290000 AS late, media_id % 11 = 0 AS notices,
+                     CASE WHEN start_ms < 290000 THEN start_ms
+                          ELSE 290000 + (1 + CAST(floor((start_ms - 290000) / 12000) AS BIGINT)) * 14000 + CAST(floor((start_ms % 12000) / (1 + media_id % 8)) AS BIGINT) END AS s
+              FROM {segments}) t""",
     # reference and hypothesis transcripts of the same cue, in full
     "text_pairs": """
         SELECT conv_id AS media_id, turn AS ord, role AS speaker_label, text AS ref_text,
