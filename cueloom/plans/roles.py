@@ -162,6 +162,16 @@ ROLES: dict[str, str] = {
                (l_orderkey * 11) % 300 + 10 + (l_linenumber * 9) AS y2, l_returnflag || CAST(l_partkey % 5 AS STRING) AS text,
                l_discount AS raw_conf, l_linenumber
         FROM {lineitem}""",
+    # about ten text boxes a frame, in three rows of the screen with some jitter; blank, unsure, tall and far-off ones among them
+    "frame_boxes": """
+        SELECT l_suppkey AS media_id, l_orderkey % 60 AS frame, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10 AS det_id,
+               CAST((l_partkey * 37) % 560 AS INTEGER) AS x1, CAST(250 + (l_linenumber % 3) * 30 + l_partkey % 9 AS INTEGER) AS y1,
+               CAST((l_partkey * 37) % 560 + 30 + (l_orderkey * 13) % 90 AS INTEGER) AS x2,
+               CAST(250 + (l_linenumber % 3) * 30 + l_partkey % 9 + CASE WHEN l_partkey % 31 = 0 THEN 60 ELSE 18 + l_orderkey % 7 END AS INTEGER) AS y2,
+               CASE l_partkey % 5 WHEN 0 THEN ' 字幕' || l_returnflag WHEN 1 THEN l_linestatus || '  x' WHEN 2 THEN '今天。' WHEN 3 THEN l_returnflag || CAST(l_linenumber AS STRING)
+                    ELSE CASE WHEN l_orderkey % 2 = 0 THEN '  ' ELSE l_linestatus END END AS text,
+               (40 + (l_partkey * 7 + l_orderkey) % 60) / 100.0E0 AS confidence
+        FROM {lineitem}""",
     "oplog": """
         SELECT event_id AS seq, user_id AS target_id, user_id % 50 AS media_id,
                CASE event_type WHEN 'click' THEN 'set_text' WHEN 'view' THEN 'set_speaker' WHEN 'signup' THEN 'approve'
