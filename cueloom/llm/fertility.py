@@ -2,7 +2,8 @@
 
 One pass over whole texts counts the plain statistics and, for texts that pass the plain rules, measures how two public vocabularies
 (one of word pieces with byte fallback, one of bytes for many languages) cut their words: characters per token of either, the share
-of byte-fallback tokens, and the entropy of the token distribution.  A text's tokens are those of its words, so a worker cuts a word once.
+of byte-fallback tokens, and the entropy of the token distribution.  A text's tokens are those of its words joined by single blanks, taken
+a stretch at a time.
 
 The bands come from all measured texts.  Measures are integers (thousandths), so a group's median and median deviation are read exactly
 from a histogram with few bins that Spark sums on the map side; no group is gathered.  A band is the median and `width` robust standard
@@ -25,15 +26,13 @@ from pyspark.sql import functions as F
 from cueloom.llm.common import cut_lineage, read_table
 
 RARE = 1000
-HELD_WORDS = 200_000
-LONGEST_HELD = 64
-#: Longer words are cut into pieces of as many characters before they are tokenised.
+#: Words are cut by blanks after as many characters before they are tokenised.
 LONGEST_WORD = 1024
 STRETCH = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 BLANKS_AND_TAILS = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
-#: First and last code point of the letters that name a script; anything else that is a letter counts as "other".
+#: First and last code point of the letters that name a script; anything else that is a letter, or lies beyond 0xFFFF, counts as "other".
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x531, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F),
     ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("latin", 0x1E00, 0x1EFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7A3), ("han", 0x20000, 0x323AF),
@@ -51,16 +50,19 @@ def default_vocabularies() -> tuple[str, str]:
     return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def script_of(word: str) -> int:
-    for c in word:
-        if c.isalpha():
-            name = next((s for s, lo, hi in SCRIPTS if lo <= ord(c) <= hi), "other")
-            return NAMES.index(name)
-    return NAMES.index("none")
+def script_table() -> np.ndarray:
+    """Script number of each code point below 0x10000; 255 for what is no letter."""
+    names = [*dict.fromkeys(s for s, _, _ in SCRIPTS), "other"]
+    table = np.full(0x10000, 255, np.uint8)
+    table[[c for c in range(0x10000) if chr(c).isalpha()]] = names.index("other")
+    for name, lo, hi in SCRIPTS:
+        block = table[lo : hi + 1]
+        block[block != 255] = names.index(name)
+    return table
 
 
 class Vocabularies:
-    """Facts of each word: token ids of the piece vocabulary, numbers of tokens, fallback tokens and byte-vocabulary tokens, characters, script."""
+    """Counts tokens of words joined by single blanks, and their letters by script."""
 
     def __init__(self, piece_path: str, byte_path: str):
         import public_tokenizers
@@ -72,22 +74,24 @@ class Vocabularies:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
-        self.held: dict[bytes, tuple] = {}
-
-    def facts(self, words: list[bytes]) -> list[tuple]:
-        if len(self.held) > HELD_WORDS:
-            self.held.clear()
-        fresh = [w for w in words if w not in self.held]
-        found = dict(zip(fresh, map(self._cut, fresh), strict=True))
-        self.held.update((w, f) for w, f in found.items() if len(w) <= LONGEST_HELD)
-        return [found.get(w) or self.held[w] for w in words]
-
-    def _cut(self, word: bytes) -> tuple:
-        text = word.decode("utf-8", "replace")
-        parts = [text[i : i + LONGEST_WORD] for i in range(0, len(text), LONGEST_WORD)]
-        ids = np.array([i for p in self.pieces.encode(parts, num_threads=1) for i in p], np.int32)
-        other = sum(len(self.bytes.encode_ordinary(" " + p if i == 0 else p)) for i, p in enumerate(parts))
-        return ids.tobytes(), len(ids), int(self.fallback[ids].sum()), other, len(text), script_of(text)
+        self.scripts = script_table()
+
+    def count(self, text: bytes) -> tuple[np.ndarray, int, np.ndarray]:
+        """Uses of each piece, number of byte-vocabulary tokens, letters of each script."""
+        use, other, letters = np.zeros(len(self.fallback), np.int64), 0, np.zeros(256, np.int64)
+        for run in word_runs(text):
+            joined = b" ".join(run).decode("utf-8", "replace")
+            if max(map(len, run), default=0) > LONGEST_WORD:
+                joined = re.sub(f"([^ ]{{{LONGEST_WORD}}})", r"\1 ", joined)
+            use += np.bincount(self.pieces.encode(joined), minlength=len(use))
+            other += len(self.bytes.encode_ordinary(joined))
+            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            letters += np.bincount(self.scripts[points[points < 0x10000]], minlength=256)
+            far = points[points >= 0x10000]
+            han = int(((far >= 0x20000) & (far <= 0x323AF)).sum())
+            letters[NAMES.index("han")] += han
+            letters[NAMES.index("other")] += len(far) - han
+        return use, other, letters[: len(NAMES) - 1]
 
 
 def word_runs(text: bytes) -> Iterator[list[bytes]]:
@@ -132,15 +136,11 @@ def measure(text: bytes | None, vocabularies: Vocabularies) -> tuple:
     counts = (n, len(text.translate(None, BLANKS_AND_TAILS)), len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text), again, failed)
     if failed:
         return None, *counts, None, *[None] * len(MEASURES)
-    often = np.bincount(ids)
-    token_ids, tokens, fallback, other, chars, script = zip(*vocabularies.facts(list(number)))
-    tokens = np.array(tokens)
-    total, letters = int(tokens @ often), np.array(chars) * often
-    use = np.bincount(np.frombuffer(b"".join(token_ids), np.int32), weights=np.repeat(often, tokens))
+    use, other, letters = vocabularies.count(text)
+    total = int(use.sum())
     share = use[use > 0] / total
-    main = int(np.bincount(script, weights=letters, minlength=len(NAMES)).argmax())
-    values = (letters.sum() / total, letters.sum() / int(np.array(other) @ often), int(np.array(fallback) @ often) / total, float(-(share * np.log2(share)).sum()))
-    return NAMES[main], *counts, total.bit_length(), *(round(1000 * v) for v in values)
+    values = (counts[1] / total, counts[1] / other, int(use[vocabularies.fallback].sum()) / total, float(-(share * np.log2(share)).sum()))
+    return NAMES[int(letters.argmax()) if letters.any() else -1], *counts, total.bit_length(), *(round(1000 * v) for v in values)
 
 
 def measured(docs: DataFrame, piece_path: str, byte_path: str, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
