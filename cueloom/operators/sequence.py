@@ -7,13 +7,15 @@ their leading sort column and never needs more than one slot per task:
                 summary row per slot whose own window carries the value across slots, and a join on (key, slot).  All
                 outputs of one call share one shuffle, and a second scan over the kept `_slot` needs no further one.
 * `islands`     gaps-and-islands id = rank of the latest break row.
+* `slot_fold`   folds with a carried state: each slot folds its rows natively, and slots whose incoming state changed fold again
+                until none does, which leaves exactly the state that one pass over all rows would have.
 * `capped_sessions`  greedy sessions whose caps restart with each session: each slot maps its possible entry rows to its
                 exit row, a compact chain over slots picks the true entries, a second pass marks the session starts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,7 @@ from cueloom.session import cut_lineage
 from cueloom.session import spread as over_width
 
 BLOCK_ROWS = 65_536
+FOLD_ROWS = 1_024
 SLOT_MS = 60_000  # a minute of one media: what a scan's task holds is bounded by how much can be said or shown in it
 SESSION_SLOT_MS = 3_600_000
 
@@ -120,6 +123,54 @@ def gap_islands(df: DataFrame, key: Keys, order: Keys, slot: Column, gap_ms: int
     return label_islands(df, key, order, slot, breaks, {"_end": seen}, out).drop("_end")
 
 
+def slot_fold(rows: DataFrame, key: Keys, fields: Sequence[str], state: str, step: Callable[[Column, Column], Column], slot_rows: int = FOLD_ROWS) -> DataFrame:
+    """The state after every row of a fold along `pos`: key, pos and the state's columns (`state` is their DDL).
+
+    `step(state, row)` gives the state after a row; a row carries `pos` and `fields`.  The state before a key's first row is all nulls.
+    `rows` have a dense `pos` and a boolean `opens`, true where the state before does not matter, so that a slot starting there waits for
+    none.  Every other slot first assumes nulls, then folds again while the last state of the slot before differs from what it had assumed.
+    A slot is right at the latest once all before it are, and most are at once, since a state is forgotten at the next row that opens.
+    """
+    key = list(key)
+    kind = f"struct<{', '.join(':'.join(part.split()) for part in state.split(','))}>"
+    nothing = F.lit(None).cast(kind)
+    names = [part.split()[0] for part in state.split(",")]
+    packed = rows.withColumn("_slot", F.floor(F.col("pos") / slot_rows).cast("long")).groupBy(*key, "_slot").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in fields if c != "pos"]))).alias("rows"), F.min_by("opens", "pos").alias("_free"))
+    slots = cut_lineage(packed)
+
+    def leave(frame: DataFrame) -> DataFrame:
+        fold = F.aggregate("rows", F.coalesce(F.col("_entry"), nothing), lambda s, r: step(s, r).cast(kind))
+        return frame.select(*key, "_slot", fold.alias("_exit"))
+
+    def enter(exits: DataFrame) -> DataFrame:
+        return exits.select(*key, (F.col("_slot") + 1).alias("_slot"), F.col("_exit").alias("_entry"))
+
+    waiting = slots.filter(~F.coalesce(F.col("_free"), F.lit(False)) & (F.col("_slot") > 0))
+    entries = slots.select(*key, "_slot").limit(0).withColumn("_entry", nothing)
+    if not waiting.isEmpty():
+        exits = cut_lineage(leave(slots.withColumn("_entry", nothing)))
+        needed = waiting.select(*key, "_slot")
+        while True:
+            now = enter(exits).join(needed, [*key, "_slot"], "left_semi")
+            held = entries.withColumnRenamed("_entry", "_held")
+            changed = now.join(held, [*key, "_slot"], "left").filter(~F.col("_entry").eqNullSafe(F.col("_held"))).drop("_held")
+            entries = cut_lineage(now)
+            changed = cut_lineage(changed)
+            if changed.isEmpty():
+                break
+            again = leave(slots.join(changed, [*key, "_slot"]))
+            exits = cut_lineage(exits.join(changed, [*key, "_slot"], "left_anti").unionByName(again))
+    start = F.struct(F.col("_entry").alias("s"), F.slice(F.array(nothing), 1, 0).alias("out"))
+
+    def grow(acc: Column, r: Column) -> Column:
+        after = F.transform(F.array(step(acc["s"], r).cast(kind)), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out")))
+        return after[0].cast(f"struct<s:{kind}, out:array<{kind}>>")
+
+    ready = slots.join(entries, [*key, "_slot"], "left").withColumn("_entry", F.coalesce(F.col("_entry"), nothing))
+    states = ready.select(*key, "rows", F.aggregate("rows", start.cast(f"struct<s:{kind}, out:array<{kind}>>"), grow)["out"].alias("out"))
+    return states.select(*key, F.inline(F.transform("rows", lambda r, i: F.struct(r["pos"].alias("pos"), F.get(F.col("out"), i).alias("s"))))).select(*key, "pos", *[F.col(f"s.{n}").alias(n) for n in names])
+
+
 def _next_starts(rows: pd.DataFrame, cap_ms: int, max_rows: int | None, gap_ms: int | None) -> np.ndarray:
     """For every row: index of the row that opens the next session if a session opens here (len(rows) = past the slice)."""
     start, end, brk = rows["start_ms"].to_numpy(), rows["end_ms"].to_numpy(), rows["brk"].to_numpy()

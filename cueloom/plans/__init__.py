@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = ["speaker_queries", "quality_queries", "repair_queries", "catalog_queries", "text_queries", "registry_queries", "interval_queries", "detection_queries", "entity_queries", "source_queries", "stream_queries", "commentary_queries", "tail_queries", "frame_queries"]
+MODULES: list[str] = ["speaker_queries", "quality_queries", "repair_queries", "catalog_queries", "text_queries", "registry_queries", "interval_queries", "detection_queries", "entity_queries", "source_queries", "stream_queries", "commentary_queries", "tail_queries", "frame_queries", "caption_queries"]
 
 
 def load_all() -> None:

@@ -55,6 +55,19 @@ ROLES: dict[str, str] = {
                      CASE WHEN start_ms < 290000 THEN start_ms
                           ELSE 290000 + (1 + CAST(floor((start_ms - 290000) / 12000) AS BIGINT)) * 14000 + CAST(floor((start_ms % 12000) / (1 + media_id % 8)) AS BIGINT) END AS s
               FROM {segments}) t""",
+    # detections of captions on screen: competing readings of a phrase, noise lines, full-width signs, jittering boxes
+    "caption_dets": """
+        SELECT media_id, segment_id AS det_id, t AS t_ms, CASE segment_id % 8 WHEN 1 THEN replace(base, '我', '找') WHEN 2 THEN 'a ' || base WHEN 3 THEN base || chr(10) || 'x' WHEN 4 THEN base || '！' WHEN 5 THEN replace(base, ' ', '') WHEN 6 THEN base || chr(10) || replace(base, '们', '') || '。'
+                    WHEN 7 THEN CASE WHEN segment_id % 3 = 0 THEN ' ' ELSE base END ELSE base END AS text, (60 + segment_id * 13 % 41) / 100.0E0 AS confidence,
+               100 + segment_id % 9 AS x1, 300 - segment_id % 5 AS y1, 220 + segment_id * 7 % 40 AS x2, 330 + segment_id % 6 AS y2
+        FROM (SELECT media_id, segment_id, t, CASE (CAST(floor(t / 2500) AS BIGINT) + media_id) % 6 WHEN 0 THEN '今天我们去看海' WHEN 1 THEN '你在那里等我' WHEN 2 THEN 'See you later' WHEN 3 THEN '好的' WHEN 4 THEN 'Ｈello 我们' ELSE '啊' END AS base FROM (SELECT media_id, segment_id, CAST(floor(start_ms / 5) AS BIGINT) AS t FROM {segments}) s) b""",
+    # subtitles made of such readings, close in time, some without a box
+    "caption_rows": """
+        SELECT media_id, segment_id, t AS start_ms, t + CAST(floor(dur_ms / 5) AS BIGINT) AS end_ms, CASE segment_id % 8 WHEN 1 THEN replace(base, '我', '找') WHEN 2 THEN 'a ' || base WHEN 3 THEN base || chr(10) || 'x' WHEN 4 THEN base || '！' WHEN 5 THEN replace(base, ' ', '') WHEN 6 THEN base || chr(10) || replace(base, '们', '') || '。'
+                    WHEN 7 THEN CASE WHEN segment_id % 3 = 0 THEN ' ' ELSE base END ELSE base END AS text, (60 + segment_id * 13 % 41) / 100.0E0 AS confidence,
+               CASE WHEN segment_id % 10 <> 0 THEN 100 + segment_id % 9 END AS x1, CASE WHEN segment_id % 10 <> 0 THEN 300 - segment_id % 5 END AS y1,
+               CASE WHEN segment_id % 10 <> 0 THEN 180 + segment_id * 7 % 60 END AS x2, CASE WHEN segment_id % 10 <> 0 THEN 330 + segment_id % 6 END AS y2
+        FROM (SELECT media_id, segment_id, t, dur_ms, CASE (CAST(floor(t / 2500) AS BIGINT) + media_id) % 6 WHEN 0 THEN '今天我们去看海' WHEN 1 THEN '你在那里等我' WHEN 2 THEN 'See you later' WHEN 3 THEN '好的' WHEN 4 THEN 'Ｈello 我们' ELSE '啊' END AS base FROM (SELECT media_id, segment_id, dur_ms, CAST(floor(start_ms / 6) AS BIGINT) AS t FROM {segments}) s) b""",
     # reference and hypothesis transcripts of the same cue, in full
     "text_pairs": """
         SELECT conv_id AS media_id, turn AS ord, role AS speaker_label, text AS ref_text,
