@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cueloom.session import shared_dir
 
-__all__ = ["cut_lineage", "id_text", "is_held_out", "keep_texts", "map_texts", "read_table", "rows_of", "text_bytes"]
+__all__ = ["cut_lineage", "drop_table", "id_text", "is_held_out", "keep_texts", "map_texts", "read_table", "rows_of", "small_side", "text_bytes"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,25 @@ def cut_lineage(df: DataFrame, max_rows_per_file: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(*tables: DataFrame) -> None:
+    """Delete what `cut_lineage` wrote for these tables, once nothing reads it any more."""
+    for df in tables:
+        session = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = session._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("table-"):
+                folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows of two or three numbers that may be broadcast: some 32 MB.
+BROADCAST_ROWS = 1 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """The side of a join, marked for broadcast if it has at most `BROADCAST_ROWS` rows (of a few numbers each), else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 on division by 3; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
