@@ -74,70 +74,85 @@ def alignment(pairs: DataFrame) -> DataFrame:
     return out.withColumn("score", F.least(F.lit(1.0), score)).withColumnRenamed("l_segment_id", "segment_id").drop("_o", "_s")
 
 
-CORRECTION = T.StructType([
-    T.StructField("media_id", T.LongType()), T.StructField("segment_id", T.LongType()), T.StructField("decision", T.StringType()),
-    T.StructField("reason", T.StringType()), T.StructField("used", T.ArrayType(T.LongType())), T.StructField("alignment", T.DoubleType()),
-    T.StructField("ratio", T.DoubleType())])
+CORRECTED = "decision string, reason string, used array<bigint>, alignment double, quality double, ratio double, merged string, text string, arbitrated boolean, gone array<struct<id:bigint,e:bigint>>"
 
 
-def correct(segments: DataFrame, events: DataFrame, min_confidence: float = 0.85, min_alignment: float = 0.55,
-            min_ratio: float = 0.5, max_ratio: float = 2.0) -> DataFrame:
+def correct(segments: DataFrame, events: DataFrame, verdicts: DataFrame | None = None, min_confidence: float = 0.85, min_alignment: float = 0.55,
+            min_ratio: float = 0.5, max_ratio: float = 2.0, slot_rows: int = seq.FOLD_ROWS) -> DataFrame:
     """Decision per segment in time order; an event used for one segment is gone for the later ones.
 
-    Candidate pairs, overlaps and cleaned lengths are built-in expressions.  Only the consumption order is a fold: it runs
-    inside islands of segments and events that touch, many whole islands to a task.
+    Where confident events fail on alignment or length, a verdict (media_id, segment_id, verdict, verdict_text) on the segment's text and the
+    joined text of its free events may settle it, and one for the screen text uses the events up, too.  `used` are the free confident
+    events of the segment whatever the decision; `similarity` compares their text with the segment's.
+
+    Candidate pairs, overlaps and cleaned lengths are joined first.  The consumption order is a native fold in slots (`sequence.slot_fold`)
+    that carries the used events still in reach; a row whose events no earlier row shares opens anew.
     """
     rows = seq.positions(segments.withColumn("chars", F.length(tx.clean(F.col("text")))), MEDIA, ["start_ms", "end_ms", "segment_id"], seq.time_slot())
-    lean = dialogue_only(events).select("media_id", "event_id", "start_ms", "end_ms", "confidence", F.length(tx.clean(F.col("text"))).alias("chars"))
-    both = rows.select("media_id", "segment_id", "start_ms", "end_ms").withColumn("kind", F.lit(0)).unionByName(
-        lean.select("media_id", F.col("event_id").alias("segment_id"), "start_ms", "end_ms").withColumn("kind", F.lit(1)))
-    island = seq.gap_islands(both, MEDIA, ["start_ms", "end_ms", "kind", "segment_id"], seq.time_slot(), 0).filter("kind = 0").select("media_id", "segment_id", "island")
-    pairs = candidates(rows.select("media_id", "segment_id", "start_ms", "end_ms"), lean)
-    listed = pairs.groupBy("media_id", F.col("l_segment_id").alias("segment_id")).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("r_start_ms").alias("s"), F.col("r_end_ms").alias("e"), F.col("r_event_id").alias("id"), "overlap",
-        F.col("r_confidence").alias("conf"), F.col("r_chars").alias("chars")))).alias("events"))
-    work = rows.select("media_id", "segment_id", "pos", "chars", (F.col("end_ms") - F.col("start_ms")).alias("span")).join(
-        island, ["media_id", "segment_id"]).join(listed, ["media_id", "segment_id"], "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for row in pdf.sort_values("pos").itertuples():
-            free = [e for e in (row.events if row.events is not None else []) if e["id"] not in used]
-            strong = [e for e in free if e["conf"] >= min_confidence]
-            total = sum(e["overlap"] for e in strong)
-            score = round(min(1.0, max(total / max(1, row.span), total / max(1, sum(e["e"] - e["s"] for e in strong)))), 3) if strong else 0.0
-            chars = sum(e["chars"] for e in strong)
-            ratio = (chars / row.chars if row.chars else (1.0 if chars == 0 else None)) if strong else 0.0
-            reason = None
-            if strong and score >= min_alignment and ratio is not None and min_ratio <= ratio <= max_ratio:
-                decision = "merge_ocr" if len(strong) > 1 else "use_ocr"
-                used.update(e["id"] for e in strong)
-            elif strong:
-                decision, reason = "review", "weak_alignment_or_length_mismatch"
-            else:
-                decision, reason = "use_asr", "low_ocr_confidence" if free else "no_ocr_candidate"
-            out.append((row.media_id, row.segment_id, decision, reason, [e["id"] for e in strong], score, ratio))
-        return pd.DataFrame(out, columns=CORRECTION.names)
-
-    bucketed = spread(work.withColumn("_b", F.floor(F.col("island") / 4096)), "media_id", "_b")
-    return bucketed.groupBy("media_id", "_b").applyInPandas(fold, CORRECTION)
-
-
-def corrected_text(decisions: DataFrame, segments: DataFrame, events: DataFrame) -> DataFrame:
-    """Replaced segments carry their events' texts in time order, the others their own."""
-    taken = decisions.filter(F.col("decision").isin("use_ocr", "merge_ocr")).select("media_id", "segment_id", F.explode("used").alias("event_id"))
-    texts = taken.join(events.select("media_id", "event_id", "text", "start_ms", "end_ms"), ["media_id", "event_id"]).groupBy("media_id", "segment_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "event_id", "text"))), lambda e: e["text"]), "").alias("_ocr"))
-    return decisions.join(segments.select("media_id", "segment_id", "text"), ["media_id", "segment_id"]).join(
-        texts, ["media_id", "segment_id"], "left").withColumn("text", F.coalesce("_ocr", "text")).drop("_ocr")
+    rows = cut_lineage(rows.select("media_id", "segment_id", "pos", "start_ms", "end_ms", "text", "chars"))
+    lean = dialogue_only(events).select("media_id", "event_id", "start_ms", "end_ms", "confidence", "text", F.length(tx.clean(F.col("text"))).alias("chars"))
+    pairs = candidates(rows.select("media_id", "segment_id", "start_ms", "end_ms", "pos"), lean)
+    event = F.struct(F.col("r_start_ms").alias("s"), F.col("r_end_ms").alias("e"), F.col("r_event_id").cast("bigint").alias("id"), "overlap", F.col("r_confidence").cast("double").alias("conf"), F.col("r_chars").alias("chars"), F.coalesce("r_text", F.lit("")).alias("text"))
+    pairs = cut_lineage(pairs.select("media_id", F.col("l_pos").alias("pos"), event.alias("event")))
+    listed = pairs.groupBy("media_id", "pos").agg(F.array_sort(F.collect_list("event")).alias("events"))
+    shared = pairs.groupBy("media_id", F.col("event.id").alias("id")).agg(F.min("pos").alias("pos"), F.max("pos").alias("last")).groupBy("media_id", "pos").agg(F.max("last").alias("last"))
+    work = rows.join(listed, ["media_id", "pos"], "left").join(shared, ["media_id", "pos"], "left")
+    if verdicts is None:
+        work = work.withColumns({"verdict": F.lit(None).cast("string"), "verdict_text": F.lit(None).cast("string")})
+    else:
+        work = work.join(verdicts.select("media_id", "segment_id", "verdict", "verdict_text"), ["media_id", "segment_id"], "left")
+    work = seq.prefix(work, MEDIA, {"_reach": ("max_before", F.col("last"))}).withColumn("opens", F.coalesce(F.col("_reach") < F.col("pos"), F.lit(True)))
+    work = work.withColumn("events", F.coalesce("events", F.array().cast(work.schema["events"].dataType)))
+
+    def step(state: Column, r: Column) -> Column:
+        gone = F.coalesce(F.transform(state["gone"], lambda g: g["id"]), F.array().cast("array<bigint>"))
+        free = F.filter(r["events"], lambda e: ~F.array_contains(gone, e["id"]))
+        return _let(_let(free, lambda f: F.struct(F.filter(f, lambda e: e["conf"] >= min_confidence).alias("strong"), (F.size(f) > 0).alias("some"))), lambda f: _let(_facts(f["strong"], r), lambda m: decide(state, r, f, m)))
+
+    def _facts(strong: Column, r: Column) -> Column:
+        def total(of):
+            return F.aggregate(strong, F.lit(0).cast("long"), lambda s, e: s + of(e))
+
+        overlap, chars = total(lambda e: e["overlap"]), total(lambda e: e["chars"])
+        aligned = F.least(F.lit(1.0), F.greatest(overlap / F.greatest(F.lit(1), r["end_ms"] - r["start_ms"]), overlap / F.greatest(F.lit(1), total(lambda e: e["e"] - e["s"]))))
+        ratio = F.when(r["chars"] > 0, chars / r["chars"]).when(chars == 0, 1.0)
+        merged = F.array_join(F.transform(strong, lambda e: e["text"]), "")
+        sure = F.aggregate(strong, F.lit(0.0), lambda s, e: s + e["conf"]) / F.size(strong)
+        some = F.size(strong) > 0
+        return F.struct(F.when(some, F.round(aligned, 3)).otherwise(0.0).alias("alignment"), F.when(some, F.round(sure, 3)).otherwise(0.0).alias("quality"), F.when(~some | (merged == ""), 0.0).otherwise(ratio).alias("ratio"), merged.alias("merged"))
+
+    def decide(state: Column, r: Column, f: Column, m: Column) -> Column:
+        strong, some = f["strong"], F.size(f["strong"]) > 0
+        own = F.coalesce(r["text"], F.lit(""))
+        replace = F.coalesce(some & (m["alignment"] >= min_alignment) & m["ratio"].between(min_ratio, max_ratio), F.lit(False))
+        verdict = F.when(some & ~replace, tx.arbitrate(r["verdict"], r["verdict_text"], own, m["merged"]))
+
+        def settle(v: Column) -> Column:
+            decision = F.when(replace, F.when(F.size(strong) > 1, "merge_ocr").otherwise("use_ocr")).when(~some, "use_asr").otherwise(F.coalesce(v["decision"], F.lit("review")))
+            reason = F.when(~some & f["some"], "low_ocr_confidence").when(~some, "no_ocr_candidate").when(~replace & v.isNull(), "weak_alignment_or_length_mismatch")
+            text = F.when(replace, m["merged"]).when(v.isNotNull(), v["text"]).otherwise(own)
+            taken = F.coalesce(replace | v["decision"].isin("llm_use_ocr", "llm_merge"), F.lit(False))
+            held = F.filter(F.coalesce(state["gone"], F.array().cast("array<struct<id:bigint,e:bigint>>")), lambda g: g["e"] >= r["start_ms"])
+            return F.struct(decision.alias("decision"), reason.alias("reason"), F.transform(strong, lambda e: e["id"]).alias("used"), m["alignment"].alias("alignment"), m["quality"].alias("quality"), m["ratio"].alias("ratio"), m["merged"].alias("merged"),
+                            text.alias("text"), v.isNotNull().alias("arbitrated"), F.concat(held, F.when(taken, F.transform(strong, lambda e: F.struct(e["id"].alias("id"), e["e"].alias("e")))).otherwise(F.array().cast("array<struct<id:bigint,e:bigint>>"))).alias("gone"))
+
+        return _let(verdict, settle)
+
+    folded = seq.slot_fold(work, MEDIA, ["start_ms", "end_ms", "text", "chars", "events", "verdict", "verdict_text"], CORRECTED, step, slot_rows)
+    out = folded.join(rows.select("media_id", "pos", "segment_id", F.col("text").alias("original_text")), ["media_id", "pos"])
+    similar = F.when(F.col("merged") == "", 0.0).otherwise(F.round(tx.multiset_similarity(F.coalesce("original_text", F.lit("")), F.col("merged")), 3))
+    return out.withColumn("similarity", similar).withColumn("needs_review", F.col("decision") == "review").drop("gone", "pos")
+
+
+def _let(value: Column, then) -> Column:
+    return F.transform(F.array(value), then)[0]
 
 
 def correction_summary(decisions: DataFrame, ocr_only: DataFrame) -> DataFrame:
     d = F.col("decision")
     out = decisions.groupBy("media_id").agg(
-        F.count(F.lit(1)).alias("segments"), count_if(d.isin("use_ocr", "merge_ocr")).alias("corrected"), count_if(d == "use_asr").alias("kept"),
-        count_if(d == "review").alias("review"))
+        F.count(F.lit(1)).alias("segments"), count_if(d.isin("use_ocr", "merge_ocr", "llm_use_ocr", "llm_merge")).alias("corrected"), count_if(d.isin("use_asr", "llm_use_asr")).alias("kept"),
+        count_if(d == "review").alias("review"), count_if(F.col("arbitrated")).alias("arbitrated"))
     extra = ocr_only.groupBy("media_id").agg(F.count(F.lit(1)).alias("ocr_only"))
     return out.join(extra, "media_id", "left").fillna(0, ["ocr_only"]).withColumn("correction_rate", F.col("corrected") / F.col("segments")).withColumn(
         "review_rate", F.col("review") / F.col("segments"))

@@ -132,9 +132,9 @@ def slot_fold(rows: DataFrame, key: Keys, fields: Sequence[str], state: str, ste
     A slot is right at the latest once all before it are, and most are at once, since a state is forgotten at the next row that opens.
     """
     key = list(key)
-    kind = f"struct<{', '.join(':'.join(part.split()) for part in state.split(','))}>"
+    fold_state = T.StructType.fromDDL(state)
+    kind, names = fold_state.simpleString(), fold_state.fieldNames()
     nothing = F.lit(None).cast(kind)
-    names = [part.split()[0] for part in state.split(",")]
     packed = rows.withColumn("_slot", F.floor(F.col("pos") / slot_rows).cast("long")).groupBy(*key, "_slot").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in fields if c != "pos"]))).alias("rows"), F.min_by("opens", "pos").alias("_free"))
     slots = cut_lineage(packed)
 

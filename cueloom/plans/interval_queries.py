@@ -43,20 +43,59 @@ def _(src):
     return iv.timing_policy(_pairs(src)).withColumn("warnings", joined(F.col("warnings")))
 
 
+VERDICTS = """SELECT media_id, segment_id, CASE segment_id % 6 WHEN 0 THEN 'use_asr' WHEN 1 THEN 'use_ocr' WHEN 2 THEN 'merge' WHEN 3 THEN 'merge' WHEN 4 THEN 'unsure' END AS verdict,
+  CASE WHEN segment_id % 6 = 3 THEN ' zz#9 ' || text ELSE ' ' || text END AS verdict_text FROM segments"""
+CLEAN = "lower(regexp_replace({}, '[\\s\\[\\]()\\-,.!?:;\"''_]+', '', 'g'))"
+
+
+def clean(x: str) -> str:
+    return CLEAN.format(x)
+
+
+CORRECT_SQL = PAIRS_SQL.replace("WITH ev", "WITH RECURSIVE ev").rstrip() + f""",
+seg AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, segment_id) - 1 AS pos, length({clean("text")}) AS chars FROM segments), verdicts AS ({VERDICTS}),
+lst AS (SELECT p.media_id, p.segment_id, list({{'s': es, 'e': ee, 'id': p.event_id, 'o': overlap, 'c': p.confidence, 'n': length({clean("ev.text")}), 't': ev.text}} ORDER BY es, ee, p.event_id) AS events FROM pairs p JOIN ev ON ev.media_id = p.media_id AND ev.event_id = p.event_id GROUP BY p.media_id, p.segment_id),
+w AS (SELECT seg.*, coalesce(events, []) AS events, verdict, verdict_text FROM seg LEFT JOIN lst USING (media_id, segment_id) LEFT JOIN verdicts USING (media_id, segment_id)),
+r AS (SELECT media_id, -1::BIGINT AS pos, NULL::BIGINT AS segment_id, []::BIGINT[] AS gone, NULL::VARCHAR AS decision, NULL::VARCHAR AS reason, []::BIGINT[] AS used, 0.0::DOUBLE AS alignment, 0.0::DOUBLE AS quality, 0.0::DOUBLE AS ratio, ''::VARCHAR AS merged, ''::VARCHAR AS out, false AS arbitrated, ''::VARCHAR AS original FROM seg WHERE pos = 0
+  UNION ALL SELECT media_id, pos, segment_id, CASE WHEN take OR coalesce(verdict_of IN ('llm_use_ocr', 'llm_merge'), false) THEN list_concat(gone, ids) ELSE gone END,
+    CASE WHEN take THEN CASE WHEN n > 1 THEN 'merge_ocr' ELSE 'use_ocr' END WHEN n = 0 THEN 'use_asr' ELSE coalesce(verdict_of, 'review') END,
+    CASE WHEN n = 0 THEN CASE WHEN some_free THEN 'low_ocr_confidence' ELSE 'no_ocr_candidate' END WHEN NOT take AND verdict_of IS NULL THEN 'weak_alignment_or_length_mismatch' END,
+    ids, alignment, quality, ratio, merged, CASE WHEN take THEN merged WHEN verdict_of = 'llm_use_ocr' THEN merged WHEN verdict_of = 'llm_merge' THEN trim(verdict_text) ELSE text END, verdict_of IS NOT NULL, text FROM (
+    SELECT *, CASE WHEN n = 0 OR take THEN NULL WHEN verdict = 'use_asr' THEN 'llm_use_asr' WHEN verdict = 'use_ocr' THEN 'llm_use_ocr'
+        WHEN verdict = 'merge' AND len(list_filter(list_distinct(string_split({clean("verdict_text")}, '')), lambda c: NOT contains({clean("text || merged")}, c))) = 0 THEN 'llm_merge' END AS verdict_of FROM (
+      SELECT *, coalesce(n > 0 AND alignment >= 0.55 AND ratio BETWEEN 0.5 AND 2, false) AS take FROM (
+        SELECT *, len(strong) AS n, list_transform(strong, lambda e: e.id) AS ids, CASE WHEN len(strong) = 0 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, greatest(list_sum(list_transform(strong, lambda e: e.o)) / greatest(1, end_ms - start_ms), list_sum(list_transform(strong, lambda e: e.o)) / greatest(1, list_sum(list_transform(strong, lambda e: e.e - e.s))))), 3) END AS alignment,
+          CASE WHEN len(strong) = 0 THEN 0.0::DOUBLE ELSE round(list_sum(list_transform(strong, lambda e: e.c)) / len(strong), 3) END AS quality, coalesce(array_to_string(list_transform(strong, lambda e: e.t), ''), '') AS merged,
+          CASE WHEN len(strong) = 0 OR array_to_string(list_transform(strong, lambda e: e.t), '') = '' THEN 0.0::DOUBLE WHEN chars > 0 THEN list_sum(list_transform(strong, lambda e: e.n)) / chars WHEN list_sum(list_transform(strong, lambda e: e.n)) = 0 THEN 1.0::DOUBLE END AS ratio FROM (
+          SELECT *, list_filter(free, lambda e: e.c >= 0.85) AS strong, len(free) > 0 AS some_free FROM (
+            SELECT w.*, r.gone, list_filter(w.events, lambda e: NOT list_contains(r.gone, e.id)) AS free FROM r JOIN w ON w.media_id = r.media_id AND w.pos = r.pos + 1) a) b) c) d) e),
+c AS (SELECT * FROM r WHERE pos >= 0)
+"""
+SIMILAR = f"""x AS (SELECT media_id, segment_id, c, count(*) AS n FROM (SELECT media_id, segment_id, unnest(string_split({clean("original")}, '')) AS c FROM c) GROUP BY ALL), y AS (SELECT media_id, segment_id, c, count(*) AS n FROM (SELECT media_id, segment_id, unnest(string_split({clean("merged")}, '')) AS c FROM c) GROUP BY ALL),
+z AS (SELECT media_id, segment_id, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared FROM x JOIN y USING (media_id, segment_id, c) GROUP BY ALL)
+"""
+
+
 def _correction(src):
-    return iv.correct(src("segments"), src("ocr_events"))
+    k, text = F.col("segment_id") % 6, F.col("text")
+    verdict = F.when(k == 0, "use_asr").when(k == 1, "use_ocr").when(k.isin(2, 3), "merge").when(k == 4, "unsure")
+    verdicts = src("segments").select("media_id", "segment_id", verdict.alias("verdict"), F.when(k == 3, F.concat(F.lit(" zz#9 "), text)).otherwise(F.concat(F.lit(" "), text)).alias("verdict_text"))
+    return iv.correct(src("segments"), src("ocr_events"), verdicts, slot_rows=48)
 
 
-@query("transcript_correction")
+@query("transcript_correction", CORRECT_SQL.rstrip() + ", " + SIMILAR + f"""SELECT media_id, segment_id, decision, reason, array_to_string(used, '|') AS used, alignment, quality, round(ratio, 9) AS ratio, CASE WHEN merged = '' THEN 0.0::DOUBLE ELSE round(coalesce(shared, 0) / greatest(length({clean("original")}), length({clean("merged")})), 3) END AS similarity,
+  out AS text, arbitrated, decision = 'review' AS needs_review FROM c LEFT JOIN z USING (media_id, segment_id)""")
 def _(src):
-    rows = iv.corrected_text(_correction(src), src("segments"), src("ocr_events"))
-    return rows.select("media_id", "segment_id", "decision", "reason", F.size("used").alias("event_count"), "alignment", "ratio", "text")
+    return _correction(src).select("media_id", "segment_id", "decision", "reason", F.array_join(F.col("used").cast("array<string>"), "|").alias("used"), "alignment", "quality", F.round("ratio", 9).alias("ratio"), "similarity", "text", "arbitrated", "needs_review")
 
 
-@query("correction_summary")
+@query("correction_summary", CORRECT_SQL + """, u AS (SELECT media_id, unnest(used) AS event_id FROM c WHERE decision IN ('use_ocr', 'merge_ocr', 'llm_use_ocr', 'llm_merge')),
+o AS (SELECT media_id, count(*) AS ocr_only FROM ev WHERE confidence >= 0.85 AND (media_id, event_id) NOT IN (SELECT (media_id, event_id) FROM u) AND (media_id, event_id) NOT IN (SELECT (media_id, event_id) FROM pairs WHERE mid_inside) GROUP BY media_id),
+s AS (SELECT media_id, count(*) AS segments, count(*) FILTER (decision IN ('use_ocr', 'merge_ocr', 'llm_use_ocr', 'llm_merge')) AS corrected, count(*) FILTER (decision IN ('use_asr', 'llm_use_asr')) AS kept, count(*) FILTER (decision = 'review') AS review, count(*) FILTER (arbitrated) AS arbitrated FROM c GROUP BY media_id)
+SELECT s.*, coalesce(ocr_only, 0) AS ocr_only, corrected / segments AS correction_rate, review / segments AS review_rate FROM s LEFT JOIN o USING (media_id)""")
 def _(src):
     decisions = _correction(src)
-    used = decisions.filter(F.col("decision").isin("use_ocr", "merge_ocr")).select("media_id", F.explode("used").alias("event_id"))
+    used = decisions.filter(F.col("decision").isin("use_ocr", "merge_ocr", "llm_use_ocr", "llm_merge")).select("media_id", F.explode("used").alias("event_id"))
     return iv.correction_summary(decisions, iv.unmatched_events(src("segments"), iv.dialogue_only(src("ocr_events")), used))
 
 

@@ -72,7 +72,7 @@ def test_correction_consumes_events_once(spark):
     ocr = spark.createDataFrame([(1, 10, 100, 1950, "hello their", 0.99, None), (1, 11, 2100, 3900, "second lane", 0.95, "subtitle"), (1, 12, 20000, 21000, "alone", 0.9, None), (1, 13, 0, 500, "logo", 0.99, "watermark")],
                                 "media_id long, event_id long, start_ms long, end_ms long, text string, confidence double, kind string")
     out = iv.correct(seg, ocr)
-    rows = {r["segment_id"]: r for r in iv.corrected_text(out, seg, ocr).collect()}
+    rows = {r["segment_id"]: r for r in out.collect()}
     assert (rows[1]["decision"], rows[1]["text"]) == ("use_ocr", "hello their")
     assert (rows[2]["decision"], rows[2]["text"], rows[2]["used"]) == ("use_ocr", "second lane", [11])
     assert (rows[3]["decision"], rows[3]["reason"]) == ("use_asr", "no_ocr_candidate")
@@ -81,6 +81,25 @@ def test_correction_consumes_events_once(spark):
     assert [r["event_id"] for r in alone.collect()] == [12]
 
 
+def test_verdicts_consume_events_in_order(spark):
+    """A verdict for the screen text takes the events from later segments, one for the speech leaves them; slots do not change that."""
+    rows = [(1, i, 1000 * i, 1000 * i + 1500, "abcdefgh", "S") for i in range(40)]
+    seg = spark.createDataFrame(rows, "media_id long, segment_id long, start_ms long, end_ms long, text string, speaker_label string")
+    ocr = spark.createDataFrame([(1, 100 + i, 1000 * i + 1200, 1000 * i + 1300, "ab", 0.95, None) for i in range(40)], "media_id long, event_id long, start_ms long, end_ms long, text string, confidence double, kind string")
+    verdicts = spark.createDataFrame([(1, i, ("use_ocr", "use_asr", "merge", None)[i % 4], "zz" if i % 8 == 2 else "ba") for i in range(40)], "media_id long, segment_id long, verdict string, verdict_text string")
+    want, gone = [], set()
+    for i in range(40):
+        free = [100 + j for j in (i - 1, i) if j >= 0 and 100 + j not in gone]
+        kind = ("use_ocr", "use_asr", "merge", None)[i % 4]
+        decision = "use_asr" if not free else {"use_ocr": "llm_use_ocr", "use_asr": "llm_use_asr", "merge": "review" if i % 8 == 2 else "llm_merge", None: "review"}[kind]
+        if decision in ("llm_use_ocr", "llm_merge"):
+            gone |= set(free)
+        want.append((decision, free))
+    for slot_rows in (2, 1024):
+        got = sorted(iv.correct(seg, ocr, verdicts, slot_rows=slot_rows).collect(), key=lambda r: r["segment_id"])
+        assert [(r["decision"], r["used"]) for r in got] == want
+
+
 def test_overlap_resolution(spark):
     cols = "media_id long, segment_id string, anchor_start long, anchor_end long, placement_start long, placement_end long, fitted_ms long, source_ms long, has_window boolean, overall_status string, quality_score double"
     rows = [(1, "a", 0, 1000, 0, 1000, 1000, 1000, False, "passed", 2.0), (1, "b", 900, 1900, 900, 1900, 1000, 1000, False, "passed", 2.0),
