@@ -24,7 +24,7 @@ def plan_windows(plan: DataFrame) -> DataFrame:
     a tenth of a second drops.  `item_id` counts from 1; windows with one start keep the plan's order.
     """
     start, end = F.greatest(F.lit(0), _seconds_to_ms(F.col("src_start"))), _seconds_to_ms(F.col("src_end"))
-    rows = plan.filter(_seconds_to_ms(F.col("src_start")).isNotNull()).withColumn("start_ms", start).withColumn(
+    rows = plan.filter(_seconds_to_ms(F.col("src_start")).isNotNull() & _seconds_to_ms(F.col("src_end")).isNotNull()).withColumn("start_ms", start).withColumn(
         "end_ms", F.when(F.col("max_end_ms") > 0, F.least(end, F.col("max_end_ms"))).otherwise(end))
     rows = rows.filter(F.col("end_ms") - F.col("start_ms") >= MIN_WINDOW_MS).withColumn("ost", F.when(F.col("ost") == 1, 1).otherwise(0)).withColumn("story_role", F.coalesce("story_role", F.lit("")))
     ranked = seq.positions(rows.select("media_id", "plan_id", "ord", "ost", "start_ms", "end_ms", "story_role"), MEDIA, ["start_ms", "ord"], seq.time_slot(), "_n")

@@ -95,21 +95,28 @@ LEAD = 6
 
 
 def containment(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id) where one text contains the other.
+    """(l, r): distinct texts (column `text`) of both sides where one contains the other.
 
     A contained text's leading six characters (or all of it when shorter) must occur in the container, so both directions
     are equi joins on that key followed by the exact test: no pair is formed without a shared key.
     """
     def inside(needles: DataFrame, hays: DataFrame, n: str, h: str) -> DataFrame:
-        keyed = needles.groupBy("text").agg(F.collect_set("id").alias("_ids")).withColumn("_k", F.substring("text", 1, LEAD)).withColumnRenamed("text", "_needle")
-        grams = hays.withColumn("_k", F.explode(_substrings(F.col("text"), F.lit(1), F.lit(LEAD)))).withColumnRenamed("text", "_hay").withColumnRenamed("id", h)
-        return keyed.join(grams, "_k").filter(F.contains("_hay", "_needle")).select(F.explode("_ids").alias(n), h).select("l_id", "r_id")
+        keyed = needles.select(F.col("text").alias(n)).withColumn("_k", F.substring(n, 1, LEAD))
+        grams = hays.select(F.col("text").alias(h)).withColumn("_k", F.explode(_substrings(F.col(h), F.lit(1), F.lit(LEAD))))
+        return keyed.join(grams, "_k").filter(F.contains(h, n)).select("l", "r")
 
-    return inside(right, left, "r_id", "l_id").unionByName(inside(left, right, "l_id", "r_id")).distinct()
+    left, right = left.select("text").distinct(), right.select("text").distinct()
+    return inside(right, left, "r", "l").unionByName(inside(left, right, "l", "r")).distinct()
+
+
+def first_ids(named: DataFrame, k: int) -> DataFrame:
+    """(text, id): the `k` smallest ids of every text, so that a text that many share stays a short list."""
+    rank = F.row_number().over(Window.partitionBy("text").orderBy("id"))
+    return named.select("text", "id").distinct().withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
 def near_tokens(tokens: DataFrame, titles: DataFrame) -> DataFrame:
-    """(l_id, r_id, distance) of tokens within max(1, length / 4) edits of a title and four characters of its length.
+    """(token, title, distance): distinct texts where a token is within max(1, length / 4) edits of a title and four characters of its length.
 
     With t edits allowed, one of t + 1 pieces of the title survives unchanged in the token, shifted by at most t places,
     and the lengths differ by at most t.  (piece, place, token length) is the join key; the bounded edit distance is the
@@ -132,32 +139,44 @@ def near_tokens(tokens: DataFrame, titles: DataFrame) -> DataFrame:
     spread = places.filter("(_w = 0 AND _at = 0) OR (_w > 0 AND _at > 0 AND _at + _w - 1 <= length(text))").select(
         F.col("text").alias("_token"), F.substr("text", F.col("_at"), F.col("_w")).alias("_k"), "_at", n.alias("_len"))
     pairs = spread.join(keyed, ["_k", "_at", "_len"]).select("_token", "_title", "_t").distinct().filter(F.abs(F.length("_token") - F.length("_title")) <= 4)
-    close = pairs.withColumn("distance", F.levenshtein("_token", "_title")).filter(F.col("distance") <= F.col("_t")).drop("_t")
-    hits = close.join(tokens.select(F.col("text").alias("_token"), F.col("id").alias("l_id")), "_token").join(
-        titles.select(F.col("text").alias("_title"), F.col("id").alias("r_id")), "_title")
-    return hits.groupBy("l_id", "r_id").agg(F.min("distance").alias("distance"), F.first(F.length("_title")).alias("title_length"))
+    close = pairs.withColumn("distance", F.levenshtein("_token", "_title")).filter(F.col("distance") <= F.col("_t"))
+    return close.select(F.col("_token").alias("token"), F.col("_title").alias("title"), "distance")
 
 
 def infer_works(tasks: DataFrame, works: DataFrame, limit: int = 3) -> DataFrame:
-    """Top works per task name: containment 0.9, close token 0.6-0.7, else a title suggestion from the file pattern 0.5."""
-    hay = tasks.select(F.col("task_id").alias("id"), _spread_words(F.col("name")).alias("text")).filter("text <> ''")
+    """Top works of a task by its name and the file name of its input: containment of title or alias 0.9, close token 0.6-0.7, else the title
+    that a file pattern gives, with its year, 0.5.
+
+    Takes task_id, name, path and work_id, title, aliases.  Works of one title score alike and go by id, so at most twice `limit` ids of a
+    text can come to a task's list; texts are compared once, however many tasks and works carry them.
+    """
+    named = tasks.select("task_id", F.col("name").alias("n"), tx.base_name(F.col("path")).alias("p"))
+    sources = cut_lineage(named.select("task_id", F.posexplode(F.array("n", "p")).alias("source", "raw")).filter("raw <> ''"))
+    hay = sources.select("task_id", _spread_words(F.col("raw")).alias("text")).filter("text <> ''").distinct()
+    hay = cut_lineage(hay)
     names = works.select(F.col("work_id").alias("id"), F.explode(F.concat(F.array("title"), "aliases")).alias("text")).select("id", norm_name(F.col("text")).alias("text")).filter("text <> ''")
-    hits = cut_lineage(containment(cut_lineage(hay), cut_lineage(names)).select(
-        F.col("l_id").alias("task_id"), F.col("r_id").alias("work_id"), F.lit(0.9).alias("score"), F.lit(0).alias("pass")))
-    tokens = hay.select("id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("text")).filter("text <> ''")
-    titles = works.select(F.col("work_id").alias("id"), _spread_words(F.col("title")).alias("text")).filter("text <> ''")
-    near = near_tokens(cut_lineage(tokens), cut_lineage(titles)).withColumn("score", F.lit(0.6) + (1 - F.col("distance") / F.col("title_length")) * 0.1)
-    fuzzy = near.select(F.col("l_id").alias("task_id"), F.col("r_id").alias("work_id"), F.round("score", 3).alias("score"), F.lit(1).alias("pass")).join(
-        hits.select("task_id", "work_id"), ["task_id", "work_id"], "left_anti")
-    matched = cut_lineage(hits.unionByName(fuzzy).join(works.select("work_id", "title"), "work_id"))
-    suggestion = tasks.select("task_id", tx.file_title(F.col("name")).alias("title")).filter("title IS NOT NULL")
+    names = cut_lineage(first_ids(names, 2 * limit))
+    order = Window.partitionBy("task_id").orderBy(F.desc("score"), "pass", "work_id", "source")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_r", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "work_id"))).filter(F.col("_r") <= 2 * limit).drop("_r")
+
+    held = containment(hay, names).join(hay.withColumnRenamed("text", "l"), "l").select("task_id", F.col("r").alias("text")).distinct()
+    hits = cut_lineage(best(held.join(names, "text").select("task_id", F.col("id").alias("work_id"), F.lit(0.9).alias("score")).distinct()))
+    tokens = cut_lineage(hay.select("task_id", F.explode(F.split("text", r"\s+")).alias("text")).filter("text <> ''").distinct())
+    titles = cut_lineage(first_ids(works.select(F.col("work_id").alias("id"), _spread_words(F.col("title")).alias("text")).filter("text <> ''"), 2 * limit))
+    near = near_tokens(tokens, titles).join(tokens.withColumnRenamed("text", "token"), "token").groupBy("task_id", F.col("title").alias("text")).agg(F.min("distance").alias("d"))
+    near = near.select("task_id", "text", F.round(F.lit(0.6) + (1 - F.col("d") / F.length("text")) * 0.1, 3).alias("score"))
+    fuzzy = best(near.join(titles, "text").select("task_id", F.col("id").alias("work_id"), "score").join(hits.select("task_id", "work_id"), ["task_id", "work_id"], "left_anti"))
+    found = hits.withColumn("pass", F.lit(0)).unionByName(fuzzy.withColumn("pass", F.lit(1)))
+    matched = cut_lineage(found.join(works.select("work_id", "title"), "work_id"))
+    suggestion = sources.select("task_id", "source", tx.file_title(F.col("raw")).alias("title"), tx.file_year(F.col("raw")).alias("year")).filter("title IS NOT NULL").withColumn("_t", F.lower("title"))
+    first = suggestion.groupBy("task_id", "_t").agg(F.min_by(F.struct("title", "year", "source"), "source").alias("s")).select("task_id", "_t", "s.*")
     known = matched.select("task_id", norm_name(F.col("title")).alias("_t")).distinct()
-    fresh = suggestion.withColumn("_t", F.lower("title")).join(known, ["task_id", "_t"], "left_anti").select(
-        "task_id", F.lit(None).cast("long").alias("work_id"), F.lit(0.5).alias("score"), F.lit(2).alias("pass"), "title")
-    order = Window.partitionBy("task_id").orderBy(F.desc("score"), "pass", "work_id")
-    ranked = matched.select("task_id", "work_id", "score", "pass", "title").unionByName(fresh).withColumn("rank", F.row_number().over(order))
-    labels = tasks.select("task_id", tx.episode_label(F.col("name")).alias("episode"))
-    return ranked.filter(F.col("rank") <= limit).join(labels, "task_id").drop("pass")
+    fresh = first.join(known, ["task_id", "_t"], "left_anti").select("task_id", F.lit(None).cast("long").alias("work_id"), F.lit(0.5).alias("score"), F.lit(2).alias("pass"), "title", "year", "source")
+    ranked = matched.withColumns({"year": F.lit(None).cast("int"), "source": F.lit(0)}).select(*fresh.columns).unionByName(fresh).withColumn("rank", F.row_number().over(order))
+    labels = sources.withColumn("episode", tx.episode_label(F.col("raw"))).filter("episode IS NOT NULL").groupBy("task_id").agg(F.min_by("episode", "source").alias("episode"))
+    return ranked.filter(F.col("rank") <= limit).join(labels, "task_id", "left").drop("pass", "source")
 
 
 # ---- upserts ------------------------------------------------------------------------------------------------------

@@ -9,9 +9,9 @@ from cueloom.operators import repair as rp
 from cueloom.operators import speakers as sp
 from cueloom.plans.registry import query
 
-# a window per cue: some unreadable, some before 0, some past the limit of every third media, some too short
+# a window per cue: some with an unreadable start or end, some before 0, some past the limit of every third media, some too short
 PLAN_SQL = """WITH raw AS (SELECT media_id, 'p' || CAST(ord AS STRING) AS plan_id, ord, CAST(ord % 3 = 0 AS INTEGER) AS ost, CAST(floor((start_ms - 2000) / 500) AS BIGINT) * 500 - 500 * (ord % 5) AS a,
-  CAST(floor((start_ms - 2000) / 500) AS BIGINT) * 500 - 500 * (ord % 5) + CASE WHEN ord % 4 = 3 THEN 50 ELSE 1000 + end_ms - start_ms END AS b, CASE WHEN media_id % 3 = 0 THEN 9000 ELSE 0 END AS cap, ord % 7 = 5 AS broken, speaker_label, text FROM cues),
+  CAST(floor((start_ms - 2000) / 500) AS BIGINT) * 500 - 500 * (ord % 5) + CASE WHEN ord % 4 = 3 THEN 50 ELSE 1000 + end_ms - start_ms END AS b, CASE WHEN media_id % 3 = 0 THEN 9000 ELSE 0 END AS cap, ord % 7 = 5 OR ord % 11 = 4 AS broken, speaker_label, text FROM cues),
 w0 AS (SELECT *, greatest(0, a) AS s, CASE WHEN cap > 0 THEN least(b, cap) ELSE b END AS e FROM raw WHERE NOT broken),
 win AS (SELECT media_id, plan_id, ost, s AS start_ms, e AS end_ms, speaker_label AS story_role, row_number() OVER (PARTITION BY media_id ORDER BY s, ord) AS item_id FROM w0 WHERE e - s >= 100),
 nar AS (SELECT media_id, plan_id, trim(text) AS narration, 'pic ' || plan_id AS picture FROM raw WHERE ord % 5 <> 2),
@@ -25,7 +25,7 @@ def _windows(src):
     rows = src("cues").withColumn("a", a).withColumn("b", F.col("a") + F.when(F.col("ord") % 4 == 3, 50).otherwise(1000 + F.col("end_ms") - F.col("start_ms")))
     text = F.when(F.col("ord") % 7 == 5, "soon").otherwise((F.col("a") / 1000.0).cast("decimal(18,3)").cast("string"))
     plan = rows.select("media_id", F.concat(F.lit("p"), F.col("ord").cast("string")).alias("plan_id"), "ord", (F.col("ord") % 3 == 0).cast("int").alias("ost"), text.alias("src_start"),
-                       (F.col("b") / 1000.0).cast("decimal(18,3)").cast("string").alias("src_end"), F.when(F.col("media_id") % 3 == 0, 9_000).otherwise(0).cast("long").alias("max_end_ms"), F.col("speaker_label").alias("story_role"))
+                       F.when(F.col("ord") % 11 == 4, "later").otherwise((F.col("b") / 1000.0).cast("decimal(18,3)").cast("string")).alias("src_end"), F.when(F.col("media_id") % 3 == 0, 9_000).otherwise(0).cast("long").alias("max_end_ms"), F.col("speaker_label").alias("story_role"))
     return cm.plan_windows(plan)
 
 

@@ -80,27 +80,29 @@ def _(src):
     return en.search_works(_works(src), "RED").select("work_id")
 
 
-INFER_SQL = """WITH d AS (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS t FROM documents), n AS (SELECT doc_id, split_part(t, ' ', 1) || split_part(t, ' ', 2) AS word FROM d),
-w AS (SELECT doc_id AS work_id, word AS title FROM n WHERE length(word) > 4), tk AS (SELECT doc_id AS task_id, CASE doc_id % 3 WHEN 0 THEN word || '.S01E0' || CAST(doc_id % 9 AS STRING) || '.mkv' WHEN 1 THEN replace(word, 'e', 'a') || '.E7.mkv' ELSE word || '_1999.mkv' END AS name FROM n WHERE length(word) > 4),
-h AS (SELECT task_id, name, trim(lower(regexp_replace(name, '[._\\-]+', ' ', 'g'))) AS hay FROM tk),
-p1 AS (SELECT task_id, work_id, title, 0.9::DOUBLE AS score, 0 AS pass FROM h, w WHERE contains(hay, title) OR contains(title, hay)),
-tok AS (SELECT DISTINCT task_id, unnest(string_split(hay, ' ')) AS tok FROM h),
-p2 AS (SELECT task_id, work_id, any_value(title) AS title, round(0.6::DOUBLE + (1 - min(levenshtein(tok, title)) / any_value(length(title))) * 0.1::DOUBLE, 3) AS score, 1 AS pass FROM tok, w WHERE abs(length(tok) - length(title)) <= 4 AND levenshtein(tok, title) <= greatest(1, length(title) // 4) AND (task_id, work_id) NOT IN (SELECT (task_id, work_id) FROM p1) GROUP BY task_id, work_id),
-m AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), s AS (SELECT task_id, NULL::BIGINT AS work_id, split_part(replace(name, '_', '.'), '.', 1) AS title, 0.5::DOUBLE AS score, 2 AS pass FROM tk),
-u AS (SELECT * FROM m UNION ALL SELECT * FROM s WHERE (task_id, title) NOT IN (SELECT (task_id, title) FROM m)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, pass, work_id) AS INTEGER) AS rank FROM u QUALIFY rank <= 3)
-SELECT r.task_id, work_id, score, title, rank, CASE r.task_id % 3 WHEN 0 THEN 'S01E0' || CAST(r.task_id % 9 AS STRING) WHEN 1 THEN 'E07' END AS episode FROM r"""
+INFER_SQL = r"""WITH src AS (SELECT task_id, 0 AS source, name AS raw FROM work_tasks WHERE name <> '' UNION ALL SELECT task_id, 1, b FROM (SELECT task_id, regexp_replace(regexp_replace(path, '^.*/', ''), '^(\.*[^.].*)\.[^.]*$', '\1') AS b FROM work_tasks) WHERE b <> ''),
+h AS (SELECT DISTINCT task_id, trim(lower(regexp_replace(raw, '[._\-]+', ' ', 'g'))) AS hay FROM src), nm AS (SELECT work_id, lower(trim(title)) AS n FROM work_titles UNION SELECT work_id, lower(trim(alias)) FROM work_titles),
+hn AS (SELECT hay, n FROM (SELECT DISTINCT hay FROM h) a, (SELECT DISTINCT n FROM nm) b WHERE contains(hay, n) OR contains(n, hay)), tn AS (SELECT DISTINCT task_id, n FROM h JOIN hn USING (hay)),
+p1 AS (SELECT DISTINCT task_id, work_id, 0.9::DOUBLE AS score, 0 AS pass FROM tn JOIN nm USING (n)),
+tok AS (SELECT DISTINCT task_id, unnest(string_split(hay, ' ')) AS tok FROM h), tt AS (SELECT DISTINCT trim(lower(regexp_replace(title, '[._\-]+', ' ', 'g'))) AS t FROM work_titles),
+near AS (SELECT tok, t, levenshtein(translate(tok, '风起', 'XY'), translate(t, '风起', 'XY')) AS d FROM (SELECT DISTINCT tok FROM tok WHERE tok <> '') a, tt WHERE abs(length(tok) - length(t)) <= 4 AND levenshtein(translate(tok, '风起', 'XY'), translate(t, '风起', 'XY')) <= greatest(1, length(t) // 4)),
+nt AS (SELECT task_id, t, round(0.6::DOUBLE + (1 - min(d) / any_value(length(t))) * 0.1::DOUBLE, 3) AS score FROM tok JOIN near USING (tok) GROUP BY task_id, t),
+p2 AS (SELECT task_id, work_id, score, 1 AS pass FROM nt JOIN work_titles w ON trim(lower(regexp_replace(w.title, '[._\-]+', ' ', 'g'))) = t ANTI JOIN p1 USING (task_id, work_id)),
+m AS (SELECT p.*, title FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) p JOIN work_titles USING (work_id)),
+g AS (SELECT task_id, source, raw, nullif(trim(regexp_replace(coalesce(nullif(regexp_extract(raw, '(?i)^(.+?)[._\s-]+S\d{1,2}E\d{1,3}', 1), ''), nullif(regexp_extract(raw, '(?i)^(.+?)[._\s-]+(?:EP?|第)\s*\d{1,3}', 1), ''), nullif(regexp_extract(raw, '^(.+?)[._\s-]+(?:19|20)\d{2}\b', 1), '')), '[._\-]+', ' ', 'g')), '') AS title,
+  CAST(nullif(regexp_extract(raw, '^.+?[._\s-]+((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS year FROM src),
+s AS (SELECT task_id, lower(title) AS t, arg_min(title, source) AS title, arg_min(coalesce(year, -1), source) AS year, min(source) AS source FROM g WHERE title IS NOT NULL GROUP BY task_id, lower(title)),
+u AS (SELECT task_id, work_id, score, pass, title, NULL::INTEGER AS year, 0 AS source FROM m UNION ALL SELECT task_id, NULL, 0.5::DOUBLE, 2, title, nullif(year, -1), source FROM s WHERE (task_id, t) NOT IN (SELECT (task_id, lower(trim(title))) FROM m)),
+e AS (SELECT task_id, arg_min(episode, source) AS episode FROM (SELECT task_id, source, CASE WHEN regexp_matches(raw, '(?i).[._\s-]+S\d{1,2}E\d{1,3}') THEN 'S' || lpad(regexp_extract(raw, '(?i).[._\s-]+S(\d{1,2})E(\d{1,3})', 1), 2, '0') || 'E' || lpad(regexp_extract(raw, '(?i).[._\s-]+S(\d{1,2})E(\d{1,3})', 2), 2, '0')
+  WHEN regexp_matches(raw, '(?i).[._\s-]+(?:EP?|第)\s*\d{1,3}') THEN 'E' || lpad(regexp_extract(raw, '(?i).[._\s-]+(?:EP?|第)\s*(\d{1,3})', 1), 2, '0') END AS episode FROM src) WHERE episode IS NOT NULL GROUP BY task_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, pass, work_id, source) AS INTEGER) AS rank FROM u QUALIFY rank <= 3)
+SELECT task_id, work_id, score, title, year, rank, episode FROM r LEFT JOIN e USING (task_id)"""
 
 
 @query("infer_works", INFER_SQL)
 def _(src):
-    # a work is titled by the first two words of its document, a task file is named after one, with typos
-    head = F.lower(F.regexp_replace("text", "[^A-Za-z ]", ""))
-    words = src("documents").select("doc_id", head.alias("t")).select("doc_id", F.concat(F.split_part("t", F.lit(" "), F.lit(1)), F.split_part("t", F.lit(" "), F.lit(2))).alias("word")).filter(F.length("word") > 4)
-    words = cut_lineage(words)
-    works = words.select(F.col("doc_id").alias("work_id"), F.col("word").alias("title"), F.array().cast("array<string>").alias("aliases"))
-    k = F.col("doc_id") % 3
-    name = F.when(k == 0, F.concat("word", F.lit(".S01E0"), (F.col("doc_id") % 9).cast("string"), F.lit(".mkv"))).when(k == 1, F.concat(F.replace("word", F.lit("e"), F.lit("a")), F.lit(".E7.mkv"))).otherwise(F.concat("word", F.lit("_1999.mkv")))
-    return en.infer_works(words.select(F.col("doc_id").alias("task_id"), name.alias("name")), works)
+    works = src("work_titles").select("work_id", "title", F.array("alias").alias("aliases"))
+    return en.infer_works(src("work_tasks"), works)
 
 
 @query("upsert_personas", """WITH l AS (SELECT lower(name) || '|' || coalesce(gender, '') || '|' || lower(role) AS f, min(persona_id) AS persona_id, arg_min({'name': name, 'gender': gender, 'role': role}, persona_id) AS s, 'old' AS note FROM personas WHERE persona_id % 2 = 0 GROUP BY f),

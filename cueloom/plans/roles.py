@@ -160,6 +160,15 @@ ROLES: dict[str, str] = {
     "works": """
         SELECT p_partkey AS work_id, p_name AS title, p_type || ' ' || p_name AS alias, p_brand AS kind, p_size AS year_no
         FROM {part}""",
+    # titles many works share, some not Latin; tasks named after them in several ways, with and without an input path
+    "work_titles": """
+        SELECT p_partkey AS work_id, CASE WHEN p_partkey % 9 = 0 THEN '风起 ' || p_name ELSE p_name END AS title, p_type AS alias FROM {part}""",
+    "work_tasks": """
+        SELECT o_orderkey AS task_id,
+               CASE o_orderkey % 7 WHEN 0 THEN replace(title, ' ', '.') || '.S01E0' || CAST(o_orderkey % 9 AS STRING) || '.mkv' WHEN 1 THEN replace(title, ' ', '') || '.E7' WHEN 2 THEN title || '_1999.mkv'
+                    WHEN 3 THEN 'Task ' || o_orderpriority || ' #' || CAST(o_custkey AS STRING) WHEN 4 THEN 'the ' || alias || ' show' WHEN 5 THEN '风起' ELSE '' END AS name,
+               CASE o_orderkey % 4 WHEN 0 THEN '/m/x.y/' || upper(title) || '.第3.2004.mp4' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE '/in/' || CAST(o_orderkey AS STRING) || '.mov' END AS path
+        FROM {orders} o JOIN {work_titles} w ON w.work_id = o.o_custkey % 200""",
     "personas": """
         SELECT c_custkey AS persona_id, c_mktsegment AS role, 'P ' || c_mktsegment || ' ' || CAST(c_nationkey AS STRING) AS name,
                CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS gender,
