@@ -313,63 +313,40 @@ def merge_detections(detections: DataFrame, tolerance_ms: int = 500, threshold:
         F.col("total").alias("detections"))
 
 
-ADJUSTED = T.StructType([T.StructField("media_id", T.LongType()), T.StructField("segment_id", T.LongType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())])
-
-
-def adjust_boundaries(subtitles: DataFrame, min_ms: int = 500) -> DataFrame:
+def adjust_boundaries(subtitles: DataFrame, min_ms: int = 500, slot_rows: int = seq.FOLD_ROWS) -> DataFrame:
     """Strictly increasing starts (10 ms apart on a clash), previous end trimmed, minimum duration.
 
     A row whose start lies beyond every start the earlier rows could have been pushed to cannot be affected by them; that
-    bound is a running maximum, and the fold runs only between such rows.
+    bound is a running maximum, and the fold carries a start only between such rows.
     """
-    ranked = cut_lineage(seq.positions(cut_lineage(subtitles), MEDIA, ORDER, seq.time_slot()))
+    ranked = cut_lineage(seq.positions(subtitles, MEDIA, ORDER, seq.time_slot()))
     lifted = seq.prefix(ranked, MEDIA, {"_u": ("max_before", F.col("start_ms") - F.col("pos") * 10)})
-    free = F.col("_u").isNull() | (F.col("start_ms") > F.col("_u") + (F.col("pos") - 1) * 10)
-    near = seq.prefix(cut_lineage(lifted), MEDIA, {"island": ("last", F.when(free, F.col("pos")))})
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        start, end, opens = pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), (pdf["island"] == pdf["pos"]).tolist()
-        for i in range(len(start)):
-            if i and not opens[i] and start[i] <= start[i - 1]:
-                start[i] = start[i - 1] + 10
-            if end[i] <= start[i] or end[i] - start[i] < min_ms:
-                end[i] = start[i] + min_ms
-        return pd.DataFrame({"media_id": pdf["media_id"], "segment_id": pdf["segment_id"], "start_ms": start, "end_ms": end})
-
-    moved = cut_lineage(fold_islands(near.select("media_id", "segment_id", "pos", "island", "start_ms", "end_ms"), "island", fold, ADJUSTED))
+    rows = lifted.withColumn("opens", F.col("_u").isNull() | (F.col("start_ms") > F.col("_u") + (F.col("pos") - 1) * 10))
+
+    def step(s: Column, r: Column) -> Column:
+        return F.struct(F.when(~r["opens"] & (r["start_ms"] <= s["start"]), s["start"] + 10).otherwise(r["start_ms"]).alias("start"))
+
+    moved = ranked.join(seq.slot_fold(rows, MEDIA, ["start_ms", "opens"], "start long", step, slot_rows), ["media_id", "pos"])
+    short = (F.col("end_ms") <= F.col("start")) | (F.col("end_ms") - F.col("start") < min_ms)
+    held = moved.select("media_id", "segment_id", F.col("start").alias("start_ms"), F.when(short, F.col("start") + min_ms).otherwise(F.col("end_ms")).alias("end_ms"))
     gap = min(10, int(min_ms * 0.2))
-    after = seq.scan(moved, MEDIA, ["start_ms", "segment_id"], seq.time_slot(), {"_next": ("lead", F.col("start_ms"))}).drop("_slot")
+    after = seq.scan(held, MEDIA, ["start_ms", "segment_id"], seq.time_slot(), {"_next": ("lead", F.col("start_ms"))}).drop("_slot")
     trimmed = F.when(F.col("_next") < F.col("end_ms"), F.greatest(F.col("start_ms") + 50, F.col("_next") - gap)).otherwise(F.col("end_ms"))
     return after.withColumn("end_ms", trimmed).drop("_next")
 
 
-MERGED = T.StructType([T.StructField("media_id", T.LongType()), T.StructField("segment_id", T.LongType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()), T.StructField("text", T.StringType()), T.StructField("merged", T.LongType())])
-
-
-def merge_nearby(subtitles: DataFrame, max_gap_ms: int = 1_000) -> DataFrame:
-    """Neighbours within `max_gap_ms` whose text equals the first text of the run extend it (similarity above 0.95)."""
-    import difflib
-
-    rows = subtitles.withColumn("norm", tx.normalise_transcript(F.col("text")))
-    breaks = F.col("_pe").isNull() | (F.col("start_ms") - F.col("_pe") > max_gap_ms)
-    islands = seq.label_islands(rows, MEDIA, ORDER, seq.time_slot(), breaks, {"_pe": ("lag", F.col("end_ms"))})
+def merge_nearby(subtitles: DataFrame, max_gap_ms: int = 1_000, threshold: float = 0.95, slot_rows: int = seq.FOLD_ROWS) -> DataFrame:
+    """Neighbours within `max_gap_ms` whose text is the first text of the run, or more than `threshold` like it, extend it."""
+    rows = seq.scan(subtitles.withColumn("norm", tx.normalise_transcript(F.col("text"))), MEDIA, ORDER, seq.time_slot(), {"pos": ("row", None), "_pe": ("lag", F.col("end_ms"))}).drop("_slot")
+    rows = cut_lineage(rows.withColumn("opens", F.col("_pe").isNull() | (F.col("start_ms") - F.col("_pe") > max_gap_ms)))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        island = None
-        for r in pdf.sort_values("pos").itertuples():
-            same = out and r.island == island and out[-1][5] and r.norm and (
-                out[-1][5] == r.norm or difflib.SequenceMatcher(None, r.norm, out[-1][5]).ratio() > 0.95)
-            if same:
-                out[-1][3] = r.end_ms
-                out[-1][6] += 1
-            else:
-                out.append([r.media_id, r.segment_id, r.start_ms, r.end_ms, r.text, r.norm, 1])
-            island = r.island
-        return pd.DataFrame([[*o[:5], o[6]] for o in out], columns=MERGED.names)
+    def step(s: Column, r: Column) -> Column:
+        same = (r["norm"] != "") & (s["norm"] != "") & ((r["norm"] == s["norm"]) | (tx.edit_similarity(r["norm"], s["norm"]) > threshold))
+        joins = F.coalesce(~r["opens"] & same, F.lit(False))
+        return F.struct(F.when(joins, s["run"]).otherwise(r["pos"]).alias("run"), F.when(joins, s["norm"]).otherwise(r["norm"]).alias("norm"))
 
-    return fold_islands(islands.select("media_id", "segment_id", "pos", "island", "start_ms", "end_ms", "text", "norm"), "island", fold, MERGED)
+    runs = rows.drop("norm").join(seq.slot_fold(rows, MEDIA, ["norm", "opens"], "run long, norm string", step, slot_rows), ["media_id", "pos"])
+    return runs.groupBy("media_id", "run").agg(F.min_by("segment_id", "pos").alias("segment_id"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.min_by("text", "pos").alias("text"), F.count(F.lit(1)).alias("merged")).drop("run")
 
 
 def filter_confidence(subtitles: DataFrame, minimum: float) -> DataFrame:

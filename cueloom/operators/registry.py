@@ -129,45 +129,97 @@ def audit_summary(audit: DataFrame) -> DataFrame:
 # ---- clustering ---------------------------------------------------------------------------------------------------
 
 
-def _average_linkage(vecs: np.ndarray, cut: float | None, k: int | None) -> np.ndarray:
-    """Cluster labels by average-link cosine distance, stopping at distance `cut` or at `k` clusters."""
+def average_merges(vecs: np.ndarray) -> list[tuple[float, int, int]]:
+    """All merges of average-link cosine clustering as (height, row, row), lowest first.
+
+    The mean cosine of two clusters of unit vectors is the product of their sums over their sizes, so clusters are kept as sums and no
+    matrix of pairs exists: a chain of nearest neighbours is followed until two clusters are each other's nearest, which average link
+    may merge at once whatever else is open.
+    """
+    sums = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-12)
+    size, name = np.ones(len(vecs)), np.arange(len(vecs))
+    alive = np.ones(len(vecs), bool)
+    chain: list[int] = []
+    merges = []
+    for _ in range(len(vecs) - 1):
+        if 2 * alive.sum() < len(alive):  # close up the rows that are gone
+            at = np.cumsum(alive) - 1
+            chain = [int(at[c]) for c in chain]
+            sums, size, name, alive = sums[alive], size[alive], name[alive], np.ones(int(alive.sum()), bool)
+        while True:
+            if not chain:
+                chain.append(int(np.argmax(alive)))
+            x = chain[-1]
+            near = (sums @ sums[x]) / (size * size[x])
+            near[~alive], near[x] = -np.inf, -np.inf
+            y = int(np.argmax(near))
+            if len(chain) > 1 and near[chain[-2]] >= near[y]:
+                y = chain[-2]
+                break
+            chain.append(y)
+        del chain[-2:]
+        x, y = min(x, y), max(x, y)
+        merges.append((1.0 - float(near[y if near[x] == -np.inf else x]), int(name[x]), int(name[y])))
+        sums[x] += sums[y]
+        size[x] += size[y]
+        alive[y] = False
+    return sorted(merges, key=lambda m: m[0])
+
+
+def merged_labels(n: int, merges: list[tuple[float, int, int]]) -> np.ndarray:
+    """Labels 0, 1, ... by smallest row after the given merges."""
+    owner = np.arange(n)
+
+    def find(x: int) -> int:
+        while owner[x] != x:
+            owner[x] = owner[owner[x]]
+            x = owner[x]
+        return x
+
+    for _, a, b in merges:
+        a, b = find(a), find(b)
+        owner[max(a, b)] = min(a, b)
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
+
+
+def one_voice(vecs: np.ndarray, floor: float, block: int = 2_048) -> bool:
+    """Whether the 20th percentile of all pair similarities reaches `floor`; counted block by block, never as one matrix."""
     n = len(vecs)
-    unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-12)
-    dist = 1.0 - unit @ unit.T
-    np.fill_diagonal(dist, np.inf)
-    size, owner, alive = np.ones(n), np.arange(n), n
-    while alive > (k or 1):
-        i, j = np.unravel_index(np.argmin(dist), dist.shape)
-        if cut is not None and dist[i, j] >= cut:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * dist[i] + size[j] * dist[j]) / (size[i] + size[j])
-        dist[i], dist[:, i] = merged, merged
-        dist[i, i] = np.inf
-        dist[j], dist[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
-        alive -= 1
-    return np.unique(owner, return_inverse=True)[1]
+    below, largest_below, smallest_above = 0, -np.inf, np.inf
+    for lo in range(0, n, block):
+        for at in range(lo, n, block):
+            sims = vecs[lo : lo + block] @ vecs[at : at + block].T
+            sims = sims[np.triu_indices(len(sims), 1)] if at == lo else sims.ravel()
+            under = sims < floor
+            below += int(under.sum())
+            largest_below = max(largest_below, sims[under].max(initial=-np.inf))
+            smallest_above = min(smallest_above, sims[~under].min(initial=np.inf))
+    rank = 0.2 * (n * (n - 1) // 2 - 1)
+    low = int(rank)
+    if below <= low:
+        return True
+    if below > low + 1:
+        return False
+    return largest_below + (smallest_above - largest_below) * (rank - low) >= floor
 
 
 def speaker_clusters(vecs: np.ndarray, expected: int = 0) -> np.ndarray:
     n = len(vecs)
-    if n <= 1:
+    if n <= 1 or expected == 1:
         return np.zeros(n, dtype=int)
-    if expected > 0:
-        return _average_linkage(vecs, None, min(expected, n))
-    sims = (vecs @ vecs.T)[np.triu_indices(n, 1)]
-    if np.percentile(sims, 20) >= SINGLE_SPEAKER_FLOOR:
+    if expected <= 0 and one_voice(vecs, SINGLE_SPEAKER_FLOOR):
         return np.zeros(n, dtype=int)
-    found = _average_linkage(vecs, 1.0 - SAME_SPEAKER, None)
+    merges = average_merges(vecs)
+    if expected > 0:
+        return merged_labels(n, merges[: n - min(expected, n)])
+    near = sum(h < 1.0 - SAME_SPEAKER for h, _, _ in merges)
     cap = n if n <= 6 else max(2, min(8, n // 6 + 1))
-    return found if found.max() + 1 <= cap else _average_linkage(vecs, None, cap)
+    return merged_labels(n, merges[: max(near, n - cap)])
 
 
 def cluster_media(groups: DataFrame, expected: int = 0) -> DataFrame:
-    """Cluster label per embedding group.  The group count of one media is bounded by its length (a group spans up to 8 s of
-    one recording), so the linkage matrix of a media fits a task; media are independent and spread over the cluster."""
+    """Cluster label per embedding group.  A media is one task and holds its groups' vectors, one per some seconds of a recording (20,000
+    groups are a day and take some 20 MB); media are independent and spread over the cluster."""
     schema = T.StructType([T.StructField("media_id", groups.schema["media_id"].dataType), T.StructField("id", T.LongType()),
                            T.StructField("cluster", T.LongType())])
 
@@ -187,27 +239,36 @@ def stable_relabel(rows: DataFrame, label: str, pos: str = "pos") -> DataFrame:
     return rows.join(names, ["media_id", label])
 
 
-def smooth_labels(rows: DataFrame, label: str = "cluster", max_ms: int = 1_500) -> DataFrame:
+def smooth_labels(rows: DataFrame, label: str = "cluster", max_ms: int = 1_500, slot_rows: int = seq.FOLD_ROWS) -> DataFrame:
     """A short row between two rows of one label takes that label; the left neighbour counts after its own smoothing.
 
-    A row longer than `max_ms` keeps its label whatever happened before, so short rows are folded inside the stretch that
-    starts at the previous long row; stretches are packed into buckets by position and folded there.
+    A row longer than `max_ms` keeps its label whatever happened before, so the fold carries a label only over short rows.
     """
-    ahead = seq.prefix(rows, ["media_id"], {"_next": ("lead", F.col(label))})
-    stretch = seq.islands(cut_lineage(ahead), ["media_id"], (F.col("pos") == 0) | (F.col("dur_ms") > max_ms), "_stretch")
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    schema = T.StructType([T.StructField("media_id", kinds["media_id"]), T.StructField("pos", T.LongType()), T.StructField("smoothed", kinds[label])])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        out = pdf[label].tolist()
-        nxt, start = pdf["_next"].tolist(), (pdf["_stretch"] == pdf["pos"]).tolist()
-        for i in range(len(out)):
-            if not start[i] and nxt[i] is not None and not pd.isna(nxt[i]) and out[i - 1] == nxt[i]:
-                out[i] = out[i - 1]
-        return pd.DataFrame({"media_id": pdf["media_id"], "pos": pdf["pos"], "smoothed": out})
-
-    slim = stretch.select("media_id", "pos", label, "_next", "_stretch")
-    bucketed = spread(slim.withColumn("_b", F.floor(F.col("_stretch") / 4096)), "media_id", "_b")
-    folded = bucketed.groupBy("media_id", "_b").applyInPandas(fold, schema)
+    ahead = cut_lineage(seq.prefix(rows, ["media_id"], {"_next": ("lead", F.col(label))}))
+    ahead = ahead.withColumns({"opens": (F.col("pos") == 0) | (F.col("dur_ms") > max_ms), "_own": F.col(label)})
+
+    def step(s: Column, r: Column) -> Column:
+        return F.struct(F.when(~r["opens"] & (s["smoothed"] == r["_next"]), s["smoothed"]).otherwise(r["_own"]).alias("smoothed"))
+
+    folded = seq.slot_fold(ahead, ["media_id"], ["_next", "_own", "opens"], f"smoothed {rows.schema[label].dataType.simpleString()}", step, slot_rows)
     return rows.join(folded, ["media_id", "pos"])
+
+
+def assign_speakers(segments: DataFrame, units: DataFrame, vectors: DataFrame, expected: int = 0) -> DataFrame:
+    """Speaker label of every segment in one job: clusters of the embedding groups, groups without a vector by their nearest one (the
+    earlier of two), segments by their group, short rows smoothed, labels by first appearance.
+
+    `units`: media_id, segment_id, pos, session (the group); `vectors`: media_id, session, vec (null or absent: none).  A media without
+    any vector is one speaker.
+    """
+    groups = units.select("media_id", "session").distinct().join(vectors.select("media_id", "session", "vec"), ["media_id", "session"], "left")
+    ranked = cut_lineage(seq.positions(groups, ["media_id"], ["session"], seq.block_slot("session"), "group"))
+    clusters = cluster_media(ranked.filter("vec IS NOT NULL").select("media_id", F.col("group").alias("id"), "vec"), expected)
+    known = cut_lineage(ranked.select("media_id", "session", "group").join(clusters.select("media_id", F.col("id").alias("group"), "cluster"), ["media_id", "group"], "left"))
+    here = F.when(F.col("cluster").isNotNull(), F.struct("group", "cluster"))
+    around = seq.scan(known, ["media_id"], ["group"], seq.block_slot("group"), {"_left": ("last", here)}).drop("_slot")
+    back = seq.scan(around.withColumn("_back", -F.col("group")), ["media_id"], ["_back"], F.floor(F.col("_back") / seq.BLOCK_ROWS), {"_right": ("last", here)}).drop("_slot", "_back")
+    nearer = F.col("_right").isNotNull() & (F.col("_left").isNull() | (F.col("_right.group") - F.col("group") < F.col("group") - F.col("_left.group")))
+    labelled = back.select("media_id", "session", F.coalesce(F.when(nearer, F.col("_right.cluster")).otherwise(F.col("_left.cluster")), F.lit(0).cast("long")).alias("cluster"))
+    rows = cut_lineage(units.select("media_id", "segment_id", "pos", "session").join(segments.select("media_id", "segment_id", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms")), ["media_id", "segment_id"]).join(labelled, ["media_id", "session"]))
+    return stable_relabel(smooth_labels(rows, "cluster"), "smoothed").select("media_id", "segment_id", "session", "cluster", "smoothed", "stable_label")

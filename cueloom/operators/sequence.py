@@ -9,27 +9,22 @@ their leading sort column and never needs more than one slot per task:
 * `islands`     gaps-and-islands id = rank of the latest break row.
 * `slot_fold`   folds with a carried state: each slot folds its rows natively, and slots whose incoming state changed fold again
                 until none does, which leaves exactly the state that one pass over all rows would have.
-* `capped_sessions`  greedy sessions whose caps restart with each session: each slot maps its possible entry rows to its
-                exit row, a compact chain over slots picks the true entries, a second pass marks the session starts.
+* `capped_sessions`  greedy sessions whose caps restart with each session, as such a fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueloom.session import cut_lineage
-from cueloom.session import spread as over_width
 
 BLOCK_ROWS = 65_536
 FOLD_ROWS = 1_024
 SLOT_MS = 60_000  # a minute of one media: what a scan's task holds is bounded by how much can be said or shown in it
-SESSION_SLOT_MS = 3_600_000
 
 Keys = Sequence[str]
 _PLAIN = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -171,21 +166,6 @@ def slot_fold(rows: DataFrame, key: Keys, fields: Sequence[str], state: str, ste
     return states.select(*key, F.inline(F.transform("rows", lambda r, i: F.struct(r["pos"].alias("pos"), F.get(F.col("out"), i).alias("s"))))).select(*key, "pos", *[F.col(f"s.{n}").alias(n) for n in names])
 
 
-def _next_starts(rows: pd.DataFrame, cap_ms: int, max_rows: int | None, gap_ms: int | None) -> np.ndarray:
-    """For every row: index of the row that opens the next session if a session opens here (len(rows) = past the slice)."""
-    start, end, brk = rows["start_ms"].to_numpy(), rows["end_ms"].to_numpy(), rows["brk"].to_numpy()
-    n = len(rows)
-    nxt = np.full(n, n, dtype=np.int64)
-    for i in range(n):
-        limit = n if max_rows is None else min(n, i + max_rows)
-        j, reach = i + 1, end[i]
-        while j < limit and not brk[j] and end[j] - start[i] <= cap_ms and (gap_ms is None or start[j] - reach <= gap_ms):
-            reach = max(reach, end[j])
-            j += 1
-        nxt[i] = j
-    return nxt
-
-
 def capped_sessions(
     df: DataFrame,
     key: Keys,
@@ -193,7 +173,7 @@ def capped_sessions(
     cap_ms: int,
     max_rows: int | None = None,
     gap_ms: int | None = None,
-    slot_ms: int = SESSION_SLOT_MS,
+    slot_rows: int = FOLD_ROWS,
     out: str = "session",
 ) -> DataFrame:
     """Greedy sessions over rows with `pos, start_ms, end_ms` ascending in pos and start.
@@ -202,76 +182,17 @@ def capped_sessions(
     more than `gap_ms` after the session's latest end, or when the session already holds `max_rows` rows.  The session id
     is the position of its first row.
     """
-    key = list(key)
-    slot = F.floor(F.col("start_ms") / slot_ms).cast("long")
-    rows = cut_lineage(df.withColumn("brk", F.coalesce(breaks, F.lit(False))))
-    lean = rows.select(*key, "pos", "start_ms", "end_ms", "brk", slot.alias("_own_slot"))
-    reach = F.ceil(F.lit(cap_ms) / slot_ms).cast("long")
-    # A session opened in a slot can only reach rows that start within cap_ms of its opening row.
-    spread = lean.withColumn(
-        "_slot",
-        F.explode(
-            F.filter(
-                F.transform(F.sequence(F.lit(0).cast("long"), reach), lambda k: F.col("_own_slot") - k),
-                lambda s: (s == F.col("_own_slot")) | (F.col("start_ms") - (s + 1) * slot_ms <= cap_ms),
-            )
-        ),
-    )
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    key_fields = [T.StructField(k, kinds[k]) for k in key]
-
-    def schema(*names: str) -> T.StructType:
-        return T.StructType([*key_fields, *[T.StructField(n, T.LongType()) for n in names]])
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Per possible entry row of a slot: the row its chain of sessions leaves to, and the last session it opens."""
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        mine = int((pdf["_own_slot"] == pdf["_slot"]).sum())
-        if mine == 0:
-            return pd.DataFrame(columns=[*key, "_slot", "entry", "leave", "opened"])
-        leave = _next_starts(pdf, cap_ms, max_rows, gap_ms)
-        opened = np.arange(len(pdf))
-        for i in range(mine - 1, -1, -1):
-            if leave[i] < mine:
-                opened[i], leave[i] = opened[leave[i]], leave[leave[i]]
-        first, slot_id = pdf["pos"].iloc[0], pdf["_slot"].iloc[0]
-        reached = pdf["start_ms"].to_numpy()[:mine] - int(slot_id) * slot_ms <= cap_ms
-        # the row after the last reachable one can also be entered
-        chosen = np.arange(min(mine, int(np.count_nonzero(reached)) + 1))
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "_slot": slot_id, "entry": first + chosen,
-                             "leave": first + leave[chosen], "opened": first + opened[chosen]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Walk the slots of a key: the true entry of each slot and the session still open before it."""
-        pdf = pdf.sort_values(["_slot", "entry"], ignore_index=True)
-        slots, entries, before, at, open_ = [], [], [], None, -1
-        for slot_id, part in pdf.groupby("_slot", sort=True):
-            entry = part["entry"].to_numpy()
-            at = int(entry[0]) if at is None else at
-            slots.append(int(slot_id))
-            entries.append(at)
-            before.append(open_)
-            hit = np.nonzero(entry == at)[0]
-            if len(hit):
-                at, open_ = int(part["leave"].to_numpy()[hit[0]]), int(part["opened"].to_numpy()[hit[0]])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "_slot": slots, "entry": entries, "before": before})
-
-    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame(columns=[*key, "pos", out])
-        pdf = left.sort_values("pos", ignore_index=True)
-        nxt = _next_starts(pdf, cap_ms, max_rows, gap_ms)
-        mine = int((pdf["_own_slot"] == pdf["_slot"]).sum())
-        first = int(pdf["pos"].iloc[0])
-        session = np.full(mine, int(right["before"].iloc[0]), dtype=np.int64)
-        at = int(right["entry"].iloc[0]) - first
-        while at < mine:
-            session[at:nxt[at]] = first + at
-            at = int(nxt[at])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "pos": pdf["pos"].to_numpy()[:mine], out: session})
-
-    spread = over_width(spread, *key, "_slot")
-    moves = spread.groupBy(*key, "_slot").applyInPandas(exits, schema("_slot", "entry", "leave", "opened"))
-    entered = moves.groupBy(*key).applyInPandas(chain, schema("_slot", "entry", "before"))
-    assigned = spread.groupBy(*key, "_slot").cogroup(entered.groupBy(*key, "_slot")).applyInPandas(assign, schema("pos", out))
-    return rows.drop("brk").join(assigned, [*key, "pos"])
+    rows = cut_lineage(df.withColumn("opens", F.coalesce(breaks, F.lit(False)) | (F.col("pos") == 0)))
+
+    def step(s: Column, r: Column) -> Column:
+        fits = ~r["opens"] & (r["end_ms"] - s["start"] <= cap_ms)
+        if max_rows is not None:
+            fits = fits & (s["held"] < max_rows)
+        if gap_ms is not None:
+            fits = fits & (r["start_ms"] - s["reach"] <= gap_ms)
+        joins = F.coalesce(fits, F.lit(False))
+        return F.struct(F.when(joins, s[out]).otherwise(r["pos"]).alias(out), F.when(joins, s["start"]).otherwise(r["start_ms"]).alias("start"),
+                        F.when(joins, F.greatest(s["reach"], r["end_ms"])).otherwise(r["end_ms"]).alias("reach"), F.when(joins, s["held"] + 1).otherwise(F.lit(1).cast("long")).alias("held"))
+
+    folded = slot_fold(rows, key, ["start_ms", "end_ms", "opens"], f"{out} long, start long, reach long, held long", step, slot_rows)
+    return rows.drop("opens").join(folded.select(*key, "pos", out), [*key, "pos"])

@@ -21,14 +21,41 @@ def _subtitles(src):
 BOX = "segment_id * 7 % 400 AS x1, segment_id * 11 % 300 AS y1, segment_id * 7 % 400 + 20 + segment_id % 90 AS x2, segment_id * 11 % 300 + 10 + segment_id % 31 AS y2"
 
 
-for _name, _op in (("context_units", dt.context_units), ("embedding_groups", dt.embedding_groups), ("speech_regions", dt.speech_regions), ("vision_units", dt.vision_units)):
+def sessions_sql(name: str, rows: str, key: str, breaks: str, cap_ms: int, max_rows: int | None = None, gap_ms: int | None = None) -> str:
+    """Recursive CTEs ending in `name` (key, segment_id, pos, session): greedy sessions over `rows` with pos, start_ms, end_ms; `breaks` sees the row as d."""
+    on = " AND ".join(f"d.{k} = r.{k}" for k in key.split(", "))
+    keys = ", ".join(f"d.{k}" for k in key.split(", "))
+    joins = f"NOT coalesce({breaks}, false) AND d.end_ms - r.st <= {cap_ms}" + (f" AND r.held < {max_rows}" if max_rows else "") + (f" AND d.start_ms - r.reach <= {gap_ms}" if gap_ms is not None else "")
+    return f"""{name}_o AS ({rows}),
+{name} AS (SELECT {key}, segment_id, pos, pos AS session, start_ms AS st, end_ms AS reach, 1 AS held FROM {name}_o WHERE pos = 0
+  UNION ALL SELECT {keys}, d.segment_id, d.pos, CASE WHEN {joins} THEN r.session ELSE d.pos END, CASE WHEN {joins} THEN r.st ELSE d.start_ms END, CASE WHEN {joins} THEN greatest(r.reach, d.end_ms) ELSE d.end_ms END, CASE WHEN {joins} THEN r.held + 1 ELSE 1 END
+  FROM {name} r JOIN {name}_o d ON {on} AND d.pos = r.pos + 1)"""
+
+
+ORDERED = "SELECT *, row_number() OVER w - 1 AS pos, lag(end_ms) OVER w AS pe, lag(speaker_label) OVER w AS pl FROM segments {} WINDOW w AS (PARTITION BY {} ORDER BY {})"
+BY_MEDIA = ORDERED.format("", "media_id", "start_ms, end_ms, segment_id")
+GROUPS_SQL = sessions_sql("u", BY_MEDIA, "media_id", "d.start_ms - d.pe > 450", 8_000, 5)
+UNITS = {
+    "context_units": (dt.context_units, sessions_sql("u", BY_MEDIA, "media_id", "d.start_ms - d.pe > 800 OR d.pl <> d.speaker_label", 12_000, 6)), "embedding_groups": (dt.embedding_groups, GROUPS_SQL),
+    "speech_regions": (dt.speech_regions, sessions_sql("u", BY_MEDIA, "media_id", "d.start_ms - d.pe > 500", 30_000)),
+    "vision_units": (dt.vision_units, sessions_sql("u", ORDERED.format("WHERE end_ms > start_ms", "media_id", "start_ms, segment_id"), "media_id", "false", 12_000, 6, 2_000)),
+}
+
+for _name, (_op, _sql) in UNITS.items():
     def _build(src, op=_op):
-        return dt.unit_spans(op(src("segments")))
+        return op(src("segments")).select("media_id", "segment_id", "session")
 
-    query(_name)(_build)
+    query(_name, f"WITH RECURSIVE {_sql} SELECT media_id, segment_id, session FROM u")(_build)
 
 
-@query("reference_groups")
+REFERENCE_SQL = sessions_sql("u", ORDERED.format("", "media_id, speaker_label", "start_ms, end_ms, segment_id"), "media_id, speaker_label", "d.start_ms - d.pe > 600", 15_000)
+
+
+@query("reference_groups", f"""WITH RECURSIVE {REFERENCE_SQL},
+g AS (SELECT u.media_id, u.speaker_label, session, min(s.start_ms) AS start_ms, arg_max(s.end_ms, u.pos) AS end_ms, count(*) AS segment_count, sum(s.value) AS energy FROM u JOIN segments s USING (media_id, segment_id) GROUP BY ALL),
+l AS (SELECT *, greatest(0, end_ms - start_ms) AS dur_ms, bool_or(greatest(0, end_ms - start_ms) BETWEEN 1500 AND 15000) OVER (PARTITION BY media_id, speaker_label) AS some FROM g),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY media_id, speaker_label ORDER BY dur_ms DESC, energy DESC, start_ms) AS INTEGER) AS rank FROM l WHERE CASE WHEN "some" THEN dur_ms BETWEEN 1500 AND 15000 ELSE dur_ms > 0 END)
+SELECT media_id, speaker_label, session, start_ms, end_ms, segment_count, dur_ms, rank FROM r WHERE rank <= 5""".replace("AS some FROM", 'AS "some" FROM'))
 def _(src):
     return dt.top_reference_groups(dt.reference_groups(src("segments"))).select("media_id", "speaker_label", "session", "start_ms", "end_ms", "segment_count", "dur_ms", "rank")
 
@@ -254,14 +281,30 @@ def _(src):
     return _merged(src).withColumn("confidence", F.round("confidence", 10))
 
 
-@query("adjust_boundaries")
+def _clashing(src):
+    """Merged subtitles whose starts fall together."""
+    return _merged(src).withColumn("start_ms", F.floor(F.col("start_ms") / 1_500) * 1_500)
+
+
+CLASHING_SQL = MERGE_SQL.replace("WITH d AS", "WITH RECURSIVE d AS").removesuffix("SELECT * FROM s").rstrip() + """,
+q AS (SELECT * REPLACE (start_ms // 1500 * 1500 AS start_ms) FROM s),
+"""
+
+
+@query("adjust_boundaries", CLASHING_SQL + """o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, segment_id) - 1 AS pos FROM q),
+r AS (SELECT media_id, segment_id, pos, start_ms AS s, end_ms AS e FROM o WHERE pos = 0 UNION ALL SELECT o.media_id, o.segment_id, o.pos, CASE WHEN o.start_ms <= r.s THEN r.s + 10 ELSE o.start_ms END, o.end_ms FROM r JOIN o ON o.media_id = r.media_id AND o.pos = r.pos + 1),
+h AS (SELECT media_id, segment_id, s, CASE WHEN e <= s OR e - s < 500 THEN s + 500 ELSE e END AS e FROM r), n AS (SELECT *, lead(s) OVER (PARTITION BY media_id ORDER BY s, segment_id) AS nx FROM h)
+SELECT media_id, segment_id, s AS start_ms, CASE WHEN nx < e THEN greatest(s + 50, nx - 10) ELSE e END AS end_ms FROM n""")
 def _(src):
-    return dt.adjust_boundaries(_merged(src))
+    return dt.adjust_boundaries(_clashing(src), slot_rows=16)
 
 
-@query("merge_nearby")
+@query("merge_nearby", CLASHING_SQL + """o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, segment_id) - 1 AS pos FROM q),
+r AS (SELECT media_id, pos, pos AS run, text AS norm, end_ms AS e FROM o WHERE pos = 0 UNION ALL SELECT o.media_id, o.pos, CASE WHEN j THEN run ELSE o.pos END, CASE WHEN j THEN norm ELSE o.text END, o.end_ms
+  FROM (SELECT r.*, o.pos AS p, o.start_ms - r.e <= 1000 AND (o.text = r.norm OR 1.0::DOUBLE - levenshtein(o.text, r.norm) / greatest(length(o.text), length(r.norm)) > 0.95) AS j FROM r JOIN o ON o.media_id = r.media_id AND o.pos = r.pos + 1) x JOIN o ON o.media_id = x.media_id AND o.pos = x.p)
+SELECT o.media_id, arg_min(o.segment_id, o.pos) AS segment_id, min(o.start_ms) AS start_ms, arg_max(o.end_ms, o.pos) AS end_ms, arg_min(o.text, o.pos) AS text, count(*) AS merged FROM o JOIN r ON r.media_id = o.media_id AND r.pos = o.pos GROUP BY o.media_id, run""")
 def _(src):
-    return dt.merge_nearby(_merged(src))
+    return dt.merge_nearby(_clashing(src), slot_rows=16)
 
 
 CREDIT_TEXT = "CASE segment_id % 4 WHEN 0 THEN text WHEN 1 THEN '主演 张三' WHEN 2 THEN '我在这里，你的' ELSE '文化传媒有限公司' END"

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import vectors as vx
+from cueloom.operators import detections as dt
 from cueloom.operators import registry as rg
 from cueloom.operators import speakers as sp
+from cueloom.plans.detection_queries import GROUPS_SQL
 from cueloom.plans.registry import query
 
 DIM = 64
@@ -131,9 +133,43 @@ def _(src):
     return rg.audit_summary(_audit(src)).withColumn("median_confidence", F.round("median_confidence", 6))
 
 
-@query("speaker_clusters")
+def clusters_sql(p: str, rows: str) -> str:
+    """CTEs ending in `p` (media_id, id, c): average-link clusters of `rows` (media_id, id, vec) by merging the nearest two, one at a time, c being the smallest id."""
+    return f"""{p}_v AS ({rows}), {p}_d AS (SELECT a.media_id, a.id AS i, b.id AS j, list_dot_product(a.vec, b.vec) AS dot, list_cosine_similarity(a.vec, b.vec) AS sim FROM {p}_v a JOIN {p}_v b ON a.media_id = b.media_id AND a.id < b.id),
+{p}_r AS (SELECT media_id, id, id AS c, 0 AS step, 0.0::DOUBLE AS height FROM {p}_v UNION ALL SELECT r.media_id, r.id, CASE WHEN r.c = m.b THEN m.a ELSE r.c END, r.step + 1, m.h FROM {p}_r r JOIN (
+    SELECT media_id, min(h) AS h, arg_min(a, h) AS a, arg_min(b, h) AS b FROM (SELECT media_id, least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, 1 - avg(sim) AS h FROM {p}_d JOIN {p}_r x USING (media_id) JOIN {p}_r y USING (media_id) WHERE x.id = i AND y.id = j AND x.c <> y.c GROUP BY ALL) GROUP BY media_id) m ON m.media_id = r.media_id),
+{p}_n AS (SELECT media_id, count(DISTINCT id) AS n, count(DISTINCT step) FILTER (step > 0 AND height < 1 - 0.62::DOUBLE) AS near FROM {p}_r GROUP BY media_id),
+{p}_o AS (SELECT media_id, quantile_cont(dot, 0.2) >= 0.52 AS one FROM {p}_d GROUP BY media_id),
+{p} AS (SELECT r.media_id, r.id, r.c FROM {p}_r r JOIN {p}_n n USING (media_id) LEFT JOIN {p}_o USING (media_id) WHERE r.step = CASE WHEN coalesce(one, true) THEN n.n - 1 ELSE greatest(near, n.n - CASE WHEN n.n <= 6 THEN n.n ELSE greatest(2, least(8, n.n // 6 + 1)) END) END)"""
+
+
+MEDIA_VECTORS = "SELECT vec_id // 25 AS media_id, vec_id AS id, vec FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM vectors)"
+
+
+@query("speaker_clusters", f"WITH RECURSIVE {clusters_sql('k', MEDIA_VECTORS)} SELECT media_id, id, 'SPEAKER_' || lpad(CAST(dense_rank() OVER (PARTITION BY media_id ORDER BY c) - 1 AS STRING), 2, '0') AS stable_label FROM k")
+def _(src):
+    found = rg.cluster_media(_vectors(src).select(F.floor(F.col("id") / 25).alias("media_id"), "id", "vec"))
+    return rg.stable_relabel(found, "cluster", "id").select("media_id", "id", "stable_label")
+
+
+#: A group's vector: one of 400 by media and group, none for every sixth group and for every ninth media.
+GROUP_VECTORS = """SELECT g.media_id, g.grp AS id, v.vec FROM gr g JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM vectors) v ON v.vec_id = (g.media_id * 13 + g.grp % 3 * 101 + g.grp) % 400 WHERE g.grp % 6 <> 4 AND g.media_id % 9 <> 5"""
+ASSIGN_SQL = f"""WITH RECURSIVE {GROUPS_SQL}, gr AS (SELECT media_id, session, row_number() OVER (PARTITION BY media_id ORDER BY session) - 1 AS grp FROM (SELECT DISTINCT media_id, session FROM u)),
+{clusters_sql('k', GROUP_VECTORS)},
+nearest AS (SELECT g.media_id, g.session, coalesce(arg_min(k.c, (abs(k.id - g.grp), k.id)), 0) AS c FROM gr g LEFT JOIN k ON k.media_id = g.media_id GROUP BY g.media_id, g.session),
+rows AS (SELECT u.media_id, u.segment_id, u.pos, u.session, c, s.end_ms - s.start_ms AS dur, lead(c) OVER (PARTITION BY u.media_id ORDER BY u.pos) AS nx FROM u JOIN nearest USING (media_id, session) JOIN segments s ON s.media_id = u.media_id AND s.segment_id = u.segment_id),
+sm AS (SELECT media_id, segment_id, pos, session, c AS l FROM rows WHERE pos = 0 UNION ALL SELECT d.media_id, d.segment_id, d.pos, d.session, CASE WHEN d.dur <= 1500 AND d.nx IS NOT NULL AND sm.l = d.nx THEN sm.l ELSE d.c END FROM sm JOIN rows d ON d.media_id = sm.media_id AND d.pos = sm.pos + 1),
+f AS (SELECT media_id, l, row_number() OVER (PARTITION BY media_id ORDER BY min(pos)) - 1 AS k FROM sm GROUP BY media_id, l)
+SELECT media_id, segment_id, session, 'SPEAKER_' || lpad(CAST(k AS STRING), 2, '0') AS stable_label FROM sm JOIN f USING (media_id, l)"""
+
+
+@query("assign_speakers", ASSIGN_SQL)
 def _(src):
-    return rg.cluster_media(_vectors(src).select(F.floor(F.col("id") / 25).alias("media_id"), "id", "vec"))
+    units = dt.embedding_groups(src("segments")).select("media_id", "segment_id", "pos", "session")
+    groups = units.select("media_id", "session").distinct().withColumn("grp", F.row_number().over(Window.partitionBy("media_id").orderBy("session")) - 1)
+    picked = groups.filter("grp % 6 <> 4 AND media_id % 9 <> 5").withColumn("id", (F.col("media_id") * 13 + F.col("grp") % 3 * 101 + F.col("grp")) % 400)
+    vectors = picked.join(_vectors(src).select("id", "vec"), "id")
+    return rg.assign_speakers(src("segments"), units, vectors).select("media_id", "segment_id", "session", "stable_label")
 
 
 @query("stable_relabel", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, segment_id) - 1 AS pos FROM segments), f AS (SELECT media_id, event_type, min(pos) AS first FROM c GROUP BY ALL),

@@ -57,7 +57,7 @@ def _greedy(rows, gap, cap, limit, same_speaker, running):
 
 def test_capped_sessions_match_greedy_across_slots(spark, monkeypatch):
     original = seq.capped_sessions
-    monkeypatch.setattr(dt.seq, "capped_sessions", lambda *a, **k: original(*a, **{**k, "slot_ms": 13_000}))
+    monkeypatch.setattr(dt.seq, "capped_sessions", lambda *a, **k: original(*a, **{**k, "slot_rows": 7}))
     for seed, build, rule in ((3, dt.context_units, (800, 12_000, 6, True, False)), (4, dt.speech_regions, (500, 30_000, None, False, False)), (5, dt.embedding_groups, (450, 8_000, 5, False, False))):
         rows = _rows(seed)
         got = {}
