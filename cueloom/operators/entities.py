@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as tx
+from cueloom.functions.cols import flags
 from cueloom.operators import sequence as seq
 from cueloom.session import cut_lineage
 
@@ -179,6 +180,63 @@ def infer_works(tasks: DataFrame, works: DataFrame, limit: int = 3) -> DataFrame
     return ranked.filter(F.col("rank") <= limit).join(labels, "task_id", "left").drop("pass", "source")
 
 
+# ---- persona matching ---------------------------------------------------------------------------------------------
+
+# fixed values: what a trait adds to the score
+PERSONA_WEIGHTS = {"work": 0.45, "name": 0.8, "role": 0.6, "gender": 0.3}
+ANY_WORK = "*"
+
+
+def _traits(df: DataFrame) -> DataFrame:
+    work = F.nullif(F.trim(F.coalesce(F.col("work_id").cast("string"), F.lit(""))), F.lit(""))
+    return df.withColumns({"_w": work, "_r": F.nullif(norm_name(F.col("role")), F.lit("")), "_g": F.nullif(norm_name(F.col("gender")), F.lit(""))})
+
+
+def _trait_keys(tiers: Column) -> Column:
+    """Every way to leave role and gender open, within each tier of works: structs (t, r, g), open parts empty."""
+    def ways(t: Column) -> Column:
+        sides = [(r, g) for r in (F.col("_r"), F.lit("")) for g in (F.col("_g"), F.lit(""))]
+        return F.filter(F.array(*(F.named_struct(F.lit("t"), t, F.lit("r"), r, F.lit("g"), g) for r, g in sides)), lambda k: k["r"].isNotNull() & k["g"].isNotNull())
+
+    return F.flatten(F.transform(tiers, ways))
+
+
+def match_personas(speakers: DataFrame, personas: DataFrame, k: int = 5) -> DataFrame:
+    """The `k` best personas of a global library per speaker: same work 0.45, best name or alias 0.8 times its similarity, role 0.6, gender 0.3.
+
+    Takes media_id, speaker_label, name, role, gender, work_id and persona_id, name, aliases, role, gender, work_id; ties go by persona_id; a
+    persona of another work than the speaker's is out, one without a work is not.  `scored` counts the personas that were looked at.
+
+    Personas stand in short lists, one for each choice of work, role, gender and name text that a speaker may share with them, holding the `k`
+    smallest ids.  Whoever precedes a persona in its list shares at least as much and so ranks before it, hence the lists of the traits a
+    speaker has are enough; name texts are found by containment, each distinct text once.  No speaker is compared with the library.
+    """
+    people = _traits(personas).withColumn("_texts", F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), norm_name), lambda t: t != "")))
+    people = cut_lineage(people.select("persona_id", "_w", "_r", "_g", "_texts"))
+    own = F.array(F.coalesce("_w", F.lit("")), F.lit(ANY_WORK))
+    listed = people.select("persona_id", F.explode(_trait_keys(own)).alias("key"), F.explode(F.concat(F.array(F.lit("")), "_texts")).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("key.t", "key.r", "key.g", "text").orderBy("persona_id"))
+    lists = cut_lineage(listed.withColumn("_n", rank).filter(F.col("_n") <= k).select("persona_id", "key.*", "text"))
+
+    asks = cut_lineage(_traits(speakers).withColumn("_hint", norm_name(F.col("name"))).select("media_id", "speaker_label", "_w", "_r", "_g", "_hint"))
+    hints = asks.filter("_hint <> ''").select(F.col("_hint").alias("text")).distinct()
+    near = containment(hints, people.select(F.explode("_texts").alias("text")).distinct()).select(F.col("l").alias("_hint"), F.col("r").alias("text"))
+    tiers = F.when(F.col("_w").isNotNull(), F.array(F.col("_w"), F.lit(""))).otherwise(F.array(F.lit(ANY_WORK)))
+    keyed = asks.select("media_id", "speaker_label", "_w", "_hint", F.explode(_trait_keys(tiers)).alias("key"))
+    plain = keyed.filter((F.col("key.r") != "") | (F.col("key.g") != "") | (F.col("key.t") == F.col("_w"))).select("media_id", "speaker_label", "key.*", F.lit("").alias("text"))
+    called = keyed.join(near, "_hint").select("media_id", "speaker_label", "key.*", "text")
+    found = plain.unionByName(called).join(lists, ["t", "r", "g", "text"]).select("media_id", "speaker_label", "persona_id").distinct()
+
+    both = found.join(asks, ["media_id", "speaker_label"]).join(people.select("persona_id", F.col("_w").alias("p_w"), F.col("_r").alias("p_r"), F.col("_g").alias("p_g"), "_texts"), "persona_id")
+    best = F.coalesce(F.array_max(F.transform("_texts", lambda t: name_similarity(F.col("_hint"), t))), F.lit(0.0))
+    same = {"work": F.col("_w") == F.col("p_w"), "role": F.col("_r") == F.col("p_r"), "gender": F.col("_g") == F.col("p_g")}
+    parts = {n: F.when(same[n], PERSONA_WEIGHTS[n]).otherwise(0.0) for n in same} | {"name": best * PERSONA_WEIGHTS["name"]}
+    scored = both.withColumn("score", F.round(parts["work"] + parts["name"] + parts["role"] + parts["gender"], 3)).withColumn("reasons", flags((same["work"], "work"), (best > 0, "name"), (same["role"], "role"), (same["gender"], "gender")))
+    speaker = Window.partitionBy("media_id", "speaker_label")
+    ranked = scored.withColumn("rank", F.row_number().over(speaker.orderBy(F.desc("score"), "persona_id"))).withColumn("scored", F.count(F.lit(1)).over(speaker))
+    return ranked.filter((F.col("rank") <= k) & (F.col("score") > 0)).select("media_id", "speaker_label", "rank", "persona_id", "score", "reasons", "scored")
+
+
 # ---- upserts ------------------------------------------------------------------------------------------------------
 
 

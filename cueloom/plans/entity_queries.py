@@ -105,6 +105,31 @@ def _(src):
     return en.infer_works(src("work_tasks"), works)
 
 
+# speakers that know a part of a persona's name, its role, gender or work, or little of it
+HINTS = """SELECT s_nationkey AS media_id, 'S' || CAST(s_suppkey AS STRING) AS speaker_label, CASE s_suppkey % 5 WHEN 0 THEN lower(name) WHEN 1 THEN substring(name, 3, 5) WHEN 2 THEN ' ' WHEN 3 THEN 'zz ' || name || ' zz' END AS name,
+  CASE WHEN s_suppkey % 3 = 0 THEN lower(role) WHEN s_suppkey % 3 = 1 THEN 'nobody' END AS role, CASE WHEN s_suppkey % 4 <> 0 THEN upper(gender) END AS gender, CASE WHEN s_suppkey % 2 = 0 THEN work_id END AS work_id FROM supplier JOIN personas ON persona_id = s_suppkey * 7 % 150"""
+LIBRARY = "SELECT persona_id, name, CASE WHEN persona_id % 4 = 0 THEN ['the ' || name, NULL, role] ELSE [] END AS aliases, role, gender, work_id FROM personas"
+MATCH_SQL = f"""WITH hints AS ({HINTS}), lib AS ({LIBRARY}),
+h AS (SELECT media_id, speaker_label, lower(trim(coalesce(name, ''))) AS n, lower(trim(coalesce(role, ''))) AS r, lower(trim(coalesce(gender, ''))) AS g, trim(coalesce(work_id, '')) AS w FROM hints),
+l AS (SELECT persona_id, list_filter(list_transform(list_prepend(name, aliases), lambda x: lower(trim(coalesce(x, '')))), lambda x: x <> '') AS ts, lower(trim(coalesce(role, ''))) AS pr, lower(trim(coalesce(gender, ''))) AS pg, trim(coalesce(work_id, '')) AS pw FROM lib),
+p AS (SELECT *, coalesce(list_max(list_transform(ts, lambda y: CASE WHEN n = '' THEN 0.0::DOUBLE WHEN n = y THEN 1.0::DOUBLE WHEN starts_with(n, y) OR starts_with(y, n) OR ends_with(n, y) OR ends_with(y, n) THEN 0.7::DOUBLE WHEN contains(n, y) OR contains(y, n) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)), 0.0) AS sim FROM h, l WHERE w = '' OR pw = '' OR w = pw),
+s AS (SELECT media_id, speaker_label, persona_id, round(CASE WHEN w <> '' AND w = pw THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END + sim * 0.8::DOUBLE + CASE WHEN r <> '' AND r = pr THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN g <> '' AND g = pg THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END, 3) AS score,
+  array_to_string(list_filter([CASE WHEN w <> '' AND w = pw THEN 'work' END, CASE WHEN sim > 0 THEN 'name' END, CASE WHEN r <> '' AND r = pr THEN 'role' END, CASE WHEN g <> '' AND g = pg THEN 'gender' END], lambda x: x IS NOT NULL), '|') AS reasons FROM p)
+SELECT media_id, speaker_label, CAST(row_number() OVER (PARTITION BY media_id, speaker_label ORDER BY score DESC, persona_id) AS INTEGER) AS rank, persona_id, score, reasons FROM s WHERE score > 0 QUALIFY rank <= 5"""
+
+
+@query("match_personas", MATCH_SQL)
+def _(src):
+    p, k = src("personas"), F.col("s_suppkey")
+    rows = src("supplier").join(p, F.col("persona_id") == k * 7 % 150)
+    name = F.when(k % 5 == 0, F.lower("name")).when(k % 5 == 1, F.substring("name", 3, 5)).when(k % 5 == 2, " ").when(k % 5 == 3, F.concat(F.lit("zz "), "name", F.lit(" zz")))
+    hints = rows.select(F.col("s_nationkey").alias("media_id"), F.concat(F.lit("S"), k.cast("string")).alias("speaker_label"), name.alias("name"), F.when(k % 3 == 0, F.lower("role")).when(k % 3 == 1, "nobody").alias("role"),
+                        F.when(k % 4 != 0, F.upper("gender")).alias("gender"), F.when(k % 2 == 0, F.col("work_id")).alias("work_id"))
+    aliases = F.when(F.col("persona_id") % 4 == 0, F.array(F.concat(F.lit("the "), "name"), F.lit(None).cast("string"), F.col("role"))).otherwise(F.array().cast("array<string>"))
+    library = p.select("persona_id", "name", aliases.alias("aliases"), "role", "gender", "work_id")
+    return en.match_personas(hints, library).withColumn("reasons", F.array_join("reasons", "|")).drop("scored")
+
+
 @query("upsert_personas", """WITH l AS (SELECT lower(name) || '|' || coalesce(gender, '') || '|' || lower(role) AS f, min(persona_id) AS persona_id, arg_min({'name': name, 'gender': gender, 'role': role}, persona_id) AS s, 'old' AS note FROM personas WHERE persona_id % 2 = 0 GROUP BY f),
 n AS (SELECT lower(name) || '|' || coalesce(gender, '') || '|' || lower(role) AS f, max(persona_id) AS persona_id, arg_max({'name': name, 'gender': gender, 'role': role}, persona_id) AS s, 'new' AS note FROM personas WHERE persona_id % 2 = 1 GROUP BY f)
 SELECT coalesce(l.persona_id, n.persona_id) AS persona_id, coalesce(n.s.name, l.s.name) AS name, coalesce(n.s.gender, l.s.gender) AS gender, coalesce(n.s.role, l.s.role) AS role, coalesce(n.note, l.note) AS note FROM l FULL OUTER JOIN n USING (f)""")
