@@ -165,3 +165,52 @@ def _(src):
     samples = src("segments").select("media_id", F.col("start_ms").alias("t_ms"), "value")
     windows = src("turns").select("media_id", F.col("turn_id").alias("window_id"), "start_ms", "end_ms")
     return sg.window_rms(samples, windows).withColumn("rms", F.round("rms", 8))
+
+
+# stems: two sample trains per media, the residual at times louder, silent for some media
+SNR_SQL = """WITH smp AS (SELECT media_id % 100 AS media_id, 'dub' AS stem, start_ms AS t_ms, CASE WHEN media_id % 9 = 4 THEN 0 ELSE round((segment_id * 37 % 1000 + 1) / 1000.0::DOUBLE * 32768) END AS v FROM segments
+  UNION ALL SELECT media_id % 100, 'residual', start_ms + 40, CASE WHEN media_id % 9 = 5 THEN 0 ELSE round((segment_id * 91 % 1000 + 1) / 2000.0::DOUBLE * 32768) END FROM segments),
+win AS (SELECT media_id, row_number() OVER (ORDER BY segment_id, h) AS window_id, segment_id, start_ms // 100 AS s, start_ms // 100 + fitted_ms * 4 AS e FROM report WHERE placed),
+len AS (SELECT media_id, max(t_ms) + 1 AS n FROM smp WHERE stem = 'residual' GROUP BY media_id), ok AS (SELECT w.* FROM win w JOIN len USING (media_id) WHERE e > s AND e <= n),
+en AS (SELECT ok.segment_id, ok.window_id, ok.media_id, coalesce(sum(v * v) FILTER (stem = 'dub') / (32768.0 * 32768.0), 0) AS de, count(*) FILTER (stem = 'dub') AS dn, coalesce(sum(v * v) FILTER (stem = 'residual') / (32768.0 * 32768.0), 0) AS re, count(*) FILTER (stem = 'residual') AS rn FROM ok LEFT JOIN smp ON smp.media_id = ok.media_id AND t_ms >= s AND t_ms < e GROUP BY ALL),
+snr AS (SELECT segment_id, media_id, window_id, greatest(-60.0::DOUBLE, least(60.0::DOUBLE, log10(greatest(CASE WHEN dn > 0 THEN sqrt(de / dn) ELSE 0.0::DOUBLE END, 1e-12)) * 20.0::DOUBLE - log10(greatest(CASE WHEN rn > 0 THEN sqrt(re / rn) ELSE 0.0::DOUBLE END, 1e-12)) * 20.0::DOUBLE)) AS snr_db FROM en)
+"""
+
+
+def _stems(src):
+    s, k = src("segments"), F.col("segment_id")
+    dub = s.select((F.col("media_id") % 100).alias("media_id"), F.lit("dub").alias("stem"), F.col("start_ms").alias("t_ms"), F.when(F.col("media_id") % 9 == 4, 0.0).otherwise((k * 37 % 1000 + 1) / 1000.0).alias("value"))
+    rest = s.select((F.col("media_id") % 100).alias("media_id"), F.lit("residual").alias("stem"), (F.col("start_ms") + 40).alias("t_ms"), F.when(F.col("media_id") % 9 == 5, 0.0).otherwise((k * 91 % 1000 + 1) / 2000.0).alias("value"))
+    return dub.unionByName(rest)
+
+
+def _placed(src):
+    """Placed lines, each its own window; rows alike in all columns are windows of their own, too."""
+    rows = src("report").filter("placed").withColumn("window_id", F.xxhash64("segment_id", "h"))
+    return rows.withColumn("notes", F.when(F.col("h") % 5 == 1, "fit overflow_trimmed")).withColumn("tempo", F.when(F.col("h") % 3 == 0, (100 + F.col("h") % 60) / 100.0)).dropDuplicates(["window_id"])
+
+
+def _snr(src):
+    windows = _placed(src).select("media_id", "window_id", F.floor(F.col("start_ms") / 100).alias("start_ms"), (F.floor(F.col("start_ms") / 100) + F.col("fitted_ms") * 4).alias("end_ms"))
+    return sg.signal_to_residual(_stems(src), windows)
+
+
+@query("signal_to_residual", SNR_SQL + "SELECT media_id, segment_id, round(snr_db, 6) AS snr_db FROM snr")
+def _(src):
+    return _snr(src).join(_placed(src).select("window_id", "segment_id"), "window_id").select("media_id", "segment_id", F.round("snr_db", 6).alias("snr_db"))
+
+
+@query("dub_score", SNR_SQL + """, t AS (SELECT media_id, count(*) AS translated FROM translations GROUP BY media_id),
+r AS (SELECT p.*, h % 5 = 1 AS cut, CASE WHEN h % 3 = 0 THEN (100 + h % 60) / 100.0::DOUBLE END AS tempo FROM report p WHERE placed),
+x AS (SELECT *, (cut OR fit_strategy = 'overflow_unfitted') AND generated_ms > 0 AS sq FROM r),
+y AS (SELECT *, CASE WHEN tempo IS NOT NULL THEN tempo WHEN sq THEN 1.45::DOUBLE WHEN generated_ms > 0 AND fitted_ms > 0 THEN generated_ms / fitted_ms ELSE 1.0 END AS tp, CASE WHEN tempo IS NOT NULL THEN trimmed_tail_ms WHEN sq THEN greatest(0.0::DOUBLE, generated_ms / 1.45::DOUBLE - fitted_ms) ELSE 0.0 END AS tail,
+  greatest(0, source_ms - fitted_ms) >= 400 AND CASE WHEN source_ms > 0 THEN fitted_ms / source_ms ELSE 1.0 END < 0.8 AS dead, CASE WHEN coalesce(speaker_similarity, 0) = 0 THEN 1 ELSE speaker_similarity END < 0.45 OR CASE WHEN coalesce(text_similarity, 0) = 0 THEN 1 ELSE text_similarity END < 0.9 OR fit_strategy = 'overflow_unfitted' OR cut AS prob FROM x),
+z AS (SELECT y.*, snr_db FROM y LEFT JOIN snr USING (media_id, segment_id)),
+a AS (SELECT media_id, count(*) AS placed, count(*) FILTER (speaker_similarity >= 0.45) AS voice_good, count(*) FILTER (speaker_similarity < 0.45 AND speaker_similarity >= 0.25) AS voice_review, count(*) FILTER (speaker_similarity < 0.25) AS voice_bad, count(*) FILTER (text_similarity >= 0.9) AS read_good, count(*) FILTER (text_similarity < 0.9 AND text_similarity >= 0.7) AS read_review, count(*) FILTER (text_similarity < 0.7) AS read_bad,
+  count(*) FILTER (tp >= 1.4) AS fast, count(*) FILTER (tail >= 300) AS cut_off, count(*) FILTER (dead) AS dead_air, count(*) FILTER (fit_strategy = 'direct') AS direct, count(*) FILTER (snr_db < 3) AS buried, round(coalesce(quantile_cont(snr_db, 0.5), 0.0), 6) AS snr_median_db, round(coalesce(min(snr_db), 0.0), 6) AS snr_min_db, round(quantile_cont(tp, 0.5), 6) AS tempo_median, round(quantile_cont(tp, 0.9), 6) AS tempo_p90, count(*) FILTER (prob) AS problems FROM z GROUP BY media_id),
+u AS (SELECT a.*, coalesce(translated, 0) AS translated, greatest(0, coalesce(translated, 0) - placed) AS undubbed FROM a LEFT JOIN t USING (media_id))
+SELECT * REPLACE (problems + undubbed AS problems), round(greatest(0.0::DOUBLE, 100.0::DOUBLE - (undubbed / greatest(1, translated) * 30 + (voice_bad + voice_review * 0.6::DOUBLE) / placed * 22 + (cut_off + fast * 0.5::DOUBLE) / placed * 18 + buried / placed * 14 + (read_bad + read_review * 0.5::DOUBLE) / placed * 10 + dead_air / placed * 6)), 1) AS honest_score FROM u""")
+def _(src):
+    translated = src("translations").groupBy("media_id").agg(F.count(F.lit(1)).alias("translated"))
+    out = sg.dub_score(_placed(src), _snr(src), translated)
+    return out.drop("trimmed_ms").withColumns({c: F.round(c, 6) for c in ("snr_median_db", "snr_min_db", "tempo_median", "tempo_p90")})
