@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as tx
 from cueloom.functions.cols import count_if
 from cueloom.operators import sequence as seq
+from cueloom.operators.detections import layout_profile
 from cueloom.session import cut_lineage
 
 MEDIA = ["media_id"]
@@ -142,3 +143,41 @@ def sparse_suffixes(rows: DataFrame, whole: DataFrame) -> DataFrame:
     long_sparse = (F.col("rest") >= SPARSE_ROWS) & (F.col("low") >= 0.78) & (F.col("short") >= 0.55) & (F.col("very_short") >= 0.70) & (F.col("length") <= 10.0)
     short_noisy = F.col("rest").between(2, SPARSE_ROWS - 1) & (F.col("duration") <= 750) & (F.col("breaks_layout") | ((F.col("structural") >= 0.67) & (F.col("low") >= 0.67)))
     return judged.filter(F.col("breaks_layout") | (~F.col("dialogue") & (long_sparse | short_noisy))).groupBy(*MEDIA).agg(F.min("pos").alias("_cut"))
+
+
+# ---- rows off the main track --------------------------------------------------------------------------------------
+
+# fixed values: heights against the track's, lengths of texts, shares of the frame
+SMALL, VERY_SMALL = 0.76, 0.66
+LONG_TEXT, MEDIUM_TEXT, TINY_TEXT = 14, 8, 4
+
+
+def drop_off_track(subtitles: DataFrame, min_rows: int = 20) -> DataFrame:
+    """Rows in letters clearly smaller than the media's main track go when their text or place says overlay: credits, wide or edge-bound
+    lines, lines of many parts, unless they read like dialogue.  Media under `min_rows` rows, or without a layout profile, stay whole.
+
+    Takes media_id, start_ms, end_ms, text, x1, y1, x2, y2 (null: no box, kept) and the detector's metrics frame_width_ratio, width_ratio,
+    edge_attachment, style_match, temporal_support, line_count, component_count (null: 0).
+    """
+    box = {"height": F.col("y2") - F.col("y1"), "width": F.col("x2") - F.col("x1"), "center_x": (F.col("x1") + F.col("x2")) / 2.0, "center_y": (F.col("y1") + F.col("y2")) / 2.0, "bottom_y": F.col("y2")}
+    boxed = subtitles.filter(F.col("x1").isNotNull()).select("media_id", *[F.greatest(F.lit(1.0), v.cast("double")).alias(n) if n in ("height", "width") else v.cast("double").alias(n) for n, v in box.items()])
+    enough = subtitles.groupBy(*MEDIA).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= min_rows).select(*MEDIA)
+    track = layout_profile(boxed, min_rows).join(enough, MEDIA).select(*MEDIA, *[F.col(c).alias(f"_t_{c}") for c in ("height", "width", "center_y")])
+    facts = tx.credit_features(F.col("text"))
+    rows = subtitles.join(track, MEDIA, "left").withColumn("_f", facts)
+    m = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("frame_width_ratio", "width_ratio", "edge_attachment", "style_match", "temporal_support", "line_count", "component_count")}
+    tall, wide_track = F.greatest(F.lit(1.0), F.col("_t_height")), F.greatest(F.lit(1.0), F.col("_t_width"))
+    ratio, n = F.greatest(F.lit(1.0), box["height"].cast("double")) / tall, F.length(tx.candidate_text(F.col("text")))
+    credit = (tx.credit_score(F.col("_f")) >= 0.38) | F.col("_f.role") | F.col("_f.organisation") | F.col("_f.name_list") | F.col("_f.latin_repeat")
+    lower = box["center_y"] - F.col("_t_center_y") >= tall * 0.14
+    wide = (m["frame_width_ratio"] >= 0.34) | (m["width_ratio"] >= 0.55) | (F.greatest(F.lit(1.0), box["width"].cast("double")) >= wide_track * 1.45)
+    edge, parts = m["edge_attachment"] >= 0.34, (m["line_count"] >= 2) | (m["component_count"] >= 3)
+    weak, fleeting = (m["style_match"] > 0) & (m["style_match"] <= 0.55), m["temporal_support"] <= 0.55
+    dialogue = (tx.sentence_likeness(F.coalesce("text", F.lit(""))) >= 0.48) & ~credit & ~edge & ~weak
+    small, tiny = ratio <= SMALL, ratio <= VERY_SMALL
+    layout = wide & (edge | parts | lower | weak) | edge & (weak | fleeting | lower)
+    brief = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")) <= 1_200
+    overlay = tiny & credit & (n >= TINY_TEXT) | tiny & (n >= MEDIUM_TEXT) & (wide | edge | parts) & ~dialogue | small & (n >= LONG_TEXT) & layout & ~dialogue \
+        | small & (n >= MEDIUM_TEXT) & credit & (lower | fleeting | brief) & ~((n >= LONG_TEXT) & layout & dialogue)
+    off = F.col("x1").isNotNull() & small & ((n > TINY_TEXT) | credit) & (n > 0) & overlay
+    return rows.filter(~F.coalesce(off, F.lit(False))).select(*subtitles.columns)

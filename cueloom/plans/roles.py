@@ -55,6 +55,16 @@ ROLES: dict[str, str] = {
                      CASE WHEN start_ms < 290000 THEN start_ms
                           ELSE 290000 + (1 + CAST(floor((start_ms - 290000) / 12000) AS BIGINT)) * 14000 + CAST(floor((start_ms % 12000) / (1 + media_id % 8)) AS BIGINT) END AS s
               FROM {segments}) t""",
+    # subtitles on a main track and off it: smaller, wider, lower ones, credits among them, with the detector's metrics
+    "track_subtitles": """
+        SELECT media_id, segment_id, start_ms, end_ms, event_type,
+               CASE segment_id % 5 WHEN 0 THEN text || ' ' || text WHEN 1 THEN '主演 张三' WHEN 2 THEN '我在这里，你的我在这里，你的' WHEN 3 THEN '文化传媒有限公司' ELSE event_type || event_type || event_type END AS text,
+               CASE WHEN segment_id % 23 <> 0 THEN 100 + segment_id % 40 END AS x1, 300 + CASE WHEN segment_id % 7 = 0 THEN 30 ELSE 0 END AS y1,
+               100 + segment_id % 40 + CASE WHEN segment_id % 6 = 0 THEN 320 ELSE 150 END AS x2,
+               300 + CASE WHEN segment_id % 7 = 0 THEN 30 ELSE 0 END + CASE segment_id % 4 WHEN 0 THEN 18 WHEN 1 THEN 22 ELSE 30 END AS y2,
+               (segment_id * 7 % 50) / 100.0E0 AS frame_width_ratio, (segment_id * 11 % 70) / 100.0E0 AS width_ratio, CASE WHEN segment_id % 3 = 0 THEN (segment_id * 13 % 60) / 100.0E0 END AS edge_attachment,
+               (segment_id * 17 % 100) / 100.0E0 AS style_match, (segment_id * 19 % 100) / 100.0E0 AS temporal_support, segment_id % 3 AS line_count, segment_id % 5 AS component_count
+        FROM {segments}""",
     # detections of captions on screen: competing readings of a phrase, noise lines, full-width signs, jittering boxes
     "caption_dets": """
         SELECT media_id, segment_id AS det_id, t AS t_ms, CASE segment_id % 8 WHEN 1 THEN replace(base, '我', '找') WHEN 2 THEN 'a ' || base WHEN 3 THEN base || chr(10) || 'x' WHEN 4 THEN base || '！' WHEN 5 THEN replace(base, ' ', '') WHEN 6 THEN base || chr(10) || replace(base, '们', '') || '。'

@@ -41,3 +41,18 @@ SELECT media_id, segment_id, s AS start_ms, e AS end_ms FROM g LEFT JOIN z USING
 @query("drop_trailing_non_dialogue", TAIL_SQL)
 def _(src):
     return tails.drop_trailing_non_dialogue(src("tail_subtitles")).select("media_id", "segment_id", "start_ms", "end_ms")
+
+
+TRACK_SQL = f"""WITH f AS (SELECT *, greatest(1, y2 - y1) AS h, greatest(1, x2 - x1) AS w, (y1 + y2) / 2.0::DOUBLE AS cy, {CANDIDATE} AS n, {likeness_sql("text")} AS sent, segment_id % 5 IN (0, 1, 3) AS credit, count(*) OVER (PARTITION BY media_id) AS total FROM track_subtitles),
+b AS (SELECT * FROM f WHERE x1 IS NOT NULL), m AS (SELECT media_id, quantile_cont(h, 0.5) AS raw, count(*) AS k FROM b GROUP BY media_id), c AS (SELECT b.*, h / raw BETWEEN 0.68 AND 1.45 AS core FROM b JOIN m USING (media_id) WHERE k >= 20 AND raw > 1 AND total >= 20),
+e AS (SELECT *, count(*) FILTER (core) OVER (PARTITION BY media_id) >= 20 AS by_core FROM c), t AS (SELECT media_id, greatest(1.0::DOUBLE, quantile_cont(h, 0.5)) AS th, greatest(1.0::DOUBLE, quantile_cont(w, 0.5)) AS tw, quantile_cont(cy, 0.5) AS tc FROM e WHERE core OR NOT by_core GROUP BY media_id),
+g AS (SELECT f.*, th, h / th AS ratio, cy - tc >= th * 0.14::DOUBLE AS lower_, frame_width_ratio >= 0.34 OR width_ratio >= 0.55 OR w >= tw * 1.45::DOUBLE AS wide, coalesce(edge_attachment, 0) >= 0.34 AS edge, line_count >= 2 OR component_count >= 3 AS parts, style_match > 0 AND style_match <= 0.55 AS weak, temporal_support <= 0.55 AS fleeting FROM f JOIN t USING (media_id) WHERE x1 IS NOT NULL),
+d AS (SELECT *, sent >= 0.48 AND NOT credit AND NOT edge AND NOT weak AS talk FROM g),
+o AS (SELECT media_id, segment_id, CASE WHEN n = 0 OR (n <= 4 AND NOT credit) OR ratio > 0.76 THEN false WHEN ratio <= 0.66 AND credit AND n >= 4 THEN true WHEN ratio <= 0.66 AND n >= 8 AND (wide OR edge OR parts) AND NOT talk THEN true
+  WHEN n >= 14 AND wide AND (edge OR parts OR lower_ OR weak) THEN NOT talk WHEN n >= 14 AND edge AND (weak OR fleeting OR lower_) THEN NOT talk WHEN n >= 8 AND credit AND (lower_ OR fleeting OR end_ms - start_ms <= 1200) THEN true ELSE false END AS off FROM d)
+SELECT media_id, segment_id FROM track_subtitles WHERE (media_id, segment_id) NOT IN (SELECT (media_id, segment_id) FROM o WHERE off)"""
+
+
+@query("drop_off_track", TRACK_SQL)
+def _(src):
+    return tails.drop_off_track(src("track_subtitles")).select("media_id", "segment_id")
