@@ -85,7 +85,7 @@ def test_verdicts_consume_events_in_order(spark):
     """A verdict for the screen text takes the events from later segments, one for the speech leaves them; slots do not change that."""
     rows = [(1, i, 1000 * i, 1000 * i + 1500, "abcdefgh", "S") for i in range(40)]
     seg = spark.createDataFrame(rows, "media_id long, segment_id long, start_ms long, end_ms long, text string, speaker_label string")
-    ocr = spark.createDataFrame([(1, 100 + i, 1000 * i + 1200, 1000 * i + 1300, "ab", 0.95, None) for i in range(40)], "media_id long, event_id long, start_ms long, end_ms long, text string, confidence double, kind string")
+    ocr = spark.createDataFrame([(1, 100 + i, 1000 * i + 1200, 1000 * i + 1300, "a", 0.95, None) for i in range(40)], "media_id long, event_id long, start_ms long, end_ms long, text string, confidence double, kind string")
     verdicts = spark.createDataFrame([(1, i, ("use_ocr", "use_asr", "merge", None)[i % 4], "zz" if i % 8 == 2 else "ba") for i in range(40)], "media_id long, segment_id long, verdict string, verdict_text string")
     want, gone = [], set()
     for i in range(40):
