@@ -110,8 +110,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, date: str
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_records(index: DataFrame, folder: str, stretch: int = 16 << 20, gap: int = 64 << 10, payloads: bool = True) -> DataFrame:
-    """The records of the selected index rows, one row each."""
+def read_records(index: DataFrame, folder: str, stretch: int = 16 << 20, gap: int = 64 << 10, payloads: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
+    """The records of the selected index rows, one row each.
+
+    Index rows are a few bytes for records of any size, so the number of tasks follows from the bytes to be read.
+    """
 
     def fetch(key, group):
         from pyarrow import fs
@@ -132,7 +135,9 @@ def read_records(index: DataFrame, folder: str, stretch: int = 16 << 20, gap: in
                 i = j + 1
         return pa.Table.from_batches([to_batch(rows, RECORD)])
 
-    return index.withColumn("stretch", F.floor(F.col("offset") / stretch)).select("file", "stretch", "offset", "length").groupBy("file", "stretch").applyInArrow(fetch, RECORD)
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    wanted = index.withColumn("stretch", F.floor(F.col("offset") / stretch)).select("file", "stretch", "offset", "length")
+    return wanted.repartition(tasks, "file", "stretch").groupBy("file", "stretch").applyInArrow(fetch, RECORD)
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
