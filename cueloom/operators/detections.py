@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,32 +225,33 @@ def matching_geometry(boxes: DataFrame, hints: DataFrame) -> DataFrame:
     return boxes.join(hints, "media_id").filter(fits).select(*boxes.columns)
 
 
-MATCHED = T.StructType([T.StructField("media_id", T.LongType()), T.StructField("tick", T.LongType()), T.StructField("tp", T.LongType())])
-
-
 def greedy_box_match(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """tp / fp / fn per media from one-to-one matches per tick, best IoU first.
 
-    Pairs above the threshold come from a join on (media, tick); only those few enter the greedy pass, many ticks at once.
+    Pairs above the threshold come from a join on (media, tick); only those few enter the greedy pass, which reads them sorted, as a stream,
+    and holds the boxes taken in one tick.
     """
     columns = ("x1", "y1", "x2", "y2")
     p = pred.select("media_id", "tick", F.col("box_id").alias("p_id"), *[F.col(c).alias(f"p_{c}") for c in columns])
     g = truth.select("media_id", "tick", F.col("box_id").alias("g_id"), *[F.col(c).alias(f"g_{c}") for c in columns])
     pairs = p.join(g, ["media_id", "tick"]).withColumn("iou", bx.iou("p_", "g_")).filter(F.col("iou") >= threshold).select("media_id", "tick", "p_id", "g_id", "iou")
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tick", "iou", "p_id", "g_id"], ascending=[True, False, True, True])
-        left, right, hits = set(), set(), {}
-        for tick, a, b in zip(pdf["tick"], pdf["p_id"], pdf["g_id"]):
-            if (tick, a) in left or (tick, b) in right:
-                continue
-            left.add((tick, a))
-            right.add((tick, b))
-            hits[tick] = hits.get(tick, 0) + 1
-        return pd.DataFrame({"media_id": [pdf["media_id"].iloc[0]] * len(hits), "tick": list(hits), "tp": list(hits.values())})
-
-    bucketed = spread(pairs.withColumn("_b", F.floor(F.col("tick") / 4096)), "media_id", "_b")
-    tp = bucketed.groupBy("media_id", "_b").applyInPandas(match, MATCHED).groupBy("media_id").agg(F.sum("tp").alias("tp"))
+    def match(batches):
+        at, left, right = None, set(), set()
+        for batch in batches:
+            ticks = zip(batch.column("media_id").to_pylist(), batch.column("tick").to_pylist())
+            taken = []
+            for i, (here, a, b) in enumerate(zip(ticks, batch.column("p_id").to_pylist(), batch.column("g_id").to_pylist())):
+                if here != at:
+                    at, left, right = here, set(), set()
+                if a not in left and b not in right:
+                    left.add(a)
+                    right.add(b)
+                    taken.append(i)
+            yield batch.select(["media_id"]).take(pa.array(taken, pa.int64()))
+
+    ordered = pairs.repartition("media_id", "tick").sortWithinPartitions("media_id", "tick", F.desc("iou"), "p_id", "g_id").drop("iou")
+    tp = ordered.mapInArrow(match, ordered.select("media_id").schema).groupBy("media_id").agg(F.count(F.lit(1)).alias("tp"))
     counts = pred.groupBy("media_id").agg(F.count(F.lit(1)).alias("_p")).join(truth.groupBy("media_id").agg(F.count(F.lit(1)).alias("_g")), "media_id", "full_outer").join(tp, "media_id", "left").fillna(0)
     return counts.select("media_id", "tp", (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_g") - F.col("tp")).alias("fn"))
 
