@@ -61,15 +61,27 @@ def detection_sessions(detections: DataFrame, gap: str, delay: str = "10 minutes
 def align(segments: DataFrame, events: DataFrame, reach: str = "10 seconds", delay: str = "1 minute", how: str = "inner") -> DataFrame:
     """Segments joined to the events that overlap them; both sides are bounded by watermarks and a time range.
 
-    `reach` must cover the longest segment or event.  Rows later than the watermark are dropped, unlike in batch.
+    `reach` must cover the longest segment or event.  Rows later than the watermark are dropped, unlike in batch.  The join is by media and
+    stretch of `reach`: one side's rows stand in the stretch of their time alone, the other's in the two beside it as well, so that every
+    pair meets once and a row is compared with its surroundings only.  A full outer join keeps both sides whole and has no stretches.
     """
     s = segments.select(F.col("media_id").alias("s_media"), "segment_id", F.col("ts").alias("s_ts"), F.col("start_ms").alias("s_start"), F.col("end_ms").alias("s_end")).withWatermark("s_ts", delay)
     e = events.select(F.col("media_id").alias("e_media"), "event_id", F.col("ts").alias("e_ts"), F.col("start_ms").alias("e_start"), F.col("end_ms").alias("e_end")).withWatermark("e_ts", delay)
     near = F.expr(f"e_ts >= s_ts - INTERVAL {reach} AND e_ts <= s_ts + INTERVAL {reach}")
     overlap = (F.col("s_media") == F.col("e_media")) & (F.col("s_start") < F.col("e_end")) & (F.col("e_start") < F.col("s_end"))
+    if not how.lower().replace("_", "").startswith(("full", "outer")):
+        right = how.lower().startswith("right")
+        s, e = stretches(s, "s", reach, beside=right), stretches(e, "e", reach, beside=not right)
+        overlap = overlap & (F.col("s_stretch") == F.col("e_stretch"))
     return s.join(e, overlap & near, how).select(F.col("s_media").alias("media_id"), "segment_id", "event_id")
 
 
+def stretches(rows: DataFrame, side: str, reach: str, beside: bool) -> DataFrame:
+    """Rows with the number of the stretch of `reach` that their time lies in; with `beside`, also once for the one before and the one after."""
+    at = F.expr(f"unix_micros({side}_ts) div unix_micros(timestamp_micros(0) + INTERVAL {reach})")
+    return rows.withColumn(f"{side}_stretch", F.explode(F.array(at - 1, at, at + 1)) if beside else at)
+
+
 def rolling_counts(rows: DataFrame, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Rows, failures and total value per tumbling or sliding window."""
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
