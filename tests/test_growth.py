@@ -3,6 +3,9 @@
 import datetime
 import random
 
+import numpy as np
+
+from cueloom.functions import vectors as vx
 from cueloom.operators import detections as dt
 from cueloom.streaming import jobs
 
@@ -64,3 +67,28 @@ def test_align_by_stretches_of_time(spark):
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert ("stretch" in plan_of(found)) == (how != "full_outer")
+
+
+def test_best_matches_hold_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vx, "PRODUCT", 7)
+    monkeypatch.setattr(vx, "LEFT_ROWS", 10)
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(60, 5)).round(1), rng.normal(size=(200, 5)).round(1)
+    names = [f"g{i % 31:02d}" if i % 31 else None for i in range(200)]
+    left = spark.createDataFrame([*[(None if i == 3 else i, v.tolist()) for i, v in enumerate(a)], (99, None)], "id long, vec array<double>")
+    right = spark.createDataFrame([*zip(names, b.tolist()), ("zz", None)], "group_id string, vec array<double>")
+    found = vx.best_matches(left, right, 3, 2, 2)
+    assert "Pandas" not in plan_of(found)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["group_id"], r["score"]))
+    sims = a @ b.T
+    for i in range(60):
+        best = {}
+        for name, s in zip(names, sims[i].round(6).tolist()):
+            best[name] = max(best.get(name, s), s)
+        order = sorted(best.items(), key=lambda x: (-x[1], x[0] or ""))[:3]
+        assert sorted(got[None if i == 3 else i]) == [(rank, *pair) for rank, pair in enumerate(order, 1)]
+    assert len(got) == 60
+    same = vx.best_matches(right.selectExpr("group_id AS id", "vec"), right, 1, 2, 2, skip_same=True)
+    assert same.filter("id = group_id").isEmpty() and same.count() == 31
