@@ -74,7 +74,7 @@ def match_profiles(profiles: DataFrame, exemplars: DataFrame, floor: DataFrame,
 
 def update_registry(registry: DataFrame, profiles: DataFrame, matches: DataFrame) -> DataFrame:
     """Matched profiles append an exemplar (newest 12 stay) and refresh the prototype; new speakers are inserted."""
-    decided = profiles.join(matches.select("profile_id", "decision", "matched_speaker"), "profile_id")
+    decided = cut_lineage(profiles.join(matches.select("profile_id", "decision", "matched_speaker"), "profile_id"))
     newest = Window.partitionBy("matched_speaker").orderBy(F.desc("profile_id"))
     fresh = (
         decided.filter("decision = 'matched'").withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= MAX_EXEMPLARS)
