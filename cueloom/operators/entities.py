@@ -209,7 +209,8 @@ def match_personas(speakers: DataFrame, personas: DataFrame, k: int = 5) -> Data
 
     Personas stand in short lists, one for each choice of work, role, gender and name text that a speaker may share with them, holding the `k`
     smallest ids.  Whoever precedes a persona in its list shares at least as much and so ranks before it, hence the lists of the traits a
-    speaker has are enough; name texts are found by containment, each distinct text once.  No speaker is compared with the library.
+    speaker has are enough; name texts are found by containment, each distinct text once.  Speakers that know the same ask once, and only the
+    `k` answers go back to each of them.  No speaker is compared with the library.
     """
     people = _traits(personas).withColumn("_texts", F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), norm_name), lambda t: t != "")))
     people = cut_lineage(people.select("persona_id", "_w", "_r", "_g", "_texts"))
@@ -218,22 +219,27 @@ def match_personas(speakers: DataFrame, personas: DataFrame, k: int = 5) -> Data
     rank = F.row_number().over(Window.partitionBy("key.t", "key.r", "key.g", "text").orderBy("persona_id"))
     lists = cut_lineage(listed.withColumn("_n", rank).filter(F.col("_n") <= k).select("persona_id", "key.*", "text"))
 
-    asks = cut_lineage(_traits(speakers).withColumn("_hint", norm_name(F.col("name"))).select("media_id", "speaker_label", "_w", "_r", "_g", "_hint"))
+    named = _traits(speakers).withColumn("_hint", norm_name(F.col("name")))
+    named = cut_lineage(named.select("media_id", "speaker_label", "_w", "_r", "_g", "_hint", F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("_w", "_r", "_g", "_hint")]).alias("ask")))
+    asks = cut_lineage(named.select("ask", "_w", "_r", "_g", "_hint").dropDuplicates(["ask"]))
     hints = asks.filter("_hint <> ''").select(F.col("_hint").alias("text")).distinct()
     near = containment(hints, people.select(F.explode("_texts").alias("text")).distinct()).select(F.col("l").alias("_hint"), F.col("r").alias("text"))
     tiers = F.when(F.col("_w").isNotNull(), F.array(F.col("_w"), F.lit(""))).otherwise(F.array(F.lit(ANY_WORK)))
-    keyed = asks.select("media_id", "speaker_label", "_w", "_hint", F.explode(_trait_keys(tiers)).alias("key"))
-    plain = keyed.filter((F.col("key.r") != "") | (F.col("key.g") != "") | (F.col("key.t") == F.col("_w"))).select("media_id", "speaker_label", "key.*", F.lit("").alias("text"))
-    called = keyed.join(near, "_hint").select("media_id", "speaker_label", "key.*", "text")
-    found = plain.unionByName(called).join(lists, ["t", "r", "g", "text"]).select("media_id", "speaker_label", "persona_id").distinct()
+    keyed = asks.select("ask", "_w", "_hint", F.explode(_trait_keys(tiers)).alias("key"))
+    plain = keyed.filter((F.col("key.r") != "") | (F.col("key.g") != "") | (F.col("key.t") == F.col("_w"))).select("ask", "key.*", F.lit("").alias("text"))
+    called = keyed.join(near, "_hint").select("ask", "key.*", "text")
+    found = plain.unionByName(called).join(lists, ["t", "r", "g", "text"]).select("ask", "persona_id").distinct()
 
-    both = found.join(asks, ["media_id", "speaker_label"]).join(people.select("persona_id", F.col("_w").alias("p_w"), F.col("_r").alias("p_r"), F.col("_g").alias("p_g"), "_texts"), "persona_id")
+    both = found.join(asks, "ask").join(people.select("persona_id", F.col("_w").alias("p_w"), F.col("_r").alias("p_r"), F.col("_g").alias("p_g"), "_texts"), "persona_id")
     best = F.coalesce(F.array_max(F.transform("_texts", lambda t: name_similarity(F.col("_hint"), t))), F.lit(0.0))
     same = {"work": F.col("_w") == F.col("p_w"), "role": F.col("_r") == F.col("p_r"), "gender": F.col("_g") == F.col("p_g")}
     parts = {n: F.when(same[n], PERSONA_WEIGHTS[n]).otherwise(0.0) for n in same} | {"name": best * PERSONA_WEIGHTS["name"]}
     scored = both.withColumn("score", F.round(parts["work"] + parts["name"] + parts["role"] + parts["gender"], 3)).withColumn("reasons", flags((same["work"], "work"), (best > 0, "name"), (same["role"], "role"), (same["gender"], "gender")))
-    speaker = Window.partitionBy("media_id", "speaker_label")
-    ranked = scored.withColumn("rank", F.row_number().over(speaker.orderBy(F.desc("score"), "persona_id"))).withColumn("scored", F.count(F.lit(1)).over(speaker))
+    ask, speaker = Window.partitionBy("ask"), Window.partitionBy("media_id", "speaker_label")
+    answers = scored.withColumn("_at", F.row_number().over(ask.orderBy(F.desc("score"), "persona_id"))).withColumn("_seen", F.count(F.lit(1)).over(ask))
+    given = named.filter("media_id IS NOT NULL AND speaker_label IS NOT NULL").select("media_id", "speaker_label", "ask")
+    told = given.join(answers.filter(F.col("_at") <= k).select("ask", "persona_id", "score", "reasons", "_at", "_seen"), "ask")
+    ranked = told.withColumn("rank", F.row_number().over(speaker.orderBy(F.desc("score"), "persona_id"))).withColumn("scored", F.sum(F.when(F.col("_at") == 1, F.col("_seen"))).over(speaker))
     return ranked.filter((F.col("rank") <= k) & (F.col("score") > 0)).select("media_id", "speaker_label", "rank", "persona_id", "score", "reasons", "scored")
 
 
