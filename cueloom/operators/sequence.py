@@ -24,7 +24,7 @@ from cueloom.session import cut_lineage
 
 BLOCK_ROWS = 65_536
 FOLD_ROWS = 1_024
-SLOT_MS = 60_000  # a minute of one media: what a scan's task holds is bounded by how much can be said or shown in it
+SLOT_MS = 3_600_000  # an hour of one media: bounded by what can be said or shown in it, and not so short that a slot's summary costs as much as its rows
 
 Keys = Sequence[str]
 _PLAIN = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -101,10 +101,14 @@ def quality_score() -> Column:
 
 
 def overlap_clusters(items: DataFrame) -> DataFrame:
-    """Items whose placements touch (beyond the tolerance) share a cluster; different clusters never conflict."""
-    timed = items.withColumn("start_ms", F.col("placement_start")).withColumn("end_ms", F.col("placement_end"))
-    return seq.gap_islands(timed, MEDIA, ["placement_start", "placement_end", "segment_id"], seq.time_slot(),
-                           gap_ms=-OVERLAP_TOLERANCE - 1, out="cluster").drop("start_ms", "end_ms")
+    """Items whose placements touch (beyond the tolerance) share a cluster; different clusters never conflict.  `alone` marks clusters of one row."""
+    order = ["placement_start", "placement_end", "segment_id"]
+    placed = seq.scan(items, MEDIA, order, seq.time_slot("placement_start"), {"_end": ("max_before", F.col("placement_end")), "pos": ("row", None)})
+    opens = F.col("_end").isNull() | (F.col("placement_start") - F.col("_end") > -OVERLAP_TOLERANCE - 1)
+    opens = F.coalesce(opens, F.lit(False))
+    # by rank, so that rows tied in `order` keep the sequence the breaks were computed in
+    linked = seq.scan(cut_lineage(placed), MEDIA, ["pos"], None, {"cluster": ("last", F.when(opens, F.col("pos"))), "_next": ("lead", opens)})
+    return linked.withColumn("alone", opens & F.coalesce("_next", F.lit(True))).drop("_slot", "_end", "_next")
 
 
 RESOLVED = T.StructType([
@@ -164,15 +168,12 @@ def _settle(bucket: pd.DataFrame) -> pd.DataFrame:
 
 def resolve_overlaps(items: DataFrame) -> DataFrame:
     """Keep, trim, layer, replace or skip conflicting placements.  A row alone in its cluster needs no Python at all."""
-    clustered = cut_lineage(overlap_clusters(items))
-    sized = clustered.groupBy(*MEDIA, "cluster").agg(F.count(F.lit(1)).alias("_n"))
-    rows = clustered.join(sized, [*MEDIA, "cluster"])
-    alone = rows.filter("_n = 1").select(
+    wanted = [*MEDIA, "segment_id", "anchor_start", "anchor_end", "placement_start", "placement_end", "fitted_ms", "source_ms", "has_window", "overall_status", "quality_score"]
+    rows = cut_lineage(overlap_clusters(items.select(*wanted)))
+    alone = rows.filter("alone").select(
         "media_id", "segment_id", F.lit("placed").alias("mix_status"), "placement_start", "placement_end",
         F.lit(0.0).alias("gain_db"))
-    crowded = rows.filter("_n > 1").select(
-        "media_id", "segment_id", "cluster", "anchor_start", "anchor_end", "placement_start", "placement_end", "fitted_ms", "source_ms", "has_window",
-        "overall_status", "quality_score")
+    crowded = rows.filter("NOT alone").select(*wanted, "cluster")
     # whole clusters share a bucket, so a Python call settles thousands of rows instead of two or three
     bucketed = spread(crowded.withColumn("bucket", F.floor(F.col("cluster") / CLUSTER_BUCKET)), *MEDIA, "bucket")
     return alone.unionByName(bucketed.groupBy(*MEDIA, "bucket").applyInPandas(_settle, RESOLVED))

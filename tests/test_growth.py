@@ -7,6 +7,8 @@ import numpy as np
 
 from cueloom.functions import vectors as vx
 from cueloom.operators import detections as dt
+from cueloom.operators import entities as en
+from cueloom.operators import timeline as tl
 from cueloom.streaming import jobs
 
 
@@ -92,3 +94,27 @@ def test_best_matches_hold_bounded_blocks(spark, monkeypatch):
     assert len(got) == 60
     same = vx.best_matches(right.selectExpr("group_id AS id", "vec"), right, 1, 2, 2, skip_same=True)
     assert same.filter("id = group_id").isEmpty() and same.count() == 31
+
+
+def test_speakers_that_know_the_same_ask_once(spark):
+    people = [(i, f"P{i % 7}", None, ["hero", "villain"][i % 2], ["m", "f", None][i % 3], None) for i in range(60)]
+    library = spark.createDataFrame(people, "persona_id long, name string, aliases array<string>, role string, gender string, work_id string")
+    asks = [(1, f"S{i}", "p3", "HERO", "f", None) for i in range(50)] + [(1, "S0", "p3", "HERO", "f", None), (1, None, "p3", None, None, None)]
+    speakers = spark.createDataFrame(asks, "media_id long, speaker_label string, name string, role string, gender string, work_id string")
+    found = en.match_personas(speakers, library, 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["speaker_label"], []).append((r["rank"], r["persona_id"], r["score"]))
+    alone = got["S1"]
+    assert set(got) == {f"S{i}" for i in range(50)} and all(sorted(got[f"S{i}"]) == sorted(alone) for i in range(1, 50))
+    assert [p for _, p, _ in sorted(got["S0"])] == [sorted(alone)[0][1]] * 2 + [sorted(alone)[1][1]]  # a speaker listed twice is told twice
+
+
+def test_lone_placements_are_found_in_the_same_scan(spark):
+    cols = "media_id long, segment_id string, anchor_start long, anchor_end long, placement_start long, placement_end long, fitted_ms long, source_ms long, has_window boolean, overall_status string, quality_score double"
+    spans = [(0, 1000), (900, 1900), (1860, 1900), (9_000_000, 9_001_000), (9_001_000, 9_002_000), (9_001_500, 9_003_000)]
+    rows = [(m, f"{i}", a, b, a, b, b - a, b - a, False, "passed", 1.0) for m in (1, 2) for i, (a, b) in enumerate(spans)]
+    found = tl.overlap_clusters(spark.createDataFrame(rows, cols)).collect()
+    for m in (1, 2):
+        got = {r["segment_id"]: (r["cluster"], r["alone"]) for r in found if r["media_id"] == m}
+        assert got == {"0": (0, False), "1": (0, False), "2": (2, True), "3": (3, True), "4": (4, False), "5": (4, False)}
