@@ -10,20 +10,23 @@ of pieces, whatever the corpus) is settled by first fit.
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import cut_lineage, id_text, read_table, rows_of, text_bytes
+from cueloom.llm.common import cut_lineage, id_text, read_table, text_bytes
 
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
-CACHE_WORDS = 1_000_000
+#: Entries of a worker's table, some 250 bytes each, and bytes of text that are split at once.
+CACHE_WORDS, PART_BYTES = 250_000, 1 << 20
 #: Letters whose lower case and composed form are the same in every Unicode library; runs of them are single pre-tokens.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-z0-9\u0080-\U0010ffff'\\s<|>]*)")
+PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[^A-Za-z0-9\u0080-\U0010ffff'\\x09-\\x0D\\x1C-\\x20<|>]*)$"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, k int, worker long, place long"
 
 
@@ -37,30 +40,75 @@ class WordIds(dict):
     """Chunk between blanks -> its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in a row.  A chunk of plain
-    letters and trailing marks is its lower-case word's ids and its marks' ids, so case and punctuation share one entry.
+    letters and trailing marks is its lower-case word's ids and its marks' ids, so only those have entries.  Unknown
+    plain words, which the normalizer leaves as they are and the pattern in one piece, are encoded in one call.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def ids(self, chunk: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.encode(chunk, add_special_tokens=False).ids)
+        whole = Tokenizer.from_file(path)
+        self.encode = whole.encode
+        self.plain = Tokenizer(whole.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.plain.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # the last id of a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, chunk: str) -> bytes:
-        m = PLAIN.fullmatch(chunk)
-        if m and (m[2] or not chunk.islower()):
-            value = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
-        else:
-            value = self.ids(chunk)
-        self[chunk] = value
+        self[chunk] = value = b"".join(i.to_bytes(4, "little") for i in self.encode(chunk, add_special_tokens=False).ids)
         return value
 
-    def text_ids(self, text: str) -> bytes:
+    def learn(self, words: list[str]) -> None:
+        """Enter plain lower-case words."""
+        if words:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) == len(words) and ends[-1] == 4 * len(ids):  # else each goes on its own
+                data, at = ids.tobytes(), ends.tolist()
+                self.update(zip(words, [data[lo:hi] for lo, hi in zip([0, *at[:-1]], at, strict=True)], strict=True))
+
+    def texts_ids(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of every text: its chunks' words and marks in turn, each distinct one looked up once."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, PLAIN)
+        odd = pc.is_null(parts)
+        word = pc.if_else(odd, coded.dictionary, pc.utf8_lower(pc.struct_field(parts, 0))).dictionary_encode()
+        marks = pc.if_else(odd, "", pc.struct_field(parts, 1)).dictionary_encode()
+        others = set(strings(coded.dictionary.filter(odd)))
+        words = strings(word.dictionary)
+        self.learn([w for w in words if w not in self and w not in others])
+        values = [self[w] for w in words] + [self[m] for m in strings(marks.dictionary)]
+        sizes = np.array(list(map(len, values)), np.int64) // 4
+        begin = np.cumsum(sizes) - sizes
+        chunk = coded.indices.to_numpy()
+        at = np.stack([word.indices.to_numpy()[chunk], marks.indices.to_numpy()[chunk] + len(words)], axis=1).reshape(-1)
+        edges = np.cumsum(np.append(0, sizes[at]))
+        places = np.repeat(begin[at] - edges[:-1], sizes[at]) + np.arange(edges[-1])
+        ids = np.frombuffer(b"".join(values), "<u4")[places]
+        cuts = edges[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def strings(values: pa.StringArray) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.StringArray]]:
+    """(ids, texts) of a batch in parts of about PART_BYTES; null is empty, what is no UTF-8 becomes replacement marks."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    part = np.cumsum(sizes, dtype=np.int64) // PART_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        rows = batch.slice(lo, hi - lo)
+        try:
+            texts = pc.fill_null(rows.column(1).cast(pa.string()), "")
+        except pa.ArrowInvalid:
+            texts = pa.array([text_bytes(t.as_py()).decode("utf-8", "replace") for t in rows.column(1)], pa.string())
+        yield rows.column(0).to_pylist(), texts
 
 
 def shares(capacity: int, classes=CLASSES) -> list[tuple[int, int]]:
@@ -107,15 +155,16 @@ def pack_workers(docs: DataFrame, capacity: int, tolerance: int, end_id: int, pa
                 open_bins[k] = []
 
         for batch in batches:
-            for doc, text in rows_of(batch):
-                ids = words.text_ids(text_bytes(text).decode("utf-8", "replace")) + end
-                n, at = len(ids) // 4, 0
-                for length, k in [*[(capacity, 1)] * (n // capacity), *table[n % capacity]]:
-                    settle(k, (doc, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n))
-                    at += length
-                if len(closed) > 20_000:
-                    yield to_batch(closed)
-                    closed.clear()
+            for numbers, texts in texts_of(batch):
+                for doc, ids in zip(numbers, words.texts_ids(texts), strict=True):
+                    ids += end
+                    n, at = len(ids) // 4, 0
+                    for length, k in [*[(capacity, 1)] * (n // capacity), *table[n % capacity]]:
+                        settle(k, (doc, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n))
+                        at += length
+                    if len(closed) > 20_000:
+                        yield to_batch(closed)
+                        closed.clear()
         for k, held in open_bins.items():
             closed.extend((*p, None, None, k, worker, i) for i, p in enumerate(held))
         if closed:

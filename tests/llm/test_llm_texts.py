@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cueloom.llm.decontaminate import Index, contaminated
 from cueloom.llm.language_id import codebook, has_letter, identify
 from cueloom.llm.license_scan import scan_licenses, words_of
-from cueloom.llm.packing import CLASSES, cut_table, default_tokenizer, pack
+from cueloom.llm.packing import CLASSES, WordIds, cut_table, default_tokenizer, pack
 from cueloom.llm.quality import FEATURES, features, score_quality
 from cueloom.llm.warc import read_records, write_archives
 
@@ -142,6 +142,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert read_records(write_archives(pages.limit(0), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_word_ids_of_many_texts():
+    """Unknown plain words of many texts take one call, odd chunks one each; the ids are the tokenizer's."""
+    import itertools
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    words = ["".join(w) for w in itertools.product("bdt", "aeiouéß", "lmnrs", "aeo")]
+    texts = [" ".join(words), " ".join(w.title() + ",***" for w in words), "don't stop\n x1 中文 ...  Éa\x0bb", "", " "]
+    table, calls = WordIds(default_tokenizer()), []
+    encode = table.encode
+    table.encode = lambda *a, **k: calls.append(a[0]) or encode(*a, **k)
+    whole = Tokenizer.from_file(default_tokenizer())
+    for _ in range(2):
+        got = table.texts_ids(pa.array(texts, pa.string()))
+        assert got == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(calls) < 10 and len(table) < len(words) + 12
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
