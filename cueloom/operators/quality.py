@@ -49,14 +49,29 @@ def duration_ratio() -> Column:
 
 
 def universe(report: DataFrame, translations: DataFrame) -> DataFrame:
-    """Every translated line plus everything rendered; a placed row beats a skipped one beats a synthetic undubbed row, then the earliest and shortest wins."""
+    """Every translated line plus everything rendered."""
+    return with_translations(rendered(report), translations)
+
+
+def rendered(report: DataFrame) -> DataFrame:
+    """One row per line: a placed row beats a skipped one, then the earliest and shortest wins."""
     best = Window.partitionBy(*SEGMENT).orderBy(F.col("placed").desc(), *[F.col(c) for c in ("start_ms", "generated_ms", "speaker_id", "audio_path") if c in report.columns])
-    rendered = report.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+    return report.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+
+
+def with_translations(rows: DataFrame, translations: DataFrame) -> DataFrame:
+    """Rendered rows with their translated lines; a line that was never rendered is a synthetic undubbed row.
+
+    Join what is known per rendered line before this step: a full join's rows are no longer dealt by line, so each join behind it
+    would shuffle them all again.
+    """
     tr = translations.select(
         *SEGMENT, F.col("source_text"), F.col("target_text").alias("_t_target"), F.col("speaker_label").alias("_t_label"),
         F.col("start_ms").alias("_t_start"), F.col("end_ms").alias("_t_end"),
     )
-    joined = rendered.withColumn("_seen", F.lit(True)).join(tr, SEGMENT, "full_outer")
+    joined = rows.withColumn("_seen", F.lit(True)).join(tr, SEGMENT, "full_outer")
+    if "backread_text" in rows.columns:
+        joined = joined.withColumn("backread_text", F.coalesce("backread_text", F.lit("")))
     return (
         joined.withColumn("placed", F.coalesce("placed", F.lit(False)))
         .withColumn("mix_status", F.when(F.col("_seen"), F.col("mix_status")).otherwise("not_synthesized"))

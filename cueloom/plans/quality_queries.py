@@ -44,8 +44,9 @@ def _rows(src):
         F.when(F.col("h") % 5 == 0, "").otherwise(F.col("target_text")).alias("backread_text"),
     )
     judge = report.select("media_id", "segment_id", "judge_score")
-    base = q.universe(report.drop("judge_score"), src("translations"))
-    return q.tag_rows(q.enrich(base, q.first_backread(reads), judge))
+    # read-backs and judge scores are the report's own, so they meet its lines before the translations do
+    known = q.enrich(q.rendered(report.drop("judge_score")), q.first_backread(reads), judge)
+    return q.tag_rows(q.with_translations(known, src("translations")))
 
 
 @query("qa_rows", UNIVERSE_SQL + """SELECT media_id, segment_id, placed, mix_status, speaker_id, target_text, source_text,

@@ -4,10 +4,12 @@ import datetime
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cueloom.functions import vectors as vx
 from cueloom.operators import detections as dt
 from cueloom.operators import entities as en
+from cueloom.operators import quality as qa
 from cueloom.operators import timeline as tl
 from cueloom.streaming import jobs
 
@@ -118,3 +120,39 @@ def test_lone_placements_are_found_in_the_same_scan(spark):
     for m in (1, 2):
         got = {r["segment_id"]: (r["cluster"], r["alone"]) for r in found if r["media_id"] == m}
         assert got == {"0": (0, False), "1": (0, False), "2": (2, True), "3": (3, True), "4": (4, False), "5": (4, False)}
+
+
+def test_known_lines_meet_translations_last(spark):
+    """Every side is dealt by line once: nothing is shuffled again behind the full join (duplicate lines and null keys included)."""
+    report = spark.createDataFrame([(1, "a", True, 5, "hi", "x", 2.0), (1, "a", False, 3, "ho", "x", 4.0), (1, "b", False, 1, "", "y", None), (None, "n", True, 2, "nn", "z", 1.0)],
+                                   "media_id long, segment_id string, placed boolean, start_ms long, target_text string, speaker_id string, judge_score double").withColumn("mix_status", F.lit("placed"))
+    lines = spark.createDataFrame([(1, "a", "s", "t", "l", 0, 9), (1, "c", "s2", "t2", "l2", 7, 8), (None, "n", "s3", "t3", "l3", 1, 2)],
+                                  "media_id long, segment_id string, source_text string, target_text string, speaker_label string, start_ms long, end_ms long")
+    reads = qa.first_backread(report.select("media_id", "segment_id", F.col("start_ms").alias("report_ord"), F.col("target_text").alias("backread_text")))
+    judge = report.select("media_id", "segment_id", "judge_score")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        known = qa.enrich(qa.rendered(report.drop("judge_score")), reads, judge)
+        rows = qa.with_translations(known, lines)
+        assert plan_of(rows).count("Exchange hashpartitioning") == 4
+        late = qa.enrich(qa.universe(report.drop("judge_score"), lines), reads, judge)
+        assert sorted(map(str, rows.select(*late.columns).collect())) == sorted(map(str, late.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r["segment_id"], r["judge_score"], r["backread_text"]) for r in rows.filter("media_id = 1").orderBy("segment_id", "judge_score").collect()] == [("a", 2.0, "ho"), ("a", 4.0, "ho"), ("b", None, ""), ("c", None, "")]
+
+
+def test_works_of_a_text_are_cut_before_its_tasks(spark):
+    """A name that many tasks share and many titles hold is settled once per text; short titles and names count too."""
+    titles = [f"ab {c}{d}" for c in "cdefghij" for d in "klmn"] + ["x", "the ab ck", "zz"]
+    works = spark.createDataFrame([(i, t, [f"al {i % 3}"]) for i, t in enumerate(titles)], "work_id long, title string, aliases array<string>")
+    tasks = spark.createDataFrame([(i, ["ab", "the ab ck", "x", "al 2 zz", "qq", ""][i % 6], ["/p/ab.mov", None, "/a b/zz.mp4"][i % 3]) for i in range(60)], "task_id long, name string, path string")
+    got = {}
+    for r in en.infer_works(tasks, works).filter("score = 0.9").collect():
+        got.setdefault(r["task_id"], []).append((r["rank"], r["work_id"]))
+    for t in tasks.collect():
+        hay = [x for x in (t["name"], {None: "", "/p/ab.mov": "ab", "/a b/zz.mp4": "zz"}[t["path"]]) if x]
+        ids = [i for i, title in enumerate(titles) if any(n in h or h in n for h in hay for n in (title, f"al {i % 3}"))][:3]
+        assert sorted(got.get(t["task_id"], [])) == list(enumerate(ids, 1)), t
+    pairs = en.containment(tasks.select(F.col("name").alias("text")).filter("text <> ''"), works.select(F.col("title").alias("text")))
+    assert "BroadcastHashJoin" in plan_of(pairs) and "SortMergeJoin" not in plan_of(pairs)
