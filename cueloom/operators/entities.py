@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as tx
 from cueloom.functions.cols import flags
 from cueloom.operators import sequence as seq
-from cueloom.session import cut_lineage
+from cueloom.session import cut_lineage, small_side
 
 MEDIA = ["media_id"]
 
@@ -84,12 +84,14 @@ def _spread_words(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[._\-]+", " ")))
 
 
-def _substrings(text: Column, low: Column, high: Column) -> Column:
-    """Distinct substrings of `text` with a length in [low, high]."""
+def _substrings(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of `text` with one of the sizes."""
     n = F.length(text)
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(low, high), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(text, i, k)))
-        .otherwise(F.array().cast("array<string>")))))
+
+    def of(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(k) for k in sizes]))
 
 
 LEAD = 6
@@ -99,11 +101,14 @@ def containment(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r): distinct texts (column `text`) of both sides where one contains the other.
 
     A contained text's leading six characters (or all of it when shorter) must occur in the container, so both directions
-    are equi joins on that key followed by the exact test: no pair is formed without a shared key.
+    are equi joins on that key followed by the exact test: no pair is formed without a shared key.  Containers give keys of
+    the sizes that occur; where few texts are on the right, its keys are broadcast and the left side's are never shuffled.
     """
     def inside(needles: DataFrame, hays: DataFrame, n: str, h: str) -> DataFrame:
         keyed = needles.select(F.col("text").alias(n)).withColumn("_k", F.substring(n, 1, LEAD))
-        grams = hays.select(F.col("text").alias(h)).withColumn("_k", F.explode(_substrings(F.col(h), F.lit(1), F.lit(LEAD))))
+        sizes = sorted(r[0] for r in keyed.select(F.length("_k")).distinct().collect() if r[0])
+        grams = hays.select(F.col("text").alias(h)).withColumn("_k", F.explode(_substrings(F.col(h), sizes or [LEAD])))
+        keyed, grams = (small_side(keyed), grams) if n == "r" else (keyed, small_side(grams))
         return keyed.join(grams, "_k").filter(F.contains(h, n)).select("l", "r")
 
     left, right = left.select("text").distinct(), right.select("text").distinct()
@@ -139,7 +144,7 @@ def near_tokens(tokens: DataFrame, titles: DataFrame) -> DataFrame:
     places = words.withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_w")))).withColumn("_at", F.explode(F.sequence(F.lit(0), n)))
     spread = places.filter("(_w = 0 AND _at = 0) OR (_w > 0 AND _at > 0 AND _at + _w - 1 <= length(text))").select(
         F.col("text").alias("_token"), F.substr("text", F.col("_at"), F.col("_w")).alias("_k"), "_at", n.alias("_len"))
-    pairs = spread.join(keyed, ["_k", "_at", "_len"]).select("_token", "_title", "_t").distinct().filter(F.abs(F.length("_token") - F.length("_title")) <= 4)
+    pairs = spread.join(small_side(keyed), ["_k", "_at", "_len"]).select("_token", "_title", "_t").distinct().filter(F.abs(F.length("_token") - F.length("_title")) <= 4)
     close = pairs.withColumn("distance", F.levenshtein("_token", "_title")).filter(F.col("distance") <= F.col("_t"))
     return close.select(F.col("_token").alias("token"), F.col("_title").alias("title"), "distance")
 
@@ -162,15 +167,16 @@ def infer_works(tasks: DataFrame, works: DataFrame, limit: int = 3) -> DataFrame
     def best(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_r", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "work_id"))).filter(F.col("_r") <= 2 * limit).drop("_r")
 
-    held = containment(hay, names).join(hay.withColumnRenamed("text", "l"), "l").select("task_id", F.col("r").alias("text")).distinct()
-    hits = cut_lineage(best(held.join(names, "text").select("task_id", F.col("id").alias("work_id"), F.lit(0.9).alias("score")).distinct()))
+    # these all score alike, so a text that many tasks carry and many titles hold keeps its first works before it goes back to its tasks
+    held = first_ids(containment(hay, names).withColumnRenamed("r", "text").join(names, "text").select(F.col("l").alias("text"), "id"), 2 * limit)
+    hits = cut_lineage(best(hay.join(held, "text").select("task_id", F.col("id").alias("work_id"), F.lit(0.9).alias("score")).distinct()))
     tokens = cut_lineage(hay.select("task_id", F.explode(F.split("text", r"\s+")).alias("text")).filter("text <> ''").distinct())
     titles = cut_lineage(first_ids(works.select(F.col("work_id").alias("id"), _spread_words(F.col("title")).alias("text")).filter("text <> ''"), 2 * limit))
     near = near_tokens(tokens, titles).join(tokens.withColumnRenamed("text", "token"), "token").groupBy("task_id", F.col("title").alias("text")).agg(F.min("distance").alias("d"))
     near = near.select("task_id", "text", F.round(F.lit(0.6) + (1 - F.col("d") / F.length("text")) * 0.1, 3).alias("score"))
     fuzzy = best(near.join(titles, "text").select("task_id", F.col("id").alias("work_id"), "score").join(hits.select("task_id", "work_id"), ["task_id", "work_id"], "left_anti"))
-    found = hits.withColumn("pass", F.lit(0)).unionByName(fuzzy.withColumn("pass", F.lit(1)))
-    matched = cut_lineage(found.join(works.select("work_id", "title"), "work_id"))
+    found = cut_lineage(hits.withColumn("pass", F.lit(0)).unionByName(fuzzy.withColumn("pass", F.lit(1))))
+    matched = cut_lineage(found.join(small_side(works.select("work_id", "title").join(found.select("work_id").distinct(), "work_id", "left_semi")), "work_id"))
     suggestion = sources.select("task_id", "source", tx.file_title(F.col("raw")).alias("title"), tx.file_year(F.col("raw")).alias("year")).filter("title IS NOT NULL").withColumn("_t", F.lower("title"))
     first = suggestion.groupBy("task_id", "_t").agg(F.min_by(F.struct("title", "year", "source"), "source").alias("s")).select("task_id", "_t", "s.*")
     known = matched.select("task_id", norm_name(F.col("title")).alias("_t")).distinct()
