@@ -56,7 +56,7 @@ def transcript_scores(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     docs = spread(pairs, "media_id").groupBy("media_id").agg(joined("ref_text").alias("r"), joined("hyp_text").alias("h"))
     ref, hyp = tx.normalise_transcript(F.col("r")), tx.normalise_transcript(F.col("h"))
     distances = docs.select("media_id", ref.alias("r"), hyp.alias("h")).select(
-        "media_id", F.length("r").alias("ref_chars"), F.length("h").alias("hyp_chars"), tx.distance(F.col("r"), F.col("h")).alias("edits"))
+        "media_id", F.length("r").alias("ref_chars"), F.length("h").alias("hyp_chars"), tx.document_distance(F.col("r"), F.col("h")).alias("edits"))
     distances = distances.withColumn("cer", safe_div(F.col("edits"), F.col("ref_chars"))).withColumn(
         "similarity", tx.similarity_of(F.col("edits"), F.col("ref_chars"), F.col("hyp_chars")))
     return distances.join(pace(segments), "media_id")

@@ -1,6 +1,8 @@
 """Hand-computed cases: error rates, detection and diarization error, correction, overlaps, rules."""
 
 import difflib
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from cueloom.operators import detections as dt
 from cueloom.operators import intervals as iv
 from cueloom.operators import registry as rg
 from cueloom.operators import timeline as tl
+from cueloom.operators import transcripts as tr
 
 
 def test_error_rates(spark):
@@ -21,6 +24,36 @@ def test_error_rates(spark):
     assert got[5][2] == 0.5 and round(got[6][1], 4) == 0.3333
 
 
+def test_document_distance_matches_levenshtein(spark):
+    rng = random.Random(1)
+
+    def text(n, letters):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    rows = [("", ""), ("", "ab"), ("abc", ""), ("same", "same"), (None, "x"), ("kitten", "sitting"), ("你好吗😀x", "你号吗x"), ("ab" * 70, "ba" * 70)]
+    for _ in range(120):
+        a = text(rng.randrange(200), rng.choice(["ab", "abcdefgh", "你好吗a"]))
+        b = list(a)
+        for _ in range(rng.randrange(30)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = text(rng.randrange(3), "abz")
+        rows += [(a, "".join(b)), (a, text(rng.randrange(200), "abc"))]
+    df = spark.createDataFrame(rows, "r string, h string")
+    for r in df.select("r", "h", F.levenshtein("r", "h").alias("want"), tx.document_distance("r", "h").alias("got")).collect():
+        assert r["got"] == r["want"], (r["r"], r["h"])
+
+
+def test_documents_are_not_compared_cell_by_cell(spark):
+    """Two long transcripts without anything in common: 1.6e9 cells."""
+    began = time.monotonic()
+    pairs = spark.createDataFrame([(1, 0, "ab" * 20_000, "cd" * 20_000)], "media_id long, ord int, ref_text string, hyp_text string")
+    cues = spark.createDataFrame([(1, 0, "a", 500)], "media_id long, ord int, speaker_label string, dur_ms int").selectExpr("*", "0L as pos")
+    got = tr.transcript_scores(pairs, cues)
+    assert "levenshtein" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["edits"], r["similarity"]) for r in got.collect()] == [(40_000, 0.0)]
+    assert time.monotonic() - began < 60
+
+
 def test_wer_matches_token_distance(spark):
     a, b = "one two three two four".split(), "one three two two five four".split()
     table = list(range(len(b) + 1))
