@@ -7,7 +7,7 @@ predicate is a residual filter, and a pair is kept only in the first bucket the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,9 +289,13 @@ def expand_events(events: DataFrame, lead: int, trail: int, fps: float) -> DataF
 ASSIGNED = T.StructType([T.StructField("media_id", T.LongType()), T.StructField("correct", T.LongType())])
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
+def _assign(rows: pa.Table) -> pa.Table:
     """Largest total overlap of a one-to-one speaker mapping (speakers of one media, a small matrix)."""
-    grid = pdf.pivot_table(index="l_speaker", columns="r_speaker", values="shared", aggfunc="sum", fill_value=0).to_numpy()
+    known = [(x, y, n) for x, y, n in zip(*(rows[c].to_pylist() for c in ("l_speaker", "r_speaker", "shared")), strict=True) if x is not None and y is not None]
+    left, right = ({s: k for k, s in enumerate(dict.fromkeys(names))} for names in ([x for x, _, _ in known], [y for _, y, _ in known]))
+    grid = np.zeros((len(left), len(right)), np.int64)
+    for x, y, n in known:
+        grid[left[x], right[y]] += n
     if grid.shape[0] > grid.shape[1]:
         grid = grid.T
     n, m = grid.shape
@@ -317,7 +321,7 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
             match[col] = match[back[col]]
             col = back[col]
     total = sum(int(grid[match[j] - 1, j - 1]) for j in range(1, m + 1) if match[j])
-    return pd.DataFrame({"media_id": [pdf["media_id"].iloc[0]], "correct": [total]})
+    return pa.table({"media_id": rows["media_id"][:1], "correct": pa.array([total], pa.int64())})
 
 
 def _frames(turns: DataFrame, step: int) -> DataFrame:
@@ -362,7 +366,7 @@ def diarization_error(ref: DataFrame, hyp: DataFrame, step: int = 10, collar_ms:
         cut = overlap_join(spans, zones, bucket=max(1, BUCKET_MS // step)).groupBy(
             "media_id", F.col("l_l_speaker").alias("l_speaker"), F.col("l_r_speaker").alias("r_speaker")).agg(F.sum("overlap").alias("_cut"))
         shared = shared.join(cut, ["media_id", "l_speaker", "r_speaker"], "left").withColumn("shared", F.col("shared") - F.coalesce("_cut", F.lit(0))).drop("_cut")
-    mapped = spread(shared, "media_id").groupBy("media_id").applyInPandas(_assign, ASSIGNED)
+    mapped = spread(shared, "media_id").groupBy("media_id").applyInArrow(_assign, ASSIGNED)
     out = totals.join(mapped, "media_id", "left").withColumn("confusion", F.col("_both") - F.coalesce("correct", F.lit(0))).drop("_both", "correct")
     errors = F.col("miss") + F.col("false_alarm") + F.col("confusion")
     return out.withColumn("der", F.when(F.col("ref_speech") > 0, errors / F.col("ref_speech")))

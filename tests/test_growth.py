@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import vectors as vx
 from cueloom.operators import detections as dt
 from cueloom.operators import entities as en
+from cueloom.operators import intervals as iv
 from cueloom.operators import quality as qa
 from cueloom.operators import timeline as tl
 from cueloom.streaming import jobs
@@ -156,3 +157,27 @@ def test_works_of_a_text_are_cut_before_its_tasks(spark):
         assert sorted(got.get(t["task_id"], [])) == list(enumerate(ids, 1)), t
     pairs = en.containment(tasks.select(F.col("name").alias("text")).filter("text <> ''"), works.select(F.col("title").alias("text")))
     assert "BroadcastHashJoin" in plan_of(pairs) and "SortMergeJoin" not in plan_of(pairs)
+
+
+def test_speaker_mapping_of_many_media_without_a_pivot(spark):
+    """One small matrix a media, unnamed speakers and more names on either side: the best one-to-one mapping, by trying all."""
+    from itertools import permutations
+
+    rng = random.Random(17)
+    rows, want = [], {}
+    for media in range(40):
+        left, right = rng.randrange(1, 5), rng.randrange(1, 5)
+        grid = [[0] * max(left, right) for _ in range(max(left, right))]
+        for i in range(left):
+            for j in range(right):
+                for _ in range(rng.randrange(3)):
+                    n = rng.randrange(1, 500)
+                    rows.append((media, f"S{i}", f"X{j}", n))
+                    grid[i][j] += n
+        rows += [(media, None, "X0", 900), (media, "S0", None, 900)]
+        want[media] = max(sum(grid[i][p] for i, p in enumerate(order)) for order in permutations(range(len(grid))))
+    shared = spark.createDataFrame(rows, "media_id long, l_speaker string, r_speaker string, shared long")
+    got = shared.groupBy("media_id").applyInArrow(iv._assign, iv.ASSIGNED)
+    assert {r["media_id"]: r["correct"] for r in got.collect()} == want
+    turns = spark.createDataFrame([(1, 0, 1000, "a"), (1, 1000, 3000, "b")], "media_id long, start_ms long, end_ms long, speaker string")
+    assert "FlatMapGroupsInPandas" not in plan_of(iv.diarization_error(turns, turns, collar_ms=250))
