@@ -11,6 +11,7 @@ from cueloom.operators import registry as rg
 from cueloom.operators import speakers as sp
 from cueloom.plans.detection_queries import GROUPS_SQL
 from cueloom.plans.registry import query
+from cueloom.session import cut_lineage
 
 DIM = 64
 V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM vectors)"
@@ -164,8 +165,8 @@ SELECT media_id, segment_id, session, 'SPEAKER_' || lpad(CAST(k AS STRING), 2, '
 
 
 @query("assign_speakers", ASSIGN_SQL)
-def _(src):
-    units = dt.embedding_groups(src("segments")).select("media_id", "segment_id", "pos", "session")
+def _assigned(src):
+    units = cut_lineage(dt.embedding_groups(src("segments")).select("media_id", "segment_id", "pos", "session"))
     groups = units.select("media_id", "session").distinct().withColumn("grp", F.row_number().over(Window.partitionBy("media_id").orderBy("session")) - 1)
     picked = groups.filter("grp % 6 <> 4 AND media_id % 9 <> 5").withColumn("id", (F.col("media_id") * 13 + F.col("grp") % 3 * 101 + F.col("grp")) % 400)
     vectors = picked.join(_vectors(src).select("id", "vec"), "id")

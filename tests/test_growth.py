@@ -181,3 +181,15 @@ def test_speaker_mapping_of_many_media_without_a_pivot(spark):
     assert {r["media_id"]: r["correct"] for r in got.collect()} == want
     turns = spark.createDataFrame([(1, 0, 1000, "a"), (1, 1000, 3000, "b")], "media_id long, start_ms long, end_ms long, speaker string")
     assert "FlatMapGroupsInPandas" not in plan_of(iv.diarization_error(turns, turns, collar_ms=250))
+
+
+def test_speaker_groups_are_built_once(spark, monkeypatch):
+    """The session fold that makes the embedding groups is read several times, so its rows are kept."""
+    from cueloom.plans import registry_queries as rq
+
+    kept = []
+    monkeypatch.setattr(rq, "cut_lineage", lambda df: kept.append(df.columns) or df)
+    segments = spark.createDataFrame([(1, i, i * 3000, i * 3000 + 2000, 2000, "SPEAKER_00") for i in range(8)], "media_id long, segment_id long, start_ms long, end_ms long, dur_ms long, speaker_label string")
+    vectors = spark.createDataFrame([(i, 0, [1.0, float(i)]) for i in range(400)], "vec_id long, label int, embedding array<double>")
+    out = rq._assigned({"segments": segments, "vectors": vectors}.__getitem__)
+    assert out.count() == 8 and kept == [["media_id", "segment_id", "pos", "session"]]
