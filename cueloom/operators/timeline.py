@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cueloom.functions.cols import flags, lookup
 from cueloom.operators import sequence as seq
-from cueloom.session import cut_lineage, spread
+from cueloom.session import cut_lineage, small_side, spread
 
 MEDIA = ["media_id"]
 
@@ -25,7 +31,7 @@ LAYER_RELATIVE = 0.9
 LAYER_GAIN = {"failed": -5.0, "review": -3.0}
 MAX_TRIM = 0.30
 
-CLUSTER_BUCKET = 4_096
+CLUSTER_ROWS = 4_096
 
 
 def resolve_anchor(rows: DataFrame) -> DataFrame:
@@ -100,15 +106,43 @@ def quality_score() -> Column:
     )
 
 
-def overlap_clusters(items: DataFrame) -> DataFrame:
-    """Items whose placements touch (beyond the tolerance) share a cluster; different clusters never conflict.  `alone` marks clusters of one row."""
-    order = ["placement_start", "placement_end", "segment_id"]
-    placed = seq.scan(items, MEDIA, order, seq.time_slot("placement_start"), {"_end": ("max_before", F.col("placement_end")), "pos": ("row", None)})
-    opens = F.col("_end").isNull() | (F.col("placement_start") - F.col("_end") > -OVERLAP_TOLERANCE - 1)
-    opens = F.coalesce(opens, F.lit(False))
-    # by rank, so that rows tied in `order` keep the sequence the breaks were computed in
-    linked = seq.scan(cut_lineage(placed), MEDIA, ["pos"], None, {"cluster": ("last", F.when(opens, F.col("pos"))), "_next": ("lead", opens)})
-    return linked.withColumn("alone", opens & F.coalesce("_next", F.lit(True))).drop("_slot", "_end", "_next")
+def overlap_slots(rows: DataFrame, width_ms: int) -> DataFrame:
+    """(media, `_slot`, `_group`, `_base`): `_group` is the first of the slots that placements link, `_base` counts the rows before the slot.
+
+    A slot is linked to those before it if a placement that starts in one of them reaches into it beyond the tolerance.
+    """
+    def begin(slot: Column) -> Column:  # division rounds towards zero: slot 0 is twice as long
+        return F.when(slot > 0, slot * width_ms).otherwise((slot - 1) * width_ms + 1)
+
+    slot, order = F.col("_slot"), Window.partitionBy(*MEDIA).orderBy("_slot")
+    earlier, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    slots = rows.groupBy(*MEDIA, "_slot").agg(F.max("placement_end").alias("_end"), F.count("_slot").alias("_n"))
+    reach = F.when(F.col("_end") - OVERLAP_TOLERANCE > begin(slot + 1), F.col("_end"))
+    seen = slots.withColumns({"_reach": F.max(reach).over(earlier), "_base": F.coalesce(F.sum("_n").over(earlier), F.lit(0))})
+    apart = F.coalesce(F.col("_reach") - OVERLAP_TOLERANCE <= begin(slot), F.lit(True))
+    return seen.withColumn("_group", F.last(F.when(apart, slot), ignorenulls=True).over(upto)).select(*MEDIA, "_slot", "_group", "_base")
+
+
+def overlap_clusters(items: DataFrame, width_ms: int = seq.SLOT_MS, ranked: bool = True) -> DataFrame:
+    """Items whose placements touch (beyond the tolerance) share a cluster; different clusters never conflict.  `opens` marks a cluster's first row, `alone` clusters of one row.
+
+    Linked slots of a media go to one task whole and in order, so the items are exchanged once; before that only a row a slot is.  `cluster` is the
+    rank in its media of a cluster's first row; unless `ranked`, it is left out, and with it a join of one row a group.
+    """
+    rows = items.withColumn("_slot", F.expr(f"placement_start div {width_ms}"))
+    slots = overlap_slots(rows, width_ms)
+    linked = cut_lineage(slots.filter(F.col("_group") < F.col("_slot")).drop("_base"))
+    known = rows.filter("media_id IS NOT NULL AND _slot IS NOT NULL")
+    grouped = known.join(small_side(linked), [*MEDIA, "_slot"], "left").withColumn("_group", F.coalesce("_group", "_slot")).drop("_slot")
+    inside = Window.partitionBy(*MEDIA, "_group").orderBy("placement_start", "placement_end", "segment_id")
+    before = F.max("placement_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    placed = spread(grouped, *MEDIA, "_group").withColumn("opens", F.coalesce(F.col("placement_start") - before >= -OVERLAP_TOLERANCE, F.lit(True)))
+    placed = placed.withColumn("alone", F.col("opens") & F.coalesce(F.lead("opens").over(inside), F.lit(True)))
+    if not ranked:
+        return placed.drop("_group")
+    first = F.last(F.when(F.col("opens"), F.row_number().over(inside) - 1), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    groups = slots.filter(F.col("_group") == F.col("_slot")).select(*MEDIA, "_group", "_base")
+    return placed.withColumn("cluster", first).join(groups, [*MEDIA, "_group"]).withColumn("cluster", F.col("cluster") + F.col("_base")).drop("_group", "_base")
 
 
 RESOLVED = T.StructType([
@@ -119,7 +153,7 @@ RESOLVED = T.StructType([
 
 
 def _settle(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Resolve the overlap clusters of one bucket in anchor order; earlier placements can be trimmed or replaced."""
+    """Resolve the overlap clusters of a frame in anchor order; earlier placements can be trimmed or replaced."""
     rows = bucket.sort_values(["cluster", "anchor_start", "anchor_end", "segment_id"]).to_dict("records")
     placed: list[dict] = []
     cluster = None
@@ -166,14 +200,34 @@ def _settle(bucket: pd.DataFrame) -> pd.DataFrame:
         "placement_end": [r["placement_end"] for r in rows], "gain_db": [r["gain"] for r in rows]})
 
 
-def resolve_overlaps(items: DataFrame) -> DataFrame:
-    """Keep, trim, layer, replace or skip conflicting placements.  A row alone in its cluster needs no Python at all."""
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters in stream order: rows alone pass as they are, the others are settled in frames of some `CLUSTER_ROWS` rows and whole clusters."""
+    names = [f.name for f in RESOLVED]
+    kinds = to_arrow_schema(RESOLVED)
+
+    def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        frame = pa.Table.from_batches(parts).to_pandas()
+        return pa.RecordBatch.from_pandas(_settle(frame.assign(cluster=frame["opens"].cumsum())), schema=kinds, preserve_index=False)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        alone = batch.column("alone")
+        single, crowd = batch.filter(alone), batch.filter(pc.invert(alone))
+        given = {"mix_status": pa.array(["placed"] * len(single), pa.string()), "gain_db": pa.array(np.zeros(len(single)))}
+        yield pa.RecordBatch.from_arrays([given[n] if n in given else single.column(n) for n in names], schema=kinds)
+        first = np.flatnonzero(crowd.column("opens").to_numpy(zero_copy_only=False))
+        if len(first) and sum(map(len, held)) + first[-1] >= CLUSTER_ROWS:
+            yield settle([*held, crowd.slice(0, first[-1])])
+            held, crowd = [], crowd.slice(first[-1])
+        if len(crowd):
+            held.append(crowd)
+    if held:
+        yield settle(held)
+
+
+def resolve_overlaps(items: DataFrame, width_ms: int = seq.SLOT_MS) -> DataFrame:
+    """Keep, trim, layer, replace or skip conflicting placements.  Rows are exchanged once; a row alone in its cluster passes its task unchanged."""
+    kinds = {f.name: f.dataType for f in RESOLVED}
     wanted = [*MEDIA, "segment_id", "anchor_start", "anchor_end", "placement_start", "placement_end", "fitted_ms", "source_ms", "has_window", "overall_status", "quality_score"]
-    rows = cut_lineage(overlap_clusters(items.select(*wanted)))
-    alone = rows.filter("alone").select(
-        "media_id", "segment_id", F.lit("placed").alias("mix_status"), "placement_start", "placement_end",
-        F.lit(0.0).alias("gain_db"))
-    crowded = rows.filter("NOT alone").select(*wanted, "cluster")
-    # whole clusters share a bucket, so a Python call settles thousands of rows instead of two or three
-    bucketed = spread(crowded.withColumn("bucket", F.floor(F.col("cluster") / CLUSTER_BUCKET)), *MEDIA, "bucket")
-    return alone.unionByName(bucketed.groupBy(*MEDIA, "bucket").applyInPandas(_settle, RESOLVED))
+    rows = items.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in wanted])
+    return overlap_clusters(rows, width_ms, ranked=False).mapInArrow(_settled, RESOLVED)

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cueloom.functions import vectors as vx
@@ -193,3 +194,37 @@ def test_speaker_groups_are_built_once(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, 0, [1.0, float(i)]) for i in range(400)], "vec_id long, label int, embedding array<double>")
     out = rq._assigned({"segments": segments, "vectors": vectors}.__getitem__)
     assert out.count() == 8 and kept == [["media_id", "segment_id", "pos", "session"]]
+
+
+def test_overlaps_are_settled_with_one_exchange_of_the_items(spark, monkeypatch):
+    """Whole linked slots meet in one task; only the slots that join an earlier one are written, and the result is that of a plain loop."""
+    rng = random.Random(21)
+    cols = "media_id long, segment_id string, anchor_start long, anchor_end long, placement_start long, placement_end long, fitted_ms long, source_ms long, has_window boolean, overall_status string, quality_score double"
+    rows = []
+    for i in range(400):
+        media, a, n = rng.choice([1, 1, 2, 3, None]), rng.choice([-900, 0, 5_000, 70_000]) + rng.randrange(30_000), rng.choice([40, 300, 900, 12_000])
+        end = None if rng.random() < 0.03 else a + n
+        rows.append((media, f"s{i}", a, a + n, None if rng.random() < 0.03 else a, end, n, rng.randrange(200, 2000), rng.random() < 0.5, rng.choice(["failed", "review", "passed", None]), rng.random() * 3))
+    rows += [(4, "x", 0, 500, 0, 500, 500, 500, False, "passed", 1.0)] * 2
+    names = [c.split()[0] for c in cols.split(", ")]
+    want, ranks = [], {}
+    for media in (1, 2, 3, 4):
+        known = sorted((dict(zip(names, r, strict=True)) for r in rows if r[0] == media and r[4] is not None), key=lambda r: (r["placement_start"], r["placement_end"] is not None, r["placement_end"] or 0, r["segment_id"]))
+        reach, cluster = None, 0
+        for i, r in enumerate(known):
+            cluster = i if reach is None or r["placement_start"] - reach >= -tl.OVERLAP_TOLERANCE else cluster
+            reach = max((x for x in (reach, r["placement_end"]) if x is not None), default=None)
+            r["cluster"] = cluster
+        ranks |= {(media, r["segment_id"]): r["cluster"] for r in known}
+        want += [[None if v != v else v for v in r] for r in tl._settle(pd.DataFrame(known)).astype(object).values.tolist()]
+    df = spark.createDataFrame(rows, cols)
+    written = []
+    monkeypatch.setattr(tl, "cut_lineage", lambda d: written.append(d.columns) or d)
+    monkeypatch.setattr(tl, "CLUSTER_ROWS", 7)
+    for width in (1_000, 10_000, 3_600_000):
+        found = tl.resolve_overlaps(df, width)
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(str(tuple(int(v) if isinstance(v, float) and k in (3, 4) else v for k, v in enumerate(r))) for r in want)
+        assert {(r["media_id"], r["segment_id"]): r["cluster"] for r in tl.overlap_clusters(df, width).collect()} == ranks
+    assert written == [["media_id", "_slot", "_group"]] * 6
+    found = tl.resolve_overlaps(df)
+    assert plan_of(found).count("MapInArrow") == 1 and len([x for x in plan_of(found).split("\n") if "REPARTITION_BY_NUM" in x]) == 1
