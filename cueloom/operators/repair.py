@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +60,15 @@ def repair_items(report: DataFrame, translations: DataFrame, forced: DataFrame)
     """Report rows that need repair, plus rows the quality check forces in as `qa_flagged`."""
     lines = translations.select(*SEGMENT, (F.col("end_ms") - F.col("start_ms")).alias("line_ms"), "source_text", "too_short_flag")
     rules = reason_rules()
-    known = {name: F.coalesce(cond, F.lit(False)) for name, cond in rules.items()}
-    anything = None
-    for cond in known.values():
-        anything = cond if anything is None else anything | cond
+    # what the report alone tells is settled before the joins, so that its statuses, times and paths need not be shuffled with it
+    early = {f"_{name}": F.coalesce(cond, F.lit(False)) for name, cond in rules.items() if name != "too_short_source"}
+    told = report.withColumn("ratio", F.round(F.col("generated_ms") / F.col("source_ms"), 6)).withColumns({**early, "_told": reduce(or_, early.values())})
+    known = {name: F.col(f"_{name}") if f"_{name}" in early else F.coalesce(cond, F.lit(False)) for name, cond in rules.items()}
+    anything = F.col("_told") | known["too_short_source"]
     on = {**known, "qa_flagged": ~anything}
     rows = (
-        report.join(lines, SEGMENT, "left")
+        told.join(lines, SEGMENT, "left")
         .join(forced.select(*SEGMENT).distinct().withColumn("_forced", F.lit(True)), SEGMENT, "left")
-        .withColumn("ratio", F.round(F.col("generated_ms") / F.col("source_ms"), 6))
         .filter(anything | F.coalesce("_forced", F.lit(False)))
     )
     priority = priority_tenths(on)
@@ -78,7 +81,7 @@ def repair_items(report: DataFrame, translations: DataFrame, forced: DataFrame)
         "speaker_failed": on["speaker_failed"],
         "priority_tenths": priority,
         "priority": F.when(priority >= 50, "high").when(priority >= 30, "medium").otherwise("low"),
-    }).drop("_forced")
+    }).drop("_forced", "_told", *early)
 
 
 def queue(items: DataFrame, id_prefix: int = 4) -> DataFrame:
@@ -119,49 +122,64 @@ def attempt_stats(results: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep the first row per key (order-preserving dedupe)."""
-    best = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
-
+def dedupe_first(rows: DataFrame, group: list[str], key: str, order: str) -> DataFrame:
+    """Keep the first row per key of a group (order-preserving dedupe) and rank these in `_rank`, from 1; rows whose key is NULL go."""
+    ahead = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col(key).isNotNull() & ~F.array_contains(F.collect_set(key).over(ahead), F.col(key))
+    marked = rows.withColumn("_first", F.coalesce(first, F.lit(False)))
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_rank", F.count(F.when(F.col("_first"), 1)).over(upto)).filter("_first").drop("_first")
 
-def attempt_grid(items: DataFrame, rewrites: DataFrame, references: DataFrame, backends: list[str], per_item: int) -> DataFrame:
-    """First `per_item` distinct (text, reference, backend) combinations per item, texts outermost.
 
-    Only the first `per_item` texts and references of an item can appear in its grid, so both sides are ranked and cut
-    before they meet; the product per item is at most per_item^2 times the number of backends.
-    """
-    texts = (
-        rewrites.join(items.filter("may_rewrite").select(*SEGMENT), SEGMENT, "left_semi")
-        .select(*SEGMENT, "ord", F.trim("rewrite_text").alias("text"), "variant")
-        .unionByName(items.select(*SEGMENT, F.lit(1_000_000).alias("ord"), F.trim("target_text").alias("text"),
-                                  F.lit("current").alias("variant")))
-        .filter("text <> ''")
-        .withColumn("_fold", F.lower("text"))
-    )
-    texts = dedupe_first(texts, [*SEGMENT, "_fold"], "ord")
-    by_item = Window.partitionBy(*SEGMENT).orderBy("ord")
-    texts = texts.withColumn("text_rank", F.row_number().over(by_item)).filter(F.col("text_rank") <= per_item)
-    speakers = items.select(*SEGMENT, "speaker_id", "reference_path")
+def reference_choices(asks: DataFrame, references: DataFrame, per_item: int) -> DataFrame:
+    """`refs`: the first `per_item` clips for every (media, speaker, clip in use): recommended first, then the clip in use, then the rest in rank order."""
+    ask = ["media_id", "speaker_id", "reference_path"]
     by_speaker = Window.partitionBy("media_id", "speaker_id").orderBy("ref_rank")
     leading = references.withColumn("_rn", F.row_number().over(by_speaker)).filter(
         (F.col("_rn") <= per_item) | F.col("recommended")).drop("_rn")
     in_use = references.withColumn("reference_path", F.col("path"))
-    # recommended first, then the item's current clip, then the rest in rank order
     paired = (
-        speakers.join(leading, ["media_id", "speaker_id"])
-        .unionByName(speakers.join(in_use, ["media_id", "speaker_id", "reference_path"]))
-        .dropDuplicates([*SEGMENT, "path"])
+        asks.join(leading, ["media_id", "speaker_id"])
+        .unionByName(asks.join(in_use, ask))
+        .dropDuplicates([*ask, "path"])
         .withColumn("_tier", F.when(F.col("recommended"), 0).when(F.col("path") == F.col("reference_path"), 1).otherwise(2))
     )
-    by_tier = Window.partitionBy(*SEGMENT).orderBy("_tier", "ref_rank")
-    paired = paired.withColumn("ref_order", F.row_number().over(by_tier)).filter(F.col("ref_order") <= per_item)
-    grid = texts.join(paired.select(*SEGMENT, "path", "ref_order"), SEGMENT).select(
-        *SEGMENT, "text", "variant", "path", "text_rank", "ref_order",
+    by_tier = Window.partitionBy(*ask).orderBy("_tier", "ref_rank")
+    leading = paired.withColumn("ref_order", F.row_number().over(by_tier)).filter(F.col("ref_order") <= per_item)
+    return leading.groupBy(*ask).agg(F.array_sort(F.collect_list(F.struct("_tier", "ref_rank", "path"))).alias("refs"))
+
+
+def attempt_grid(items: DataFrame, rewrites: DataFrame, references: DataFrame, backends: list[str], per_item: int) -> DataFrame:
+    """First `per_item` distinct (text, reference, backend) combinations per item, texts outermost.
+
+    Clips are ranked and cut for each (media, speaker, clip in use) that items have, not for each item; an item fetches its few in one exchange
+    and meets its texts in another.  The grid of a line is made in its rows: at most `per_item` texts and as many clips.
+    """
+    choices = reference_choices(items.select("media_id", "speaker_id", "reference_path").distinct(), references, per_item)
+    known = items.filter("media_id IS NOT NULL AND segment_id IS NOT NULL")
+    asked = choices.select(*[F.col(c).alias(f"_{c}") for c in choices.columns])
+    mine = (known["media_id"] == asked["_media_id"]) & (known["speaker_id"] == asked["_speaker_id"]) & known["reference_path"].eqNullSafe(asked["_reference_path"])
+    current = known.join(asked, mine, "left").select(
+        *SEGMENT, F.lit(1_000_000).alias("ord"), F.trim("target_text").alias("text"), F.lit("current").alias("variant"), "may_rewrite", F.col("_refs").alias("refs"))
+    others = rewrites.filter("media_id IS NOT NULL AND segment_id IS NOT NULL").select(*SEGMENT, "ord", F.trim("rewrite_text").alias("text"), "variant")
+    rows = current.withColumn("_own", F.lit(True)).unionByName(others.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    # all windows of a line share one sort; a line listed twice may know several clips in use
+    line = Window.partitionBy(*SEGMENT).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"may_rewrite": F.max("may_rewrite").over(line), "refs": F.collect_set("refs").over(line)}).filter("size(refs) > 0")
+    rows = rows.withColumn("_fold", F.when(F.expr("(_own OR may_rewrite) AND text <> ''"), F.lower("text")))
+    texts = dedupe_first(rows, SEGMENT, "_fold", "ord").withColumn("text_rank", F.col("_rank").cast("int")).filter(F.col("text_rank") <= per_item)
+    listed = texts.withColumn("refs", F.when(F.size("refs") == 1, F.col("refs")[0]).otherwise(F.array_sort(F.array_distinct(F.flatten("refs")))))
+    unlike = F.filter("refs", lambda r, i: ~F.exists(F.slice("refs", 1, i), lambda q: q["path"].eqNullSafe(r["path"])))
+    listed = listed.withColumn("refs", F.transform(F.slice(unlike, 1, per_item), lambda r: r["path"]))
+    before = (F.col("text_rank") - 1) * F.size("refs") * len(backends)
+    paired = listed.withColumn("_before", before).filter(F.col("_before") < per_item).select(
+        *SEGMENT, "text", "variant", "text_rank", "_before", F.posexplode("refs").alias("ref_order", "path"))
+    grid = paired.select(
+        *SEGMENT, "text", "variant", "path", "text_rank", (F.col("ref_order") + 1).alias("ref_order"), "_before",
         F.posexplode(F.array(*[F.lit(b) for b in backends])).alias("backend_rank", "backend"),
     )
-    order = Window.partitionBy(*SEGMENT).orderBy("text_rank", "ref_order", "backend_rank")
-    return grid.withColumn("attempt_no", F.row_number().over(order)).filter(F.col("attempt_no") <= per_item)
+    number = F.col("_before") + (F.col("ref_order") - 1) * len(backends) + F.col("backend_rank") + 1
+    return grid.withColumn("attempt_no", number.cast("int")).drop("_before").filter(F.col("attempt_no") <= per_item)
 
 
 def reference_plans(items: DataFrame, references: DataFrame, current: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from cueloom.operators import repair as rp
 from cueloom.operators import timeline as tl
 from cueloom.operators import voices as vc
 from cueloom.plans.registry import query
-from cueloom.session import cut_lineage
+from cueloom.session import as_table
 
 
 def _ratio():
@@ -352,12 +352,13 @@ grid AS (SELECT t.*, p.path, p.ref_order, k.backend_rank, k.backend FROM texts t
   (VALUES (0, 'backend_a'), (1, 'backend_b')) k(backend_rank, backend))
 SELECT media_id, segment_id, text, variant, path, backend, CAST(n AS INTEGER) AS attempt_no FROM (SELECT *, row_number() OVER (PARTITION BY media_id, segment_id ORDER BY text_rank, ref_order, backend_rank) AS n FROM grid) WHERE n <= 3""")
 def _(src):
-    items = cut_lineage(_items(src).select("media_id", "segment_id", "h", "may_rewrite", "speaker_id", "reference_path", "target_text"))
-    refs = cut_lineage(_references(src)[0])
-    extra = items.select("media_id", "segment_id", (F.col("h") % 3).cast("int").alias("ord"),
-                         F.concat_ws(" ", "target_text", (F.col("h") % 2).cast("string")).alias("rewrite_text"), F.lit("short").alias("variant"))
-    same = items.select("media_id", "segment_id", F.lit(3).alias("ord"), F.col("target_text").alias("rewrite_text"), F.lit("same").alias("variant"))
-    grid = rp.attempt_grid(items, extra.unionByName(same), refs.withColumn("recommended", F.col("ref_rank") == 2), ["backend_a", "backend_b"], 3)
+    items = as_table(_items(src).select("media_id", "segment_id", (F.col("h") % 3).cast("int").alias("ord"), (F.col("h") % 2).cast("string").alias("digit"),
+                                       "may_rewrite", "speaker_id", "reference_path", "target_text"))
+    refs = as_table(_references(src)[0])
+    extra = F.struct("ord", F.concat_ws(" ", "target_text", "digit").alias("rewrite_text"), F.lit("short").alias("variant"))
+    same = F.struct(F.lit(3).alias("ord"), F.col("target_text").alias("rewrite_text"), F.lit("same").alias("variant"))
+    rewrites = items.filter("may_rewrite").select("media_id", "segment_id", F.inline(F.array(extra, same)))
+    grid = rp.attempt_grid(items, rewrites, refs.withColumn("recommended", F.col("ref_rank") == 2), ["backend_a", "backend_b"], 3)
     return grid.select("media_id", "segment_id", "text", "variant", "path", "backend", "attempt_no")
 
 

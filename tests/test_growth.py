@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from cueloom.operators import detections as dt
 from cueloom.operators import entities as en
 from cueloom.operators import intervals as iv
 from cueloom.operators import quality as qa
+from cueloom.operators import repair as rp
 from cueloom.operators import timeline as tl
 from cueloom.streaming import jobs
 
@@ -228,3 +230,60 @@ def test_overlaps_are_settled_with_one_exchange_of_the_items(spark, monkeypatch)
     assert written == [["media_id", "_slot", "_group"]] * 6
     found = tl.resolve_overlaps(df)
     assert plan_of(found).count("MapInArrow") == 1 and len([x for x in plan_of(found).split("\n") if "REPARTITION_BY_NUM" in x]) == 1
+
+
+def test_attempt_grids_are_made_with_one_exchange_by_line(spark):
+    """Texts outermost, clips next (recommended, in use, by rank), backends last; lines listed twice know the clips of both."""
+    rng = random.Random(22)
+    refs = [(m, s, f"c{i}", i + 1, i + 1 in marks) for m in (1, 2) for s, n, marks in (("a", 6, (2,)), ("b", 1, ()), ("c", 7, (5, 6))) for i in range(n)]
+    items = [(rng.choice([1, 2]), f"l{i}", rng.choice([True, False, None]), rng.choice(["a", "b", "c", "d", None]), rng.choice([None, "c0", "c4", "c5", "gone"]), rng.choice(["One", " two ", "", None])) for i in range(60)]
+    items += [(1, "l0", True, "a", "c3", "Two"), (1, "l0", True, "a", "c3", "Two"), (1, "l0", False, "b", None, "Two"), (None, "l0", True, "a", "c0", "x"), (1, None, True, "a", "c0", "x")]
+    items[0] = (1, "l0", None, "a", "c5", "Two")
+    rewrites = [(m, f"l{i}", o, rng.choice(["ONE", "one ", "t", "", None]) if o != 3 else f"u{i}", f"v{o}") for m in (1, 2, None) for i in range(40) for o in range(1, rng.randrange(2, 6))] + [(1, None, 1, "n", "v")]
+    want = []
+    for m, line in sorted({r[:2] for r in items if None not in r[:2]}):
+        own = [r for r in items if r[:2] == (m, line)]
+        texts, seen = [], set()
+        told = [(o, (t or "").strip(), v) for k, x, o, t, v in rewrites if (k, x) == (m, line)] if any(r[2] for r in own) else []
+        for o, t, v in sorted({*told, *((10**6, (r[5] or "").strip(), "current") for r in own)}):
+            if t and t.lower() not in seen:
+                texts.append((t, v))
+                seen.add(t.lower())
+        best = {}
+        for r in own:
+            for k, s, path, rank, marked in refs:
+                if (k, s) == (m, r[3]):
+                    best[path] = min(best.get(path, (9, 0)), (0 if marked else 1 if path == r[4] else 2, rank))
+        grid = [(t, v, p, b) for t, v in texts for p in sorted(best, key=best.get) for b in ("x", "y")]
+        want += [(m, line, *g, n) for n, g in enumerate(grid[:5], 1)]
+    frames = [spark.createDataFrame(items, "media_id long, segment_id string, may_rewrite boolean, speaker_id string, reference_path string, target_text string"),
+              spark.createDataFrame(rewrites, "media_id long, segment_id string, ord int, rewrite_text string, variant string"),
+              spark.createDataFrame(refs, "media_id long, speaker_id string, path string, ref_rank long, recommended boolean")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        grid = rp.attempt_grid(*frames, ["x", "y"], 5)
+        plan = plan_of(grid)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = [tuple(r) for r in grid.select("media_id", "segment_id", "text", "variant", "path", "backend", "attempt_no").collect()]
+    assert len(got) > 90 and sorted(got) == sorted(want)
+    assert len([x for x in plan.split("\n") if "Exchange hashpartitioning(media_id" in x and "segment_id" in x.split("],")[0].split("ENSURE")[0]]) == 1
+
+
+def test_repair_items_settle_what_the_report_tells_before_the_joins(spark):
+    """Statuses and paths that only make reasons are not shuffled with the report."""
+    report = spark.createDataFrame([(1, "a", 1000, 1700, "failed", "failed", "passed", None, "", "s"), (1, "b", 2000, 2000, "passed", None, "passed", "passed", "w", "s"), (1, "c", None, 2000, "passed", "passed", "passed", "passed", "w", "s")],
+                                   "media_id long, segment_id string, source_ms long, generated_ms long, overall_status string, duration_status string, speaker_status string, intelligibility_status string, audio_path string, speaker_id string")
+    lines = spark.createDataFrame([(1, "a", 0, 900, "x", False), (1, "c", 0, 900, "y", None)], "media_id long, segment_id string, start_ms long, end_ms long, source_text string, too_short_flag boolean")
+    found = rp.repair_items(report, lines, report.filter("segment_id = 'b'"))
+    got = {r["segment_id"]: (r["reasons"], r["actions"], r["ratio"], r["priority"], r["overall_status"]) for r in found.collect()}
+    assert got["a"] == (["task_d_overall_failed", "duration_failed", "too_short_source", "generated_too_long", "missing_audio_path"], ["merge_short_segments", "rewrite_for_dubbing", "regenerate_candidates", "manual_review"], 1.7, "low", "failed")
+    assert got["b"][0] == ["qa_flagged"] and got["c"][:3] == (["too_short_source"], ["manual_review"], None) and "_forced" not in found.columns
+    assert [c for c in found.columns if c.startswith("_")] == []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = found.select("media_id", "segment_id", "may_rewrite")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.index("Join LeftOuter")]
+    assert not re.search(r"\b(audio_path|duration_status|overall_status)#", above)
